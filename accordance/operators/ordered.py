@@ -150,14 +150,12 @@ def first_rows(
     return out if rank else out.drop(name)
 
 
-def first_per_key(df: DataFrame, key: str, order: Sequence, last: bool = False) -> DataFrame:
-    """One row per key: the first (or last) by ``order``; partial aggregation applies."""
-    rest = [c for c in df.columns if c != key]
-    by = F.struct(*[col(c) for c in order])
-    pick = F.max_by if last else F.min_by
-    return (
-        df.groupBy(key)
-        .agg(pick(F.struct(*[F.col(c) for c in rest]), by).alias("_row"))
-        .select(key, *[F.col("_row")[c].alias(c) for c in rest])
-        .select(*df.columns)
+def first_per_key(df: DataFrame, key: str, order: Sequence[str], last: bool = False) -> DataFrame:
+    """One row per key: the first (or last) by ``order``, ties broken by the other
+    columns, so the result never depends on row order. Partial aggregation applies."""
+    rest = [c for c in df.columns if c != key and c not in order]
+    row = F.struct(*[F.col(c) for c in [*order, *rest]])
+    pick = F.max if last else F.min
+    return df.groupBy(key).agg(pick(row).alias("_row")).select(
+        *[F.col(c) if c == key else F.col("_row")[c].alias(c) for c in df.columns]
     )

@@ -80,24 +80,28 @@ def consolidate(
     """
     df = df.where(L.valid_key(key, min_key_length))
     others = [c for c in df.columns if c not in (key, label, kind, detail)]
-    at = F.struct(*[F.col(c) for c in order])
-    row = F.struct(*[F.col(c) for c in df.columns if c != key])
+    # Ordering columns first: the smallest struct is the first row, ties included.
+    row = F.struct(*[F.col(c) for c in [*order, *[c for c in others if c not in order]]])
 
     labelled = df.where(F.col(label).isNotNull())
-    folded = labelled.groupBy(key, label, kind, detail).agg(
-        F.min(at).alias("_at"), F.min_by(row, at).alias("_row")
+    folded = labelled.groupBy(key, label, kind, detail).agg(F.min(row).alias("_row"))
+    entry = F.struct(
+        "_row", F.col(label).alias("l"), F.col(kind).alias("k"), F.col(detail).alias("d")
+    )
+    at = F.struct(*[F.col("_row")[c].alias(c) for c in order])
+    text = F.struct(
+        at.alias("at"), F.col(label).alias("l"), F.col(kind).alias("k"), F.col(detail).alias("d")
     )
-    entry = F.struct("_at", F.col(label).alias("l"), F.col(kind).alias("k"), F.col(detail).alias("d"))
     grouped = folded.groupBy(key).agg(
         F.bool_or(label).alias("_any_true"),
         F.bool_or(~F.col(label)).alias("_any_false"),
-        F.min_by("_row", "_at").alias("_first"),
-        F.min_by("_row", F.when(~F.col(label), F.col("_at"))).alias("_first_false"),
-        F.array_sort(F.collect_list(entry)).alias("_all"),
+        F.min(entry).alias("_first"),
+        F.min(F.when(~F.col(label), entry)).alias("_first_false"),
+        F.array_sort(F.collect_list(text)).alias("_all"),
     )
 
-    def joined(text) -> Column:
-        texts = F.array_distinct(F.array_compact(F.transform("_all", text)))
+    def joined(piece) -> Column:
+        texts = F.array_distinct(F.array_compact(F.transform("_all", piece)))
         return F.when(F.size(texts) > 0, F.array_join(texts, " | "))
 
     tagged = joined(
@@ -107,18 +111,17 @@ def consolidate(
         )
     )
     clash = F.col("_any_true") & F.col("_any_false")
-    base = F.when(clash, F.col("_first_false")).otherwise(F.col("_first"))
     labelled_out = (
         grouped.withColumn("had_conflict", clash)
-        .withColumn("_base", base)
+        .withColumn("_base", F.when(clash, F.col("_first_false")).otherwise(F.col("_first")))
         .withColumn("_details", F.when(clash, tagged).otherwise(joined(lambda e: e["d"])))
         .withColumn("_kinds", F.when(~clash, joined(lambda e: e["k"])))
         .select(
             key,
-            F.col("_base")[label].alias(label),
-            F.coalesce("_kinds", F.col("_base")[kind]).alias(kind),
-            F.coalesce("_details", F.col("_base")[detail]).alias(detail),
-            *[F.col("_base")[c].alias(c) for c in others],
+            F.col("_base.l").alias(label),
+            F.coalesce("_kinds", F.col("_base.k")).alias(kind),
+            F.coalesce("_details", F.col("_base.d")).alias(detail),
+            *[F.col("_base._row")[c].alias(c) for c in others],
             "had_conflict",
         )
     )
