@@ -340,7 +340,7 @@ def contains_lookup(
         F.explode(F.filter(wanted, lambda n: F.col(model).contains(n))),
     )
     first = first_per_key(hits, "short_name", order)
-    asked = spark.createDataFrame([(n,) for n in names], "short_name string")
+    asked = spark.range(1).select(F.explode(wanted).alias("short_name"))
     return asked.join(first, "short_name", "left")
 
 
