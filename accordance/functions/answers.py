@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from accordance.functions.common import col, found, let, non_empty, strip
+from accordance.functions.common import WHITESPACE_RUN, col, found, let, strip
 
 # ---------------------------------------------------------------------------
 # Parts of an answer that carry reasoning or echo the request.
@@ -28,6 +28,8 @@ ECHOED_TEXT = (
     r"(?imd)^Based\s+on\s+the\s+provided.*$",
 )
 
+ECHO_WORDS = ("critical:", "analyze", "expert", "based")
+
 # Verdict patterns, highest priority first.
 VERDICT_PATTERNS = (
     r"(?iu)FINAL:\s*(PURE|FLOSS)",
@@ -90,6 +92,11 @@ JUSTIFICATION_PATTERNS = (
     r"(?isuU)(?:this|the commit|changes)[\s\w]*(?:are|is|represents?)[\s\w]*(.+?)(?=\.|\z)",
 )
 
+JUSTIFICATION_WORDS = (
+    ("justification", "reasoning", "explanation"),
+    ("this", "the commit", "changes"),
+)
+
 # Where an object may stand in an answer, in the order tried.
 OBJECT_PATTERNS = (
     r"```json\s*(\{[\s\S]*?\})\s*```",
@@ -97,7 +104,7 @@ OBJECT_PATTERNS = (
     r"(\{[\s\S]*?\})",
 )
 KEY_LINE = (
-    r"([\"']?)([a-zA-Z0-9_\- ]{3,40})\1\s*[:=]\s*([\"']?)([^\n\r]+?)\3(?:\n|\z)"
+    r"([\"']?)([a-zA-Z0-9_\- ]{3,40}+)\1\s*[:=]\s*([\"']?)([^\n\r]+?)\3(?:\n|\z)"
 )
 
 
@@ -108,6 +115,12 @@ def _any(text: Column, words: Sequence[str]) -> Column:
     return hit
 
 
+def _replaced(text: Column, patterns: Sequence[str]) -> Column:
+    for p in patterns:
+        text = F.regexp_replace(text, p, "")
+    return text
+
+
 def _count(text: Column, phrases: Sequence[str]) -> Column:
     n = F.lit(0)
     for p in phrases:
@@ -122,32 +135,31 @@ def _count(text: Column, phrases: Sequence[str]) -> Column:
 def remove_blocks(text: Column | str) -> Column:
     """Answer text without reasoning blocks and echoed instructions.
 
-    A block pattern is only run on a text that holds its marker word.
+    The patterns only run on a text that holds one of the words they need.
     """
     t = col(text)
-    for pattern in THINK_BLOCKS:
-        t = F.when(F.lower(t).contains("think"), F.regexp_replace(t, pattern, "")).otherwise(t)
-    for pattern in ECHOED_TEXT:
-        t = F.regexp_replace(t, pattern, "")
-    return t
+    t = F.when(F.lower(t).contains("think"), _replaced(t, THINK_BLOCKS)).otherwise(t)
+    return let(
+        t, lambda x: F.when(_any(F.lower(x), ECHO_WORDS), _replaced(x, ECHOED_TEXT)).otherwise(x)
+    )
 
 
 def _worth_keeping(line: Column) -> Column:
     def judge(words: Column) -> Column:
         n = F.size(words)
-        d = F.size(F.array_distinct(words))
-        many = n > 5
-        monotone = many & (d * 3 < n)
-        repetitive = many & (F.length(line) > 20) & (d * 2 < n)
-        return ~(monotone | repetitive)
 
-    return let(F.split(line, r"(?U)\s+"), judge)
+        def repeats(distinct: Column) -> Column:
+            return (distinct * 3 < n) | ((F.length(line) > 20) & (distinct * 2 < n))
+
+        return ~((n > 5) & let(F.size(F.array_distinct(words)), repeats))
+
+    # A one-character separator needs no pattern to be compiled per line.
+    return let(F.split(F.regexp_replace(line, WHITESPACE_RUN, " "), " "), judge)
 
 
 def drop_repetitive_lines(text: Column | str) -> Column:
     """Trim every line and drop the ones that mostly repeat a few words."""
-    lines = F.transform(F.split(col(text), "\n"), lambda x: F.regexp_replace(
-        x, r"(?U)^\s+|\s+$", ""))
+    lines = F.transform(F.split(col(text), "\n"), strip)
     return F.array_join(F.filter(lines, _worth_keeping), "\n")
 
 
@@ -160,29 +172,39 @@ def clean_answer(text: Column | str) -> Column:
 
 
 def verdict(text: Column | str, patterns: Sequence[str] = VERDICT_PATTERNS) -> Column:
-    """PURE / FLOSS from the first pattern that hits, else NULL."""
+    """PURE / FLOSS from the first pattern that hits, else NULL.
+
+    Like the other searches below, the patterns only run on a text that holds one of
+    the words they need.
+    """
     t = col(text)
-    return F.upper(F.coalesce(*[found(t, p) for p in patterns]))
+    return F.when(
+        _any(F.lower(t), ("pure", "floss")), F.upper(F.coalesce(*[found(t, p) for p in patterns]))
+    )
 
 
 def field_value(text: Column | str, name: str) -> Column:
     t = col(text)
+    low = F.lower(t)
     tries = []
     for pattern in FIELD_PATTERNS[name]:
+        words = (name,) if name in pattern else ("pure", "floss")
         v = F.btrim(F.btrim(strip(F.regexp_extract(t, pattern, 1)), F.lit('"')), F.lit("'"))
-        tries.append(F.when(~v.isin(*NO_VALUE), v))
+        tries.append(F.when(_any(low, words), F.when(~v.isin(*NO_VALUE), v)))
     return F.coalesce(*tries)
 
 
 def bare_label(text: Column | str) -> Column:
-    return found(F.lower(col(text)), r"(?U)\b(pure|floss)\b")
+    low = F.lower(col(text))
+    return F.when(_any(low, ("pure", "floss")), found(low, r"(?U)\b(pure|floss)\b"))
 
 
 def bare_justification(text: Column | str, longer_than: int = 10) -> Column:
+    t = col(text)
     tries = []
-    for pattern in JUSTIFICATION_PATTERNS:
-        v = strip(F.regexp_extract(col(text), pattern, 1))
-        tries.append(F.when(F.length(v) > longer_than, v))
+    for pattern, words in zip(JUSTIFICATION_PATTERNS, JUSTIFICATION_WORDS):
+        v = strip(F.regexp_extract(t, pattern, 1))
+        tries.append(F.when(_any(F.lower(t), words) & (F.length(v) > longer_than), v))
     return F.coalesce(*tries)
 
 
@@ -242,22 +264,19 @@ def fallback_justification(text: Column | str) -> Column:
 # Structured answers
 
 
-def strict_json(text: Column) -> Column:
-    """Variant of a text that is exactly one JSON value, else NULL.
+def is_object_text(text: Column) -> Column:
+    """Does the text hold exactly one JSON object?
 
     The parser itself stops after the first value, so the text is wrapped in an
-    array: anything behind the value makes that array malformed or longer.
+    array: anything behind the object makes that array malformed or longer.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
-
-
-def is_object_text(text: Column) -> Column:
-    """Does the text hold exactly one JSON object?"""
     t = strip(text)
+    alone = let(
+        F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))),
+        lambda v: v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull(),
+    )
     return F.coalesce(
-        t.startswith("{") & t.endswith("}") & strict_json(t).isNotNull(), F.lit(False)
+        F.when(t.startswith("{") & t.endswith("}"), alone), F.lit(False)
     )
 
 
@@ -276,18 +295,23 @@ def repair_object(text: Column) -> Column:
 
 
 def key_line_entries(text: Column) -> Column:
-    """`key: value` lines of a text as an array of (key, value, pos)."""
-    keys = F.regexp_extract_all(text, F.lit(KEY_LINE), F.lit(2))
-    values = F.regexp_extract_all(text, F.lit(KEY_LINE), F.lit(4))
-    clean = F.transform(
-        F.arrays_zip(keys.alias("k"), values.alias("v")),
-        lambda e, i: F.struct(
-            strip(e["k"]).alias("key"),
-            F.btrim(strip(e["v"]), F.lit("\"'")).alias("value"),
+    """`key: value` lines of a text as an array of (key, value, pos).
+
+    The long text is scanned once; the parts are then read out of each short match.
+    """
+    hit = (text.contains(":") | text.contains("=")) & text.rlike(
+        r"[a-zA-Z0-9_\- ]{3}[\"']?\s*[:=]"
+    )
+    matches = F.when(hit, F.regexp_extract_all(text, F.lit(KEY_LINE), F.lit(0)))
+    entries = F.transform(
+        matches,
+        lambda m, i: F.struct(
+            strip(F.regexp_extract(m, KEY_LINE, 2)).alias("key"),
             i.alias("pos"),
+            F.btrim(strip(F.regexp_extract(m, KEY_LINE, 4)), F.lit("\"'")).alias("value"),
         ),
     )
-    return F.filter(clean, lambda e: (F.length(e["key"]) > 1) & (F.length(e["value"]) > 0))
+    return F.filter(entries, lambda e: (F.length(e["key"]) > 1) & (F.length(e["value"]) > 0))
 
 
 def key_line_map(text: Column) -> Column:
@@ -300,22 +324,11 @@ def key_line_map(text: Column) -> Column:
                 F.get(entries, i + 1)["key"] != e["key"], F.lit(True)
             ),
         )
-        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
-
-    built = let(F.array_sort(_key_pos_first(key_line_entries(text))), last_per_key)
-    return F.when(F.size(built) > 0, built)
-
+        pairs = F.transform(kept, lambda e: F.struct(e["key"], e["value"]))
+        return F.when(F.size(entries) > 0, F.map_from_entries(pairs))
 
-def _key_pos_first(entries: Column) -> Column:
-    return F.transform(
-        entries,
-        lambda e: F.struct(e["key"].alias("key"), e["pos"].alias("pos"), e["value"].alias("value")),
-    )
+    return let(F.array_sort(key_line_entries(text)), last_per_key)
 
 
 def has_minimum(label: Column, justification: Column) -> Column:
     return label.isNotNull() | justification.isNotNull()
-
-
-def text_or_null(c: Column) -> Column:
-    return non_empty(c)

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = " \t\n\r\x0b\x0c"
+# What a text counts as white space, beyond ASCII too.
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def col(c: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from accordance.functions import answers as A
 from accordance.functions.brackets import find_value
@@ -30,16 +31,20 @@ ANSWER_FIELDS = {
 }
 
 
-@F.pandas_udf("string")
-def _bracket_scan(texts: pd.Series) -> pd.Series:
+def _scan_objects(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else find_value(t))
 
 
-@F.pandas_udf("string")
-def _bracket_scan_any(texts: pd.Series) -> pd.Series:
+def _scan_any(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else find_value(t, objects_only=False))
 
 
+# Marked non-deterministic so that no filter above is pushed through the scan, which
+# would clean and parse every text a second time.
+_bracket_scan = F.pandas_udf(_scan_objects, T.StringType()).asNondeterministic()
+_bracket_scan_any = F.pandas_udf(_scan_any, T.StringType()).asNondeterministic()
+
+
 def clean_responses(df: DataFrame, response: str = "response") -> DataFrame:
     return df.withColumn("cleaned", A.clean_answer(response))
 
@@ -110,10 +115,7 @@ def answer_fields(df: DataFrame) -> DataFrame:
     """Named fields (`a_*`) of `answer_json`, or of the key lines without one."""
     out = df.withColumn("_doc", F.try_parse_json("answer_json")).withColumn(
         "_kv",
-        F.when(
-            F.col("answer_json").isNull() & F.col("cleaned").rlike("[:=]"),
-            A.key_line_map(F.col("cleaned")),
-        ),
+        A.key_line_map(F.when(F.col("answer_json").isNull(), F.col("cleaned"))),
     )
     out = out.withColumns({f"a_{k}": _doc_field(v) for k, v in ANSWER_FIELDS.items()})
     return out.withColumn("has_key_lines", F.col("_kv").isNotNull()).drop("_doc", "_kv")
@@ -236,7 +238,7 @@ def cascade(
 
 
 def _prepared(df: DataFrame, response: str, residual: bool) -> DataFrame:
-    out = df.withColumn("raw_response", F.regexp_replace(response, r"(?U)^\s+|\s+$", ""))
+    out = df.withColumn("raw_response", strip(response))
     out = out.withColumn("_empty", F.coalesce(F.col("raw_response") == "", F.lit(True)))
     return structured_answer(out, response, residual)
 
@@ -253,7 +255,7 @@ def _result(df: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def _verdict_first(df: DataFrame, response: str, residual: bool) -> DataFrame:
-    out = df.withColumn("raw_response", F.regexp_replace(response, r"(?U)^\s+|\s+$", ""))
+    out = df.withColumn("raw_response", strip(response))
     out = out.withColumn("_empty", F.coalesce(F.col("raw_response") == "", F.lit(True)))
     out = out.withColumn("_verdict", F.lower(A.verdict(response)))
     # Only answers without a verdict go on to parsing and scoring.

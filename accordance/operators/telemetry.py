@@ -63,13 +63,16 @@ def cumulative(
     return running_sum(sessions, order, value, "cumulative")
 
 
-def _seconds(start: str, end: str):
-    return (F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) / 1e6
+def _micros(start: str, end: str):
+    """Exact difference, so that rates need a single division."""
+    return F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(
+        F.col(start).cast("timestamp")
+    )
 
 
 def session_rates(sessions: DataFrame) -> DataFrame:
     """Duration, success share and items per minute; 0 where undefined."""
-    minutes = _seconds("start_time", "end_time") / 60
+    minutes = _micros("start_time", "end_time") / 60_000_000
     return sessions.select(
         "*",
         minutes.alias("duration_minutes"),
@@ -89,14 +92,14 @@ def progress(sessions: DataFrame, total_items: int | DataFrame) -> DataFrame:
     one-row frame."""
     whole = F.lit(total_items) if isinstance(total_items, int) else total_items.scalar()
     timed = F.col("start_time").isNotNull() & F.col("end_time").isNotNull()
-    span = F.when(timed, F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp")))
+    span = F.when(timed, _micros("start_time", "end_time"))
     sums = sessions.agg(
         F.coalesce(F.sum("ok"), F.lit(0)).alias("done"),
         F.coalesce(F.sum(F.when(timed, F.col("ok"))), F.lit(0)).alias("timed_done"),
         F.coalesce(F.sum(span), F.lit(0)).alias("micros"),
     ).withColumn("total", whole.cast("bigint"))
     left = F.col("total") - F.col("done")
-    rate = ratio(F.col("timed_done"), F.col("micros") / 3.6e9)
+    rate = ratio(F.col("timed_done"), F.col("micros") / 3_600_000_000)
     return sums.select(
         "total",
         "done",
@@ -111,7 +114,7 @@ def item_eta(
     done: DataFrame, total: int, start: str = "start_time", now: str = "now", n: str = "done"
 ) -> DataFrame:
     """Elapsed, mean per item and estimated seconds left per progress record."""
-    elapsed = _seconds(start, now)
+    elapsed = _micros(start, now) / 1_000_000
     mean = ratio(elapsed, col(n))
     return done.select(
         "*",

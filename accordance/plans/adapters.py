@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accordance.operators.ordered import within_groups
+from accordance.session import spread
+
 ANNOTATORS = ("alpha", "beta", "gamma")
 
 
@@ -16,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose texts are about to be worked on, spread over all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def key_text(c: str | Column) -> Column:
     """`k` + id, padded with zeros to seven digits and never cut."""
     s = (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -202,14 +210,12 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Microseconds since the user's previous event."""
-    from accordance.operators.ordered import within_groups
-
     ev = table(spark, sf_dir, "events").select(
-        "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+        "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")
     )
-    chained = within_groups(ev, "user_id", ["at", "event_id"], "at", seq="seq", prev="prev_at")
+    chained = within_groups(ev, "user_id", ["at_us", "event_id"], "at_us", seq="seq", prev="prev_us")
     return chained.where("seq > 1").select(
-        "user_id", "event_id", "at", (F.col("at") - F.col("prev_at")).alias("duration")
+        "user_id", "event_id", "at_us", (F.col("at_us") - F.col("prev_us")).alias("duration")
     )
 
 
@@ -244,7 +250,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 5, "")
         .otherwise(text)
     )
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text", "source", "n_chars").select(
         key_text("doc_id").alias("item_key"),
         F.col("source").alias("repository"),
         n.cast("bigint").alias("n_chars"),
@@ -318,10 +324,10 @@ VIEWS = {
              count(*) FILTER (WHERE event_type = 'error') AS failed
       FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')""",
     "durations": """
-      SELECT user_id, event_id, at, at - prev_at AS duration FROM (
-        SELECT user_id, event_id, epoch_us(ts) AS at,
-               lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_at
-        FROM events) WHERE prev_at IS NOT NULL""",
+      SELECT user_id, event_id, at_us, at_us - prev_us AS duration FROM (
+        SELECT user_id, event_id, epoch_us(ts) AS at_us,
+               lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_us
+        FROM events) WHERE prev_us IS NOT NULL""",
     "responses": f"""
       SELECT {_KEY.format('doc_id')} AS item_key, source AS repository, n_chars, doc_id % 7 AS form,
              doc_id, text,

@@ -147,7 +147,7 @@ def patterns(spark, d):
 
 
 def _labelled_responses(spark, d):
-    t = V.table(spark, d, "documents")
+    t = V.texts(spark, d, "documents", "source", "text", "n_chars")
     return t.select(
         F.col("source").alias("repo_name"),
         X.indicator_label("text").alias("label"),

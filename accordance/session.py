@@ -41,3 +41,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a bare scan over all cores, where the scan has fewer splits than that.
+
+    A small or badly split input would leave text-heavy work to a few tasks. A large
+    one has more splits than cores and is left alone, so nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -33,7 +33,7 @@ def _plain(value):
     if isinstance(value, (int, decimal.Decimal)):
         return float(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.12g}")
+        return "nan" if math.isnan(value) else value
     if isinstance(value, (list, tuple)):
         return tuple(_plain(v) for v in value)
     if isinstance(value, dt.datetime):
