@@ -212,21 +212,30 @@ def bare_justification(text: Column | str, longer_than: int = 10) -> Column:
 # Scoring
 
 
-def pure_score(text: Column | str) -> Column:
-    return _count(F.lower(col(text)), PURE_PHRASES)
+# The functions below search a text dozens of times. ``lowered`` says that the column
+# is lower-case already, so that a caller can compute that once per row.
 
 
-def floss_score(text: Column | str) -> Column:
-    return _count(F.lower(col(text)), FLOSS_PHRASES)
+def _low(text: Column | str, lowered: bool) -> Column:
+    return col(text) if lowered else F.lower(col(text))
 
 
-def label_from_scores(pure: Column, floss: Column, text: Column | str) -> Column:
+def pure_score(text: Column | str, lowered: bool = False) -> Column:
+    return _count(_low(text, lowered), PURE_PHRASES)
+
+
+def floss_score(text: Column | str, lowered: bool = False) -> Column:
+    return _count(_low(text, lowered), FLOSS_PHRASES)
+
+
+def label_from_scores(
+    pure: Column, floss: Column, text: Column | str, lowered: bool = False
+) -> Column:
     """The larger count wins; on a tie a negation phrase means pure, else floss."""
-    negated = _any(F.lower(col(text)), NEGATION_PHRASES)
     return (
         F.when(pure > floss, "pure")
         .when(floss > pure, "floss")
-        .when(negated, "pure")
+        .when(_any(_low(text, lowered), NEGATION_PHRASES), "pure")
         .otherwise("floss")
     )
 
@@ -235,19 +244,19 @@ def indicator_label(text: Column | str) -> Column:
     return label_from_scores(pure_score(text), floss_score(text), text)
 
 
-def confidence(text: Column | str) -> Column:
-    t = F.lower(col(text))
+def confidence(text: Column | str, lowered: bool = False) -> Column:
+    t = _low(text, lowered)
     return F.when(_any(t, HIGH_WORDS), "high").when(_any(t, MEDIUM_WORDS), "medium").otherwise("low")
 
 
-def fallback_label(text: Column | str) -> Column:
-    t = F.lower(col(text))
+def fallback_label(text: Column | str, lowered: bool = False) -> Column:
+    t = _low(text, lowered)
     return F.when(_any(t, FALLBACK_PURE) & ~_any(t, FALLBACK_CHANGE), "pure").otherwise("floss")
 
 
-def fallback_justification(text: Column | str) -> Column:
+def fallback_justification(text: Column | str, low: Column | None = None) -> Column:
     t = col(text)
-    low = F.lower(t)
+    low = F.lower(t) if low is None else low
     themes = F.array_compact(
         F.array(*[F.when(_any(low, words), F.lit(said)) for words, said in FALLBACK_THEMES])
     )
@@ -256,8 +265,13 @@ def fallback_justification(text: Column | str) -> Column:
         (F.length(first) > 20) & (F.length(first) < 200),
         F.array(F.concat(F.lit("LLM output: "), first)),
     ).otherwise(F.array().cast("array<string>"))
-    body = F.when(F.size(themes) > 0, themes).otherwise(F.array(F.lit(FALLBACK_NO_THEME)))
-    return F.array_join(F.concat(body, quoted), ". ")
+    parts = let(
+        themes,
+        lambda found: F.when(F.size(found) > 0, found).otherwise(
+            F.array(F.lit(FALLBACK_NO_THEME))
+        ),
+    )
+    return F.array_join(F.concat(parts, quoted), ". ")
 
 
 # ---------------------------------------------------------------------------

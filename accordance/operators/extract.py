@@ -263,19 +263,22 @@ def _verdict_first(df: DataFrame, response: str, residual: bool) -> DataFrame:
     out = answer_fields(structured_answer(out, "_open", residual))
     parsed = F.col("answer_json").isNotNull() | F.col("has_key_lines")
     out = out.withColumn("_parsed", parsed)
-    scored = F.when(~F.col("_parsed"), F.col("_open"))
-    out = out.withColumns({"_pure": A.pure_score(scored), "_floss": A.floss_score(scored)})
+    out = out.withColumn("_low", F.lower(F.when(~F.col("_parsed"), F.col("_open"))))
+    scored = F.col("_low")
+    out = out.withColumns(
+        {"_pure": A.pure_score(scored, True), "_floss": A.floss_score(scored, True)}
+    )
     out = out.withColumns(
         {
             "a_refactoring_type": F.when(F.col("_parsed"), F.col("a_refactoring_type")).otherwise(
-                A.label_from_scores(F.col("_pure"), F.col("_floss"), scored)
+                A.label_from_scores(F.col("_pure"), F.col("_floss"), scored, True)
             ),
             "a_justification": F.when(F.col("_parsed"), F.col("a_justification")).otherwise(
                 F.col("raw_response")
             ),
             "a_confidence_level": F.when(
                 F.col("_parsed"), F.col("a_confidence_level")
-            ).otherwise(A.confidence(scored)),
+            ).otherwise(A.confidence(scored, True)),
         }
     )
     done = complete_fields(out)
@@ -323,6 +326,7 @@ def _structure_first(df: DataFrame, response: str, residual: bool) -> DataFrame:
     )
     out = out.withColumn("extraction_method", method)
     m = F.col("extraction_method")
+    out = out.withColumn("_low", F.lower(F.when(m == "fallback", F.col(response))))
     fallback = F.when(m == "fallback", F.col(response))
     label = (
         F.when(m == "structured", F.col("a_refactoring_type"))
@@ -332,14 +336,14 @@ def _structure_first(df: DataFrame, response: str, residual: bool) -> DataFrame:
         )
         .when(m == "bare_label", F.coalesce("_verdict", "_bare"))
         .when(m == "verdict", F.col("_verdict"))
-        .when(m == "fallback", A.fallback_label(fallback))
+        .when(m == "fallback", A.fallback_label("_low", True))
     )
     justification = (
         F.when(m == "structured", F.col("a_justification"))
         .when(m == "lines", F.col("f_justification"))
         .when(m == "bare_label", A.bare_justification(F.when(m == "bare_label", F.col(response))))
         .when(m == "verdict", F.concat(F.lit(VERDICT_JUSTIFICATION), F.col(response)))
-        .when(m == "fallback", A.fallback_justification(fallback))
+        .when(m == "fallback", A.fallback_justification(fallback, F.col("_low")))
     )
     out = out.withColumns({"_label": label, "_just": justification}).withColumns(
         {"a_refactoring_type": F.col("_label"), "a_justification": F.col("_just")}
