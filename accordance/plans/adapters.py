@@ -34,9 +34,15 @@ def key_text(c: str | Column) -> Column:
 # Detail records: many tri-state records per order
 
 
+_DETAIL_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
+)
+_ITEM_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("l_partkey")
-    return table(spark, sf_dir, "lineitem").select(
+    return texts(spark, sf_dir, "lineitem", *_DETAIL_COLUMNS).select(
         key_text("l_orderkey").alias("item_key"),
         F.when(F.col("l_returnflag") == "R", False)
         .when(F.col("l_returnflag") == "A", True)
@@ -73,7 +79,7 @@ def flawed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = F.col("l_suppkey")
-    return table(spark, sf_dir, "lineitem").select(
+    return texts(spark, sf_dir, "lineitem", *_ITEM_COLUMNS).select(
         F.concat(
             F.lit("https://example.org/org"), (supp % 7).cast("string"),
             F.lit("/repo"), supp.cast("string"),
