@@ -526,7 +526,7 @@ def size_histogram(df: DataFrame, size: str, bins: int = 20) -> DataFrame:
     ends = df.agg(F.min(size).alias("lo"), F.max(size).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
     place = F.floor(F.try_divide((F.col(size) - lo) * F.lit(bins), hi - lo))
-    bin_no = F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("bigint")
+    bin_no = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("bigint")
     return (
         df.where(F.col(size).isNotNull())
         .groupBy(bin_no.alias("bin"))

@@ -46,7 +46,7 @@ def consolidate(spark, d):
 
 
 _CONSOLIDATE = """
-, lab AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ord1, ord2, ord3) AS pos FROM details WHERE label IS NOT NULL),
+, lab AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ord1, ord2, ord3, label, kind, detail NULLS FIRST) AS pos FROM details WHERE label IS NOT NULL),
  clash AS (SELECT item_key, bool_or(label) AND bool_or(NOT label) AS c, min(pos) AS p,
                   min(CASE WHEN NOT label THEN pos END) AS pf FROM lab GROUP BY item_key),
  texts AS (SELECT l.item_key, CASE WHEN k.c THEN CASE WHEN l.label THEN '[True] ' ELSE '[False] ' END || l.detail ELSE l.detail END AS t,
@@ -61,7 +61,7 @@ _CONSOLIDATE = """
   LEFT JOIN joined j ON j.item_key = k.item_key LEFT JOIN kjoin kj ON kj.item_key = k.item_key
   UNION ALL
   SELECT item_key, NULL, kind, detail, ord1, ord2, ord3, false FROM (
-    SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ord1, ord2, ord3) AS rn
+    SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ord1, ord2, ord3, detail NULLS FIRST, kind) AS rn
     FROM details WHERE label IS NULL) WHERE rn = 1)"""
 
 
