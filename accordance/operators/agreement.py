@@ -284,9 +284,9 @@ def repo_matrix(
 
 
 def project_matches(items: DataFrame, keys: DataFrame, project: str = "project_name") -> DataFrame:
-    """Matched keys per project and column; the project with most matches is marked."""
+    """Matched keys per project, in all and per key column."""
     sides = keys_of_items(items.select(project, "before_key", "after_key"))
-    stats = (
+    return (
         sides.join(keys.select("item_key"), "item_key", "left_semi")
         .groupBy(project)
         .agg(
@@ -295,10 +295,11 @@ def project_matches(items: DataFrame, keys: DataFrame, project: str = "project_n
             count_where(F.col("side") == 2).alias("after_matches"),
         )
     )
-    best = stats.agg(
-        F.min_by(project, F.struct(-F.col("total_matches"), F.col(project)))
-    ).scalar()
-    return stats.withColumn("is_top", F.col(project) == best)
+
+
+def top_project(matches: DataFrame, project: str = "project_name") -> DataFrame:
+    """The project with most matches."""
+    return matches.orderBy(F.desc("total_matches"), project).limit(1)
 
 
 def key_counts(df: DataFrame, key: str) -> DataFrame:

@@ -80,11 +80,14 @@ def label_increment(
     reference: str | None = None,
     limit: int | None = None,
     skip_labelled: bool = True,
+    score_first: bool | None = None,
 ) -> DataFrame:
     """Label the pending part of a ledger and return the whole ledger.
 
     ``outcome`` tells per row whether it was labelled, failed or left as it was.
-    Keys and responses are unique per key.
+    Keys and responses are unique per key. ``score_first`` scores each response where
+    it is read, so that only labels are shuffled; it is the default for the native
+    scorer. A costly scorer is better asked about the pending keys alone.
     """
     work = ledger
     if reference is not None:
@@ -94,10 +97,16 @@ def label_increment(
     work = work.select("item_key")
     if limit is not None:
         work = work.orderBy("item_key").limit(limit)
-    asked = work.join(responses.select("item_key", "response"), "item_key", "left")
-    scored = scorer(asked).select(
+    answers = responses.select("item_key", "response")
+    if score_first or (score_first is None and scorer is native_scorer):
+        scored = work.join(scorer(answers), "item_key", "left")
+    else:
+        scored = scorer(work.join(answers, "item_key", "left"))
+    scored = scored.select(
         "item_key",
-        F.when(F.col("status") == "OK", F.col("label")).otherwise(F.col("status")).alias("_new"),
+        F.when(F.col("status") == "OK", F.col("label"))
+        .otherwise(F.coalesce("status", F.lit("FAILED")))
+        .alias("_new"),
     )
     return ledger.join(scored, "item_key", "left").select(
         *[c for c in ledger.columns if c != C],

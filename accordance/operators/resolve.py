@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from accordance.functions import labels as L
 from accordance.functions.common import count_where
-from accordance.operators.ordered import first_per_key
 
 
 def _state_tests(df: DataFrame, state: str) -> tuple[Column, Column, Column]:
@@ -83,8 +82,7 @@ def consolidate(
     # Ordering columns first: the smallest struct is the first row, ties included.
     row = F.struct(*[F.col(c) for c in [*order, *[c for c in others if c not in order]]])
 
-    labelled = df.where(F.col(label).isNotNull())
-    folded = labelled.groupBy(key, label, kind, detail).agg(F.min(row).alias("_row"))
+    folded = df.groupBy(key, label, kind, detail).agg(F.min(row).alias("_row"))
     entry = F.struct(
         "_row", F.col(label).alias("l"), F.col(kind).alias("k"), F.col(detail).alias("d")
     )
@@ -92,12 +90,14 @@ def consolidate(
     text = F.struct(
         at.alias("at"), F.col(label).alias("l"), F.col(kind).alias("k"), F.col(detail).alias("d")
     )
+    has_label = F.col(label).isNotNull()
     grouped = folded.groupBy(key).agg(
         F.bool_or(label).alias("_any_true"),
         F.bool_or(~F.col(label)).alias("_any_false"),
-        F.min(entry).alias("_first"),
+        F.min(F.when(has_label, entry)).alias("_first"),
         F.min(F.when(~F.col(label), entry)).alias("_first_false"),
-        F.array_sort(F.collect_list(text)).alias("_all"),
+        F.min(F.when(~has_label, entry)).alias("_unlabelled"),
+        F.array_sort(F.collect_list(F.when(has_label, text))).alias("_all"),
     )
 
     def joined(piece) -> Column:
@@ -110,22 +110,38 @@ def consolidate(
             F.concat(F.when(e["l"], "[True] ").otherwise("[False] "), e["d"]),
         )
     )
-    clash = F.col("_any_true") & F.col("_any_false")
-    labelled_out = (
-        grouped.withColumn("had_conflict", clash)
+    clash = F.coalesce(F.col("_any_true") & F.col("_any_false"), F.lit(False))
+    resolved = (
+        grouped.withColumn("_clash", clash)
         .withColumn("_base", F.when(clash, F.col("_first_false")).otherwise(F.col("_first")))
         .withColumn("_details", F.when(clash, tagged).otherwise(joined(lambda e: e["d"])))
         .withColumn("_kinds", F.when(~clash, joined(lambda e: e["k"])))
-        .select(
-            key,
-            F.col("_base.l").alias(label),
-            F.coalesce("_kinds", F.col("_base.k")).alias(kind),
-            F.coalesce("_details", F.col("_base.d")).alias(detail),
-            *[F.col("_base._row")[c].alias(c) for c in others],
-            "had_conflict",
-        )
     )
-    unlabelled = first_per_key(df.where(F.col(label).isNull()), key, order).select(
-        key, label, kind, detail, *others, F.lit(False).alias("had_conflict")
+
+    def record(base: str, kinds: Column, details: Column, conflict: Column) -> Column:
+        return F.when(
+            F.col(base).isNotNull(),
+            F.struct(
+                F.col(f"{base}.l").alias(label),
+                kinds.alias(kind),
+                details.alias(detail),
+                *[F.col(f"{base}._row")[c].alias(c) for c in others],
+                conflict.alias("had_conflict"),
+            ),
+        )
+
+    # A key yields its labelled record, its unlabelled one, or both.
+    records = F.array_compact(
+        F.array(
+            record(
+                "_base",
+                F.coalesce("_kinds", F.col("_base.k")),
+                F.coalesce("_details", F.col("_base.d")),
+                F.col("_clash"),
+            ),
+            record(
+                "_unlabelled", F.col("_unlabelled.k"), F.col("_unlabelled.d"), F.lit(False)
+            ),
+        )
     )
-    return labelled_out.unionByName(unlabelled)
+    return resolved.select(key, F.inline(records))

@@ -46,7 +46,7 @@ def consolidate(spark, d):
 
 
 _CONSOLIDATE = """
-, lab AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ord1, ord2, ord3, label, kind, detail NULLS FIRST) AS pos FROM details WHERE label IS NOT NULL),
+, lab AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ord1, ord2, ord3, label, kind NULLS FIRST, detail NULLS FIRST) AS pos FROM details WHERE label IS NOT NULL),
  clash AS (SELECT item_key, bool_or(label) AND bool_or(NOT label) AS c, min(pos) AS p,
                   min(CASE WHEN NOT label THEN pos END) AS pf FROM lab GROUP BY item_key),
  texts AS (SELECT l.item_key, CASE WHEN k.c THEN CASE WHEN l.label THEN '[True] ' ELSE '[False] ' END || l.detail ELSE l.detail END AS t,
@@ -61,7 +61,7 @@ _CONSOLIDATE = """
   LEFT JOIN joined j ON j.item_key = k.item_key LEFT JOIN kjoin kj ON kj.item_key = k.item_key
   UNION ALL
   SELECT item_key, NULL, kind, detail, ord1, ord2, ord3, false FROM (
-    SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ord1, ord2, ord3, detail NULLS FIRST, kind) AS rn
+    SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ord1, ord2, ord3, kind NULLS FIRST, detail NULLS FIRST) AS rn
     FROM details WHERE label IS NULL) WHERE rn = 1)"""
 
 
@@ -134,6 +134,10 @@ def project_matches(spark, d):
     return G.project_matches(V.items(spark, d), V.graded(spark, d).select("item_key"))
 
 
+def project_top(spark, d):
+    return G.top_project(project_matches(spark, d))
+
+
 def duplicate_report(spark, d):
     return G.duplicate_report(V.items(spark, d), "after_key")
 
@@ -305,6 +309,11 @@ def _agg(n: str) -> str:
             "count(*) FILTER (WHERE agreement) / count(*)::DOUBLE * 100 AS agreement_pct FROM compared")
 
 
+_MATCHES = """SELECT project_name, count(*) AS total_matches, count(*) FILTER (WHERE side = 1) AS before_matches,
+   count(*) FILTER (WHERE side = 2) AS after_matches FROM (
+     SELECT project_name, before_key AS k, 1 AS side FROM items UNION ALL SELECT project_name, after_key, 2 FROM items)
+   WHERE k IN (SELECT item_key FROM graded) GROUP BY project_name"""
+
 QUERIES = {
     "value_counts": (
         value_counts,
@@ -428,12 +437,11 @@ QUERIES = {
     ),
     "project_matches": (
         project_matches,
-        sql("""SELECT *, rank() OVER (ORDER BY total_matches DESC, project_name) = 1 AS is_top FROM (
-               SELECT project_name, count(*) AS total_matches, count(*) FILTER (WHERE side = 1) AS before_matches,
-               count(*) FILTER (WHERE side = 2) AS after_matches FROM (
-                 SELECT project_name, before_key AS k, 1 AS side FROM items UNION ALL
-                 SELECT project_name, after_key, 2 FROM items)
-               WHERE k IN (SELECT item_key FROM graded) GROUP BY project_name)""", "graded", "items"),
+        sql(_MATCHES, "graded", "items"),
+    ),
+    "project_top": (
+        project_top,
+        sql(_MATCHES + " ORDER BY total_matches DESC, project_name LIMIT 1", "graded", "items"),
     ),
     "duplicate_report": (
         duplicate_report,

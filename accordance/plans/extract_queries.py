@@ -132,6 +132,15 @@ def quarantine(spark, d):
     return E.failures(E.cascade(V.responses(spark, d))).select("item_key", "repository", "error", "attempt")
 
 
+def bracket_scan(spark, d):
+    """The JSON value inside a sentence, found by the Python bracket scan."""
+    said = V.table(spark, d, "events").select(
+        "event_id",
+        F.concat(F.lit("the "), "event_type", F.lit(' event "said '), "props", F.lit(" } and went")).alias("response"),
+    )
+    return E.any_json_value(said).select("event_id", "json_value")
+
+
 CUT = {"max_chars": 500, "lines_per_section": 2, "header": "[A-E]", "kept": ",",
        "note": "... (lines omitted)", "cut_note": "... (text cut)"}
 
@@ -344,6 +353,7 @@ QUERIES = {
         sql(f"SELECT item_key, {_FALLBACK} AS label, {_FALLBACK_TEXT} AS justification FROM responses", "responses"),
     ),
     "key_lines": (key_lines, f"SELECT doc_id, {_key_lines('text')} AS has_key_lines FROM documents"),
+    "bracket_scan": (bracket_scan, "SELECT event_id, props AS json_value FROM events"),
     "min_structure": (
         min_structure, sql(f"SELECT item_key, {_HAS_OBJECT} AS usable FROM responses", "responses"),
     ),

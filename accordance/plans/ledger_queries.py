@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accordance.operators import ledger as M
+from accordance.operators import scorer as K
 from accordance.plans import adapters as V
 from accordance.plans.adapters import sql
 from accordance.plans.agreement_queries import sql_score
@@ -73,6 +74,35 @@ def change_log(spark, d):
     return M.change_log(led, M.apply_recovery(led, recover_first(spark, d)))
 
 
+def random_pending(spark, d):
+    return M.random_pending(_alpha(spark, d), 7)
+
+
+def analysed_keys(spark, d):
+    log = V.table(spark, d, "documents").select(
+        F.when(F.col("doc_id") % 2 == 0, V.key_text("doc_id")).alias("commit2"),
+        F.when(F.col("doc_id") % 3 == 0, V.key_text("doc_id")).alias("commit_hash_current"),
+    )
+    return M.analysed_keys(log)
+
+
+def _answer(text: str) -> str | None:
+    """A stand-in for a user's scorer that answers, stays silent or breaks."""
+    n = len(text)
+    if n % 11 == 0:
+        raise ValueError("unreadable")
+    return None if n % 7 == 0 else f"FINAL: {'PURE' if n % 2 == 0 else 'FLOSS'}"
+
+
+def user_scorer(spark, d):
+    asked = V.texts(spark, d, "documents", "doc_id", "text").select(
+        V.key_text("doc_id").alias("item_key"), F.col("text").alias("request")
+    )
+    return K.ask_all(asked, _answer).select(
+        "item_key", "response", "status", F.col("attempts").cast("bigint").alias("attempts"), "error"
+    )
+
+
 _INCREMENT = f"""incr AS (SELECT a.item_key, a.reference_label,
    CASE WHEN w THEN CASE WHEN r.response = '' THEN 'FAILED' ELSE upper({sql_score('r.response')}) END ELSE a.candidate_label END AS candidate_label,
    CASE WHEN w THEN CASE WHEN r.response = '' THEN 'failed' ELSE 'labelled' END ELSE 'kept' END AS outcome
@@ -131,4 +161,19 @@ QUERIES = {
         sql("""SELECT item_key, NULL::VARCHAR AS old_label, candidate_label AS new_label, 'new' AS change FROM found""",
             "alpha", "snapshots", extra=_FIRST),
     ),
+    # Spark's hash gives the order, so this one has no SQL.
+    "random_pending": (random_pending, None),
+    "analysed_keys": (
+        analysed_keys,
+        "SELECT printf('k%07d', doc_id) AS item_key FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    ),
+    "user_scorer": (
+        user_scorer,
+        """SELECT printf('k%07d', doc_id) AS item_key,
+           CASE WHEN length(text) % 11 = 0 OR length(text) % 7 = 0 THEN NULL
+                WHEN length(text) % 2 = 0 THEN 'FINAL: PURE' ELSE 'FINAL: FLOSS' END AS response,
+           CASE WHEN length(text) % 11 = 0 THEN 'ERROR' WHEN length(text) % 7 = 0 THEN 'FAILED' ELSE 'OK' END AS status,
+           CASE WHEN length(text) % 11 = 0 OR length(text) % 7 = 0 THEN 3 ELSE 1 END AS attempts,
+           CASE WHEN length(text) % 11 = 0 THEN 'ValueError: unreadable' END AS error FROM documents""",
+    ),
 }
