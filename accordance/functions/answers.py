@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 from accordance.functions.common import WHITESPACE_RUN, col, found, let, strip
 
 # ---------------------------------------------------------------------------
-# Parts of an answer that carry reasoning or echo the request.
+# Parts of an answer that carry reasoning or echo the request, as
+# (opening, closing) pairs or as whole patterns.
 THINK_BLOCKS = (
-    r"(?is)<think\b[^>]*>.*?</think>",
+    (r"<think\b[^>]*>", r"</think>"),
     r"(?is)<think\b[^>]*/>",
-    r"(?is)<<think>>.*?<</think>>",
+    (r"<<think>>", r"<</think>>"),
     r"(?imd)^\s*\[?\(?think\)?\]?[:\-\s].*$",
 )
 ECHOED_TEXT = (
-    r"(?is)CRITICAL:\s*You\s+must\s+respond.*?before\s+or\s+after\.",
-    r"(?is)Analyze\s+this\s+Git\s+diff\s+and\s+classify.*?refactoring\.",
+    (r"CRITICAL:\s*You\s+must\s+respond", r"before\s+or\s+after\."),
+    (r"Analyze\s+this\s+Git\s+diff\s+and\s+classify", r"refactoring\."),
     r"(?imd)^You\s+are\s+an?\s+expert.*$",
     r"(?imd)^Based\s+on\s+the\s+provided.*$",
 )
-
 ECHO_WORDS = ("critical:", "analyze", "expert", "based")
 
 # Verdict patterns, highest priority first.
@@ -103,6 +103,7 @@ OBJECT_PATTERNS = (
     r"```\s*(\{[\s\S]*?\})\s*```",
     r"(\{[\s\S]*?\})",
 )
+OBJECT_OPENINGS = (r"```json\s*\{", r"```\s*\{", r"\{")
 KEY_LINE = (
     r"([\"']?)([a-zA-Z0-9_\- ]{3,40}+)\1\s*[:=]\s*([\"']?)([^\n\r]+?)\3(?:\n|\z)"
 )
@@ -115,9 +116,19 @@ def _any(text: Column, words: Sequence[str]) -> Column:
     return hit
 
 
-def _replaced(text: Column, patterns: Sequence[str]) -> Column:
+def _replaced(text: Column, patterns: Sequence[str | tuple[str, str]]) -> Column:
+    """Text without the parts that match.
+
+    An opening that is never closed is matched together with all that follows and
+    put back, so a text full of open ends is not searched again from each of them.
+    """
     for p in patterns:
-        text = F.regexp_replace(text, p, "")
+        if isinstance(p, tuple):
+            opening, closing = p
+            whole = rf"(?is){opening}.*?{closing}|({opening}.*)\z"
+            text = F.regexp_replace(text, whole, "$1")
+        else:
+            text = F.regexp_replace(text, p, "")
     return text
 
 
@@ -294,11 +305,20 @@ def is_object_text(text: Column) -> Column:
     )
 
 
+def _pieces(text: Column, pattern: str, opening: str) -> Column:
+    """Matches of a pattern. Where it fails from one opening it fails from all later
+    ones, so the rest of the text is taken in one empty match."""
+    return F.regexp_extract_all(text, F.lit(rf"{pattern}|{opening}[\s\S]*\z"), F.lit(1))
+
+
 def object_candidates(text: Column) -> Column:
     """Object-like pieces of a text, in the order they are tried."""
-    return F.concat(
-        *[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in OBJECT_PATTERNS]
-    )
+    return F.concat(*[_pieces(text, p, o) for p, o in zip(OBJECT_PATTERNS, OBJECT_OPENINGS)])
+
+
+def brace_pieces(text: Column) -> Column:
+    """The last kind of candidates only: from a brace to the next closing one."""
+    return _pieces(text, OBJECT_PATTERNS[-1], OBJECT_OPENINGS[-1])
 
 
 def repair_object(text: Column) -> Column:

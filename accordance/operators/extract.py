@@ -68,8 +68,9 @@ def structured_answer(
         "_good", F.get(F.filter("_pieces", A.is_object_text), F.lit(0))
     )
     # Repairs apply to the object that opens first in the text.
-    first = F.get(F.col("_pieces"), F.size("_pieces") - F.size(
-        F.regexp_extract_all("_clean", F.lit(A.OBJECT_PATTERNS[-1]), F.lit(1))))
+    first = F.get(
+        F.col("_pieces"), F.size("_pieces") - F.size(A.brace_pieces(F.col("_clean")))
+    )
     out = out.withColumn("_mended", A.repair_object(first))
     native = (
         F.when(A.is_object_text(F.col("_whole")), F.col("_whole"))

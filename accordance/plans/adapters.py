@@ -106,6 +106,7 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return docs.join(marks, "doc_id", "left").select(
         "doc_id",
+        "lang",
         key_text("doc_id").alias("item_key"),
         F.when(F.col("quality") == 1, "TRUE")
         .when(F.col("quality") == 0, "FALSE")
@@ -138,10 +139,14 @@ def _votes() -> dict[str, Column]:
 _LEDGER_COLUMNS = ("item_key", "reference_label", "project", "project_name", "n_chars")
 
 
+# The third annotator does not know every language, so it lacks those keys.
+_READS_GAMMA = "lang <> 'de'"
+
+
 def ledger(spark: SparkSession, sf_dir: str, annotator: str = "alpha") -> DataFrame:
     base = graded(spark, sf_dir)
     if annotator == "gamma":
-        base = base.where("doc_id % 4 <> 0")
+        base = base.where(_READS_GAMMA)
     return base.select(*_LEDGER_COLUMNS, _votes()[annotator].alias("candidate_label"))
 
 
@@ -152,7 +157,7 @@ def ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(
             *[
                 F.when(
-                    F.lit(True) if a != "gamma" else F.col("doc_id") % 4 != 0,
+                    F.lit(True) if a != "gamma" else F.expr(_READS_GAMMA),
                     F.struct(F.lit(a).alias("annotator"), votes[a].alias("candidate_label")),
                 )
                 for a in ANNOTATORS
@@ -165,27 +170,18 @@ def ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two earlier copies of the alpha ledger that hold labels it has lost."""
+    """Two earlier copies of the whole alpha ledger; they hold labels it has lost."""
     i = F.col("doc_id")
-    rows = F.array_compact(
-        F.array(
-            F.when(
-                i % 26 == 0,
-                F.struct(
-                    F.lit("PURE").alias("candidate_label"),
-                    F.lit("snapshot_1").alias("source"),
-                    F.lit(1).alias("taken_at"),
-                ),
-            ),
-            F.when(
-                i % 13 == 0,
-                F.struct(
-                    F.lit("FLOSS").alias("candidate_label"),
-                    F.lit("snapshot_2").alias("source"),
-                    F.lit(2).alias("taken_at"),
-                ),
-            ),
-        )
+    alpha = _votes()["alpha"]
+    rows = F.array(
+        *[
+            F.struct(
+                F.when(i % lost == 0, label).otherwise(alpha).alias("candidate_label"),
+                F.lit(f"snapshot_{n}").alias("source"),
+                F.lit(n).alias("taken_at"),
+            )
+            for n, lost, label in ((1, 26, "PURE"), (2, 13, "FLOSS"))
+        ]
     )
     return table(spark, sf_dir, "documents").select(key_text("doc_id").alias("item_key"), F.inline(rows))
 
@@ -288,26 +284,26 @@ VIEWS = {
              l_orderkey AS ord0, l_linenumber AS ord1, l_partkey AS ord2, l_suppkey AS ord3
       FROM lineitem""",
     "graded": f"""
-      SELECT d.doc_id, {_KEY.format('d.doc_id')} AS item_key,
+      SELECT d.doc_id, d.lang, {_KEY.format('d.doc_id')} AS item_key,
              CASE l.quality WHEN 1 THEN 'TRUE' WHEN 0 THEN 'FALSE' ELSE 'NONE' END AS reference_label,
              'https://example.org/' || d.lang || '/' || d.source AS project,
              d.source AS project_name, d.n_chars, l.quality, l.toxic
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "ledgers": """
-      SELECT item_key, reference_label, project, project_name, n_chars, 'alpha' AS annotator,
+      SELECT doc_id, item_key, reference_label, project, project_name, n_chars, 'alpha' AS annotator,
              CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 'FAILED'
                   WHEN doc_id % 101 = 0 THEN 'ERROR' WHEN n_chars % 3 = 0 THEN 'PURE'
                   ELSE 'FLOSS' END AS candidate_label
       FROM graded
       UNION ALL
-      SELECT item_key, reference_label, project, project_name, n_chars, 'beta',
+      SELECT doc_id, item_key, reference_label, project, project_name, n_chars, 'beta',
              CASE WHEN doc_id % 7 = 0 THEN NULL
                   WHEN quality = 1 AND doc_id % 5 <> 0 THEN 'PURE' ELSE 'FLOSS' END
       FROM graded
       UNION ALL
-      SELECT item_key, reference_label, project, project_name, n_chars, 'gamma',
+      SELECT doc_id, item_key, reference_label, project, project_name, n_chars, 'gamma',
              CASE WHEN toxic = 1 THEN 'FLOSS' WHEN n_chars > 2000 THEN 'PURE' ELSE 'FLOSS' END
-      FROM graded WHERE doc_id % 4 <> 0""",
+      FROM graded WHERE lang <> 'de'""",
     "alpha": "SELECT * FROM ledgers WHERE annotator = 'alpha'",
     "normal": """
       SELECT *, CASE reference_label WHEN 'TRUE' THEN 'PURE' WHEN 'FALSE' THEN 'FLOSS'
@@ -318,11 +314,12 @@ VIEWS = {
       SELECT *, coalesce(reference_normalized = candidate_label, false) AS agreement
       FROM normal
       WHERE candidate_label IS NOT NULL AND candidate_label NOT IN ('FAILED', 'ERROR')""",
-    "snapshots": f"""
-      SELECT {_KEY.format('doc_id')} AS item_key, 'PURE' AS candidate_label,
-             'snapshot_1' AS source, 1 AS taken_at FROM documents WHERE doc_id % 26 = 0
+    "snapshots": """
+      SELECT item_key, CASE WHEN doc_id % 26 = 0 THEN 'PURE' ELSE candidate_label END AS candidate_label,
+             'snapshot_1' AS source, 1 AS taken_at FROM alpha
       UNION ALL
-      SELECT {_KEY.format('doc_id')}, 'FLOSS', 'snapshot_2', 2 FROM documents WHERE doc_id % 13 = 0""",
+      SELECT item_key, CASE WHEN doc_id % 13 = 0 THEN 'FLOSS' ELSE candidate_label END,
+             'snapshot_2', 2 FROM alpha""",
     "sessions": """
       SELECT 's_' || user_id::VARCHAR || '_' || strftime(ts, '%Y-%m-%d') AS session_id,
              min(ts) AS start_time, max(ts) AS end_time, count(*) AS total_processed,
@@ -357,6 +354,7 @@ NEEDS = {
     "alpha": ("ledgers",),
     "normal": ("ledgers",),
     "compared": ("normal",),
+    "snapshots": ("alpha",),
 }
 
 

@@ -108,10 +108,10 @@ _INCREMENT = f"""incr AS (SELECT a.item_key, a.reference_label,
    CASE WHEN w THEN CASE WHEN r.response = '' THEN 'failed' ELSE 'labelled' END ELSE 'kept' END AS outcome
    FROM (SELECT *, candidate_label IS NULL AND reference_label = 'NONE' AS w FROM alpha) a
    LEFT JOIN responses r ON a.item_key = r.item_key)"""
-_FOUND = """found AS (SELECT item_key, CASE WHEN count(*) = 2 THEN '{0}' ELSE 'FLOSS' END AS candidate_label,
-   CASE WHEN count(*) = 2 THEN '{1}' ELSE 'snapshot_2' END AS source FROM snapshots
-   WHERE item_key IN (SELECT item_key FROM alpha WHERE candidate_label IS NULL) GROUP BY item_key)"""
-_FIRST, _LAST = _FOUND.format("PURE", "snapshot_1"), _FOUND.format("FLOSS", "snapshot_2")
+_FOUND = """found AS (SELECT item_key, {0}(candidate_label, taken_at) AS candidate_label, {0}(source, taken_at) AS source
+   FROM snapshots WHERE candidate_label IS NOT NULL
+   AND item_key IN (SELECT item_key FROM alpha WHERE candidate_label IS NULL) GROUP BY item_key)"""
+_FIRST, _LAST = _FOUND.format("arg_min"), _FOUND.format("arg_max")
 
 QUERIES = {
     "first_n_pending": (
