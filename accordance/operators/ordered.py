@@ -90,14 +90,16 @@ def within_groups(
     # A group crosses a slice border only as the last group of a slice or the
     # first of the next: at most two (slice, group) pairs per slice.
     edges = rows.groupBy("_slice").agg(
-        F.array(
-            F.min_by(group, "_pos").alias("g"), F.max_by(group, "_pos").alias("g")
-        ).alias("_edge")
+        F.min_by(group, "_pos").alias("_first_group"),
+        F.max_by(group, "_pos").alias("_last_group"),
+    )
+    at_edge = F.col("_group").eqNullSafe(F.col("_first_group")) | F.col("_group").eqNullSafe(
+        F.col("_last_group")
     )
     border = (
         rows.select("_slice", "_pos", F.col(group).alias("_group"), "_value")
         .join(F.broadcast(edges), "_slice")  # one row per slice
-        .where(F.array_contains("_edge", F.col("_group")))
+        .where(at_edge)
         .groupBy("_slice", "_group")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -121,7 +123,7 @@ def within_groups(
         .withColumnRenamed("_slice", "_at")
         .join(
             F.broadcast(carried),  # at most two rows per slice
-            (F.col("_at") == F.col("_slice")) & (F.col(group) == F.col("_group")),
+            (F.col("_at") == F.col("_slice")) & F.col(group).eqNullSafe(F.col("_group")),
             "left",
         )
         .withColumn(seq, (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("bigint"))

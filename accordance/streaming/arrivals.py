@@ -1,4 +1,9 @@
-"""Arriving response files are labelled and upserted into a versioned ledger."""
+"""Arriving response files are labelled as they land and upserted into a ledger.
+
+A batch only writes its own labels and failures, each into a folder of its own, so a
+batch that is run again replaces itself and the ledger is not rewritten per batch.
+``merge_arrivals`` brings all new batches into one new ledger version.
+"""
 
 from __future__ import annotations
 
@@ -25,36 +30,15 @@ def read_arrivals(
     return reader.json(folder)
 
 
-def upsert(ledger: DataFrame, labelled: DataFrame, batch_id: int) -> DataFrame:
-    """Ledger with the batch's labels. A batch seen before changes nothing more,
-    because a row keeps the last batch number that wrote it."""
-    new = labelled.select(
-        "item_key",
-        F.when(F.col("status") == "ok", F.upper("label")).otherwise("FAILED").alias("_label"),
-    )
-    old = ledger if "batch_id" in ledger.columns else ledger.withColumn(
-        "batch_id", F.lit(-1).cast("bigint")
-    )
-    fresh = F.col("_label").isNotNull() & (F.coalesce("batch_id", F.lit(-1)) < batch_id)
-    return old.join(new, "item_key", "full_outer").select(
-        "item_key",
-        F.coalesce("reference_label", F.lit("NOT_FOUND")).alias("reference_label"),
-        F.when(fresh, F.col("_label")).otherwise(F.col("candidate_label")).alias("candidate_label"),
-        F.when(fresh, F.lit(batch_id)).otherwise(F.col("batch_id")).cast("bigint").alias("batch_id"),
-    )
-
-
 def label_arrivals(
     arrivals: DataFrame,
-    ledger_path: str,
-    failures_path: str,
+    work_path: str,
     checkpoint: str,
     label: Callable[[DataFrame], DataFrame] = E.cascade,
 ):
     """Start the job: all files there are, then stop. Progress is in ``checkpoint``."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         # One answer per key and batch: the latest to arrive.
         one = first_per_key(
             batch.where(F.col("item_key").isNotNull()),
@@ -62,11 +46,12 @@ def label_arrivals(
         )
         labelled = label(one).persist()
         try:
-            ledger = W.read_version(spark, ledger_path)
-            W.append_failures(
-                E.failures(labelled).withColumn("batch_id", F.lit(batch_id)), failures_path
+            labelled.select("item_key", "label", "status", "extraction_method").write.mode(
+                "overwrite"
+            ).parquet(f"{work_path}/labels/batch_id={batch_id}")
+            E.failures(labelled).write.mode("overwrite").parquet(
+                f"{work_path}/failures/batch_id={batch_id}"
             )
-            W.write_version(upsert(ledger, labelled, batch_id), ledger_path)
         finally:
             labelled.unpersist()
 
@@ -76,3 +61,39 @@ def label_arrivals(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def upsert(ledger: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Ledger with new labels (one row per key with its ``batch_id``). A row keeps the
+    number of the batch that wrote it, so merging a batch again changes nothing."""
+    new = labelled.select(
+        "item_key",
+        F.when(F.col("status") == "ok", F.upper("label")).otherwise("FAILED").alias("_label"),
+        F.col("batch_id").alias("_batch"),
+    )
+    old = ledger if "batch_id" in ledger.columns else ledger.withColumn(
+        "batch_id", F.lit(-1).cast("bigint")
+    )
+    fresh = F.coalesce(F.col("_batch") > F.coalesce("batch_id", F.lit(-1)), F.lit(False))
+    return old.join(new, "item_key", "full_outer").select(
+        "item_key",
+        F.coalesce("reference_label", F.lit("NOT_FOUND")).alias("reference_label"),
+        F.when(fresh, F.col("_label")).otherwise(F.col("candidate_label")).alias("candidate_label"),
+        F.when(fresh, F.col("_batch")).otherwise(F.col("batch_id")).cast("bigint").alias("batch_id"),
+    )
+
+
+def merge_arrivals(spark: SparkSession, ledger_path: str, work_path: str) -> str | None:
+    """Write one ledger version with all batches it lacks; None if there is none.
+
+    Batches are folders, so only the new ones are read.
+    """
+    ledger = W.read_version(spark, ledger_path)
+    last = -1
+    if "batch_id" in ledger.columns:
+        last = ledger.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+    labels = spark.read.parquet(f"{work_path}/labels").where(F.col("batch_id") > last)
+    if labels.isEmpty():
+        return None
+    latest = first_per_key(labels, "item_key", ["batch_id"], last=True)
+    return W.write_version(upsert(ledger, latest), ledger_path)

@@ -54,6 +54,13 @@ def test_a_group_over_many_slices(spark):
     assert [r["prev_value"] for r in out] == [None, *(i * i for i in range(199))]
 
 
+def test_the_missing_group_is_a_group(spark):
+    df = spark.createDataFrame([(None, i) for i in range(100)] + [("b", 1)], "g string, t int")
+    out = O.within_groups(df, "g", ["t"], "t").where("g IS NULL").orderBy("t").collect()
+    assert [r["seq"] for r in out] == list(range(1, 101))
+    assert [r["prev_value"] for r in out] == [None, *range(99)]
+
+
 def test_null_values_and_groups(spark):
     df = spark.createDataFrame(
         [("a", 1, None), ("a", 2, 5), ("a", 3, None), ("b", 1, 7)], "g string, t int, v int"

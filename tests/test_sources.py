@@ -164,14 +164,15 @@ def test_export_bundle_and_report(spark, tmp_path):
 
 def test_arriving_files(spark, tmp_path, rows):
     led = spark.createDataFrame([("a", "TRUE", None), ("b", "FALSE", "PURE")], "item_key string, reference_label string, candidate_label string")
-    path, bad = f"{tmp_path}/led", f"{tmp_path}/bad"
+    path, work = f"{tmp_path}/led", f"{tmp_path}/work"
     W.write_version(led, path)
 
     def arrive(name, *recs):
         put(f"{tmp_path}/in/{name}.json", "\n".join(json.dumps(r) for r in recs))
 
     def run():
-        S.label_arrivals(S.read_arrivals(spark, f"{tmp_path}/in"), path, bad, f"{tmp_path}/cp").awaitTermination()
+        S.label_arrivals(S.read_arrivals(spark, f"{tmp_path}/in"), work, f"{tmp_path}/cp").awaitTermination()
+        S.merge_arrivals(spark, path, work)
         return {r["item_key"]: r["candidate_label"] for r in W.read_version(spark, path).collect()}
 
     arrive("1", {"item_key": "a", "response": "FINAL: floss", "arrived_at": "2024-01-01T00:00:00"},
@@ -181,11 +182,26 @@ def test_arriving_files(spark, tmp_path, rows):
     assert run() == {"a": "PURE", "b": "FLOSS", "n": "FAILED"}
     n = len(W.versions(spark, path))
     assert run()["b"] == "FLOSS" and len(W.versions(spark, path)) == n  # nothing new
-    assert rows(spark.read.parquet(bad), "item_key", "batch_id") == [("n", 0)]
+    assert rows(spark.read.parquet(f"{work}/failures"), "item_key", "batch_id") == [("n", 0)]
+
+
+def test_many_batches_make_one_version(spark, tmp_path):
+    led = spark.createDataFrame([("a", "TRUE", None)], "item_key string, reference_label string, candidate_label string")
+    path, work = f"{tmp_path}/led", f"{tmp_path}/work"
+    W.write_version(led, path)
+    for i, word in enumerate(("pure", "floss", "pure")):
+        put(f"{tmp_path}/in/{i}.json", json.dumps({"item_key": "a", "response": f"FINAL: {word}"}))
+        os.utime(f"{tmp_path}/in/{i}.json", (1_000_000 + i, 1_000_000 + i))
+    S.label_arrivals(S.read_arrivals(spark, f"{tmp_path}/in", max_files=1), work, f"{tmp_path}/cp").awaitTermination()
+    S.merge_arrivals(spark, path, work)
+    assert len(W.versions(spark, path)) == 2
+    r = W.read_version(spark, path).first()
+    assert (r["candidate_label"], r["batch_id"]) == ("PURE", 2)
 
 
 def test_upsert_twice_is_once(spark, rows):
     led = spark.createDataFrame([("a", "TRUE", None)], "item_key string, reference_label string, candidate_label string")
-    new = spark.createDataFrame([("a", "pure", "ok"), ("b", "floss", "ok")], "item_key string, label string, status string")
-    once = S.upsert(led, new, 0)
-    assert rows(S.upsert(once, new, 0)) == rows(once)
+    new = spark.createDataFrame([("a", "pure", "ok", 0), ("b", "floss", "ok", 0)], "item_key string, label string, status string, batch_id long")
+    once = S.upsert(led, new)
+    assert rows(S.upsert(once, new)) == rows(once)
+    assert rows(once, "item_key", "candidate_label") == [("a", "PURE"), ("b", "FLOSS")]
