@@ -56,6 +56,7 @@ def word_rows(n_buckets: int, special: str | None = None) -> Callable:
         import pyarrow as pa
 
         from accordance.llm.bpe import blocks_of
+        from accordance.llm.pretokens import squeeze
 
         for _, block, name in blocks_of(batches, special):
             bucket = (block.hashes % np.uint64(n_buckets)).astype(np.int64)
@@ -65,7 +66,7 @@ def word_rows(n_buckets: int, special: str | None = None) -> Callable:
             used, first = np.unique(bucket[order], return_index=True)
             last = np.append(first[1:], len(words))
             rows = [
-                (int(b), name, b"".join(words[i:j]), sizes[i:j].tobytes())
+                (int(b), name, squeeze(b"".join(words[i:j])), squeeze(sizes[i:j]))
                 for b, i, j in zip(used.tolist(), first.tolist(), last.tolist())
             ]
             if rows:
@@ -92,20 +93,23 @@ def encode_words(encoder: Callable) -> Callable:
         import numpy as np
         import pyarrow as pa
 
+        from accordance.llm.pretokens import squeeze, unsqueeze, unsqueeze_values
+
         encode = encoder()
         known: dict[bytes, bytes] = {}
         for batch in batches:
             bucket, block, words, sizes = (c.to_pylist() for c in batch.columns)
             ids_out, sizes_out = [], []
             for blob, size in zip(words, sizes):
-                ends = np.cumsum(np.frombuffer(size, np.uint32)).tolist()
+                ends = np.cumsum(unsqueeze_values(size), dtype=np.int64).tolist()
+                blob = unsqueeze(blob)
                 own = [blob[i:j] for i, j in zip([0, *ends], ends)]
                 new = [w for w in own if w not in known]
                 for w, ids in zip(new, encode(new)):
                     known[w] = np.asarray(ids, np.uint32).tobytes()
                 found = [known[w] for w in own]
-                ids_out.append(b"".join(found))
-                sizes_out.append((np.fromiter(map(len, found), np.uint32, len(found)) // 4).tobytes())
+                ids_out.append(squeeze(np.frombuffer(b"".join(found), np.uint32)))
+                sizes_out.append(squeeze(np.fromiter(map(len, found), np.uint32, len(found)) // 4))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(block, pa.string()), pa.array(bucket, pa.int32()),
@@ -147,17 +151,16 @@ def position_rows(n_buckets: int, special: str | None = None) -> Callable:
         import pyarrow as pa
 
         from accordance.llm.bpe import blocks_of
+        from accordance.llm.pretokens import squeeze
 
         for ids, block, name in blocks_of(batches, special):
-            # the bytes of equal weight side by side, for the shuffle's compression
-            planes = block.codes.view(np.uint8).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name], pa.string()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([block.counts.tobytes()], pa.binary()),
-                    pa.array([planes.tobytes()], pa.binary()),
-                    pa.array([(block.hashes % np.uint64(n_buckets)).astype(np.uint32).tobytes()], pa.binary()),
+                    pa.array([squeeze(block.codes)], pa.binary()),
+                    pa.array([squeeze(block.hashes % np.uint64(n_buckets))], pa.binary()),
                 ],
                 names=["block", "docs", "counts", "codes", "buckets"],
             )
@@ -171,16 +174,18 @@ def place(emit: Callable) -> Callable:
     def run(_key, positions, answers):
         import numpy as np
 
+        from accordance.llm.pretokens import unsqueeze_values
+
         if not positions.num_rows:
             raise RuntimeError("word ids came back for a block that was not split again: the input is not stable")
-        docs, counts, planes, buckets = (positions.column(k)[0].as_py() for k in ("docs", "counts", "codes", "buckets"))
-        buckets = np.frombuffer(buckets, np.uint32).astype(np.int64)
+        docs, counts = (positions.column(k)[0].as_py() for k in ("docs", "counts"))
+        codes, buckets = (unsqueeze_values(positions.column(k)[0].as_py()) for k in ("codes", "buckets"))
         counts = np.frombuffer(counts, np.int64)
-        codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         order = np.argsort(buckets, kind="stable")
         rows = sorted(zip(*(answers.column(k).to_pylist() for k in ("bucket", "ids", "sizes"))))
-        ids = np.frombuffer(b"".join(r[1] for r in rows), np.uint32)
-        sent = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).astype(np.int64)
+        none = np.zeros(0, np.uint32)
+        ids = np.concatenate([none, *(unsqueeze_values(r[1]) for r in rows)])
+        sent = np.concatenate([none, *(unsqueeze_values(r[2]) for r in rows)]).astype(np.int64)
         if len(sent) != len(buckets):
             raise RuntimeError("a block has another number of words than were encoded: the input is not stable")
         size = np.zeros(len(buckets), np.int64)

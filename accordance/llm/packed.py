@@ -72,7 +72,12 @@ def unpack(payload: bytes, bits: int, start: int, n: int):
     return ((low | high) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def _encode(tokenizer: str, special: str | None, end_id: int | None, splits: list[int]):
+def _width(bits: int) -> str:
+    """How ids travel before they are packed."""
+    return "<u2" if bits <= 16 else "<u4"
+
+
+def _encode(tokenizer: str, special: str | None, end_id: int | None, splits: list[int], bits: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -101,13 +106,15 @@ def _encode(tokenizer: str, special: str | None, end_id: int | None, splits: lis
             whole = ragged(np.frombuffer(b"".join(found), np.uint32), (np.cumsum(size) - size)[block.codes], size[block.codes])
             after = np.concatenate([[0], np.cumsum(size[block.codes])])
             edge = after[np.concatenate([[0], np.cumsum(block.counts)])].tolist()
-            tail = b"" if end_id is None else np.asarray([end_id], np.uint32).tobytes()
-            data = whole.tobytes()
+            kind = packed._width(bits)
+            size = np.dtype(kind).itemsize
+            tail = b"" if end_id is None else np.asarray([end_id], kind).tobytes()
+            data = whole.astype(kind).tobytes()
             where = [0 if i is None else int(np.searchsorted(bounds, i, "right")) for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(where, pa.int32()), pa.array(ids, pa.int64()),
-                    pa.array([data[4 * i : 4 * j] + tail for i, j in zip(edge[:-1], edge[1:])], pa.binary()),
+                    pa.array([data[size * i : size * j] + tail for i, j in zip(edge[:-1], edge[1:])], pa.binary()),
                 ],
                 names=["slice", "doc_id", "ids"],
             )
@@ -120,8 +127,10 @@ def _pack_rows(bits: int):
         import numpy as np
         import pyarrow as pa
 
-        from accordance.llm.packed import BLOCK_IDS, pack
+        from accordance.llm.packed import BLOCK_IDS, _width, pack
 
+        kind = _width(bits)
+        width = np.dtype(kind).itemsize
         at: dict[int, list[int]] = {}  # slice -> [blocks, ids] so far
         held: list = []
         size = 0
@@ -131,8 +140,8 @@ def _pack_rows(bits: int):
             where = held[0][0]
             state = at.setdefault(where, [0, 0])
             docs = [x[1] for x in held]
-            ends = np.cumsum([len(x[2]) // 4 for x in held])
-            ids = np.frombuffer(b"".join(x[2] for x in held), np.uint32)
+            ends = np.cumsum([len(x[2]) // width for x in held])
+            ids = np.frombuffer(b"".join(x[2] for x in held), kind)
             known = [d for d in docs if d is not None]
             row = pa.RecordBatch.from_arrays(
                 [
@@ -154,7 +163,7 @@ def _pack_rows(bits: int):
                 if held and (row[0] != held[0][0] or size >= BLOCK_IDS):
                     yield close()
                 held.append(row)
-                size += len(row[2]) // 4
+                size += len(row[2]) // width
         if held:
             yield close()
 
@@ -177,9 +186,10 @@ def write_tokens(
     shares = [k / n for k in range(1, n)]
     found = source.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(100 * n)).alias("s")).first() if shares else None
     splits = sorted(set(found["s"] or [])) if found else []
-    sliced = source.mapInArrow(_encode(tokenizer, special, end_id, splits), "slice int, doc_id long, ids binary")
+    bits = bits_for(vocabulary)
+    sliced = source.mapInArrow(_encode(tokenizer, special, end_id, splits, bits), "slice int, doc_id long, ids binary")
     ordered = sliced.repartitionById(n, "slice").sortWithinPartitions("slice", "doc_id", "ids")
-    blocks = ordered.mapInArrow(_pack_rows(bits_for(vocabulary)), FILE)
+    blocks = ordered.mapInArrow(_pack_rows(bits), FILE)
     # packed bits do not shrink any further
     blocks.write.option("compression", "lz4").parquet(path)
 
@@ -191,7 +201,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     totals = blocks.groupBy("slice").agg(F.sum("n_ids").alias("total"))
     order = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("slice", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base"))
-    return blocks.join(bases, "slice").withColumn("start", F.col("base") + F.col("before"))
+    return blocks.join(F.broadcast(bases), "slice").withColumn("start", F.col("base") + F.col("before"))
 
 
 def read_documents(

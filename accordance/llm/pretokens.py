@@ -21,7 +21,7 @@ WHITE_SPACE = (
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 #: Characters of a block; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KEY = np.uint64(0xD6E8FEB86659FD93)
 
@@ -200,3 +200,23 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     before = np.cumsum(lengths) - lengths
     at = np.arange(total) - np.repeat(before - starts, lengths)
     return values[at]
+
+
+def squeeze(data: bytes | np.ndarray) -> bytes:
+    """Bytes, or unsigned 32-bit values with bytes of equal weight side by side, compressed."""
+    import pyarrow as pa
+
+    if isinstance(data, np.ndarray):
+        data = np.ascontiguousarray(data, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def unsqueeze_values(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()

@@ -27,19 +27,6 @@ _FREQUENCIES = (
 )
 
 
-def _planes(values) -> bytes:
-    """Unsigned 32-bit values with bytes of equal weight side by side, which compress well."""
-    import numpy as np
-
-    return np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _from_planes(data: bytes):
-    import numpy as np
-
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-
-
 def frequency_rows(n_buckets: int, special: str | None) -> Callable:
     """A task that keeps, per block, how often each document holds each pre-token."""
 
@@ -48,7 +35,7 @@ def frequency_rows(n_buckets: int, special: str | None) -> Callable:
         import pyarrow as pa
 
         from accordance.llm.bpe import blocks_of
-        from accordance.llm.token_counts import _planes
+        from accordance.llm.pretokens import squeeze
 
         for ids, block, name in blocks_of(batches, special):
             n = max(1, len(block.words))
@@ -64,7 +51,7 @@ def frequency_rows(n_buckets: int, special: str | None) -> Callable:
                     pa.array([name], pa.string()), pa.array([ids], pa.list_(pa.int64())),
                     *(
                         pa.array([x], pa.binary())
-                        for x in (n_bytes.tobytes(), pairs.tobytes(), _planes(key % n), _planes(times), _planes(bucket))
+                        for x in (n_bytes.tobytes(), pairs.tobytes(), squeeze(key % n), squeeze(times), squeeze(bucket))
                     ),
                 ],
                 names=["block", "docs", "n_bytes", "pairs", "codes", "times", "buckets"],
@@ -80,7 +67,7 @@ def count_words(path: str) -> Callable:
         import numpy as np
         import pyarrow as pa
 
-        from accordance.llm.token_counts import _planes
+        from accordance.llm.pretokens import squeeze, unsqueeze, unsqueeze_values
         from accordance.llm.vocabulary import library
 
         encode = library(path).encode
@@ -89,14 +76,15 @@ def count_words(path: str) -> Callable:
             bucket, block, words, sizes = (c.to_pylist() for c in batch.columns)
             out = []
             for blob, size in zip(words, sizes):
-                ends = np.cumsum(np.frombuffer(size, np.uint32)).tolist()
+                ends = np.cumsum(unsqueeze_values(size), dtype=np.int64).tolist()
+                blob = unsqueeze(blob)
                 own = [blob[i:j] for i, j in zip([0, *ends], ends)]
                 new = [w for w in own if w not in known]
                 if new:
                     found = encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
                     n = np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(new))
                     known.update(zip(new, n.tolist()))
-                out.append(_planes(np.fromiter((known[w] for w in own), np.uint32, len(own))))
+                out.append(squeeze(np.fromiter((known[w] for w in own), np.uint32, len(own))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block, pa.string()), pa.array(bucket, pa.int32()), pa.array(out, pa.binary())],
                 names=["block", "bucket", "pieces"],
@@ -109,15 +97,15 @@ def _sum(_key, frequencies, answers):
     import numpy as np
     import pyarrow as pa
 
-    from accordance.llm.token_counts import _from_planes
+    from accordance.llm.pretokens import unsqueeze_values
 
     if not frequencies.num_rows:
         raise RuntimeError("piece counts came back for a block that was not split again: the input is not stable")
     docs = frequencies.column("docs")[0].as_py()
     n_bytes, pairs = (np.frombuffer(frequencies.column(k)[0].as_py(), np.int64) for k in ("n_bytes", "pairs"))
-    codes, times, buckets = (_from_planes(frequencies.column(k)[0].as_py()) for k in ("codes", "times", "buckets"))
+    codes, times, buckets = (unsqueeze_values(frequencies.column(k)[0].as_py()) for k in ("codes", "times", "buckets"))
     rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column("pieces").to_pylist()))
-    sent = np.concatenate([np.zeros(0, np.uint32), *(_from_planes(r[1]) for r in rows)])
+    sent = np.concatenate([np.zeros(0, np.uint32), *(unsqueeze_values(r[1]) for r in rows)])
     if len(sent) != len(buckets):
         raise RuntimeError("a block has another number of pre-tokens than were counted: the input is not stable")
     pieces = np.zeros(len(buckets), np.int64)
