@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "chat", "decontaminate", "language", "near_dup", "packed", "token_counts")
+MODULES = (
+    "bpe", "chat", "decontaminate", "language", "near_dup", "packed", "personal", "token_counts",
+)
 
 
 def all_queries() -> dict:
