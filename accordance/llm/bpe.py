@@ -269,32 +269,34 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.table(spark, sf_dir, "documents"))
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    import public_tokenizers
+def round_trip(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str | Column = "text") -> DataFrame:
+    """`encode`, with ``bytes``: the ids joined to the token bytes while they are at hand."""
 
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return round_trip(encode(docs, ranks, public_tokenizers.PATTERN), ranks).select(
-        "doc_id", "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
-
-
-def round_trip(encoded: DataFrame, ranks: str) -> DataFrame:
-    """The encoded rows with ``bytes``, decoded from their own ids in the same pass."""
-
-    def run(batches: Iterator) -> Iterator:
+    def emit(*block):
         import numpy as np
         import pyarrow as pa
 
         from accordance.llm.vocabulary import token_bytes
 
         find = token_bytes(ranks).__getitem__
-        for batch in batches:
-            out = [b"".join(map(find, np.frombuffer(b, "<u4").tolist())) for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids", "bytes"])
+        out = _ids_of_documents(*block)
+        data = [b"".join(map(find, np.frombuffer(b, "<u4").tolist())) for b in out.column("ids").to_pylist()]
+        return out.append_column("bytes", pa.array(data, pa.binary()))
 
-    return encoded.mapInArrow(run, f"{IDS}, bytes binary")
+    common.ship(docs.sparkSession)
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
+    return _encoded(source, rank_encoder(ranks, pattern), None, emit, f"{IDS}, bytes binary")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    whole = round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return whole.select(
+        "doc_id", "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
 
 
 QUERIES = {"op10_byte_bpe": (op10_byte_bpe, None)}

@@ -182,14 +182,16 @@ def in_blocks(batches: Iterator, chars: int = BLOCK_CHARS) -> Iterator[tuple[lis
     texts: list[str] = []
     held = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = t or ""
-            if held and held + len(t) > chars:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            held += len(t)
+        for row in range(0, batch.num_rows, 256):  # few strings beside the batch at a time
+            part = batch.slice(row, 256)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                t = t or ""
+                if held and held + len(t) > chars:
+                    yield ids, texts
+                    ids, texts, held = [], [], 0
+                ids.append(i)
+                texts.append(t)
+                held += len(t)
     if ids:
         yield ids, texts
 
