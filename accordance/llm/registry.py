@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "bpe", "chat", "decontaminate", "language", "near_dup", "packed", "personal", "token_counts",
+    "vectors",
 )
 
 
