@@ -395,9 +395,20 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each class of near duplicates, with its own columns."""
-    kept = find_near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """One document of each class of near duplicates, with its own columns.
+
+    Rows that share doc_id and text are one document, of which one row stays.
+    """
+    kept = find_near_duplicates(docs, k, percent).where("kept").groupBy(F.col("doc_id").alias("_kept")).count()
+    kept = common.written(kept)
+
+    def chosen(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+
+    again = kept.where("count > 1")
+    if again.isEmpty():
+        return chosen(kept)
+    return chosen(kept.where("count = 1")).union(chosen(again).dropDuplicates(["doc_id", "text"]))
 
 
 QUERIES = {"op4_near_duplicates": (op4_near_duplicates, None)}
