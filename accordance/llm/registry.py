@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "bpe", "chat", "decontaminate", "language", "near_dup", "packed", "personal", "token_counts",
+    "bpe", "chat", "decontaminate", "language", "near_dup", "packed", "personal", "repeats", "token_counts",
     "vectors",
 )
 
