@@ -7,23 +7,20 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 
 _TOKEN = re.compile(r'\\.|["{}\[\]]', re.S)
 _CLOSER = {"{": "}", "[": "]"}
+#: What stands behind a quote that closes a value; each run of blanks is read once.
+_CLOSES = re.compile(r"\s*+(?:[:}\]]|,\s*+[\"{\[\-0-9tfn]|,?\s*+\Z)")
 
 
-def _load(text: str):
-    try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-
-
-def _spans(text: str, opener: str, quoted: bool) -> list[tuple[int, int]]:
+def _spans(text: str, opener: str, quoted: bool) -> list[tuple[int, int, int]]:
+    """(start, end, levels of brackets of either kind) of the pairs outside quotes."""
     closer = _CLOSER[opener]
-    stack: list[int] = []
-    out: list[tuple[int, int]] = []
-    at = 0
+    stack: list[list[int]] = []  # place, depth there, greatest depth since
+    out: list[tuple[int, int, int]] = []
+    at = depth = 0
     while (hit := _TOKEN.search(text, at)) is not None:
         token, at = hit.group(), hit.end()
         if token[0] == "\\":
@@ -31,10 +28,20 @@ def _spans(text: str, opener: str, quoted: bool) -> list[tuple[int, int]]:
                 at = hit.start() + 1
         elif token == '"':
             quoted = not quoted
-        elif not quoted and token == opener:
-            stack.append(hit.start())
-        elif not quoted and token == closer and stack:
-            out.append((stack.pop(), hit.end()))
+        elif not quoted:
+            if token in _CLOSER:
+                depth += 1
+                if token == opener:
+                    stack.append([hit.start(), depth, depth])
+                elif stack:
+                    stack[-1][2] = max(stack[-1][2], depth)
+            else:
+                depth -= 1
+                if token == closer and stack:
+                    start, low, high = stack.pop()
+                    out.append((start, hit.end(), high - low + 1))
+                    if stack:
+                        stack[-1][2] = max(stack[-1][2], high)
     return out
 
 
@@ -45,12 +52,82 @@ def spans(text: str, opener: str) -> list[tuple[int, int]]:
     pair counts as unquoted at its own opener, whatever stray quote stands before
     it, hence one pass for either reading of the text in front.
     """
-    return sorted(set(_spans(text, opener, False)) | set(_spans(text, opener, True)))
-
-
-def _repaired(text: str) -> str:
-    text = re.sub(r",\s*([}\]])", r"\1", text)
-    return re.sub(r"//.*?\n", "\n", text)
+    return sorted({p[:2] for quoted in (False, True) for p in _spans(text, opener, quoted)})
+
+
+_COMMA = re.compile(r",\s*+[}\]]")
+#: A comment, or an unended one, which stays.
+_COMMENT = re.compile(r"//[^\n]*+(?:\n|\Z)")
+
+
+def _without(text: str, pattern: re.Pattern) -> tuple[str, list[tuple[int, int]]]:
+    """Text where each match is cut down to its last character, and the cuts made:
+    (place in the new text, characters gone up to there)."""
+    parts: list[str] = []
+    cuts: list[tuple[int, int]] = []
+    at = size = gone = 0
+    for hit in pattern.finditer(text):
+        if hit.group()[-1] not in "}]\n":
+            continue
+        parts.append(text[at : hit.start()])
+        size += hit.start() - at
+        at = hit.end() - 1
+        gone += at - hit.start()
+        cuts.append((size, gone))
+    parts.append(text[at:])
+    return "".join(parts), cuts
+
+
+def _repaired(text: str) -> tuple[str, list[list[tuple[int, int]]]]:
+    text, commas = _without(text, _COMMA)
+    text, comments = _without(text, _COMMENT)
+    return text, [comments, commas]
+
+
+def _place(i: int, repairs: list[list[tuple[int, int]]]) -> int:
+    """Where a place of the repaired text was in the text before."""
+    for cuts in repairs:
+        k = bisect_right(cuts, (i, 1 << 62))
+        i += cuts[k - 1][1] if k else 0
+    return i
+
+
+def _deepest() -> int:
+    """How deeply nested a value the parser of this Python reads."""
+    low, high = 1, 1 << 17
+    while low < high:
+        mid = (low + high + 1) // 2
+        try:
+            json.loads("[" * mid + "]" * mid)
+            low = mid
+        except RecursionError:
+            high = mid - 1
+    return low
+
+
+def _first(text: str, opener: str, kind: type) -> tuple[int, object] | None:
+    """(start, value) of the first balanced piece that parses as it stands.
+
+    A piece that fails at some place makes every later piece of the same reading fail that
+    holds this place, so nested pieces are not parsed one by one.
+    """
+    pieces = [(*p, quoted) for quoted in (False, True) for p in _spans(text, opener, quoted)]
+    bad = {False: -1, True: -1}
+    decode = json.JSONDecoder().raw_decode
+    deepest = _deepest() if any(p[2] > 500 for p in pieces) else 500
+    for start, end, levels, quoted in sorted(pieces):
+        if start < bad[quoted] < end or levels > deepest:
+            continue
+        try:
+            value, stop = decode(text, start)
+        except json.JSONDecodeError as e:
+            bad[quoted] = e.pos
+        except (ValueError, RecursionError):
+            pass
+        else:
+            if stop == end and isinstance(value, kind):
+                return start, value
+    return None
 
 
 def escape_inner_quotes(text: str) -> str:
@@ -61,7 +138,7 @@ def escape_inner_quotes(text: str) -> str:
         if ch == '"' and (i == 0 or text[i - 1] != "\\"):
             if not quoted:
                 quoted = True
-            elif re.match(r"\s*(?:[:}\]]|,\s*[\"{\[\-0-9tfn]|,?\s*\Z)", text[i + 1:i + 64]):
+            elif _CLOSES.match(text, i + 1):
                 quoted = False
             else:
                 out.append("\\")
@@ -69,26 +146,60 @@ def escape_inner_quotes(text: str) -> str:
     return "".join(out)
 
 
+def _outermost(text: str, opener: str) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in spans(text, opener):
+        if not out or end > out[-1][1]:
+            out.append((start, end))
+    return out
+
+
+def _loose(text: str) -> list[str]:
+    """Pieces for openings without a partner: up to the next closing brace."""
+    paired = {s for s, _ in spans(text, "{")}
+    by_end: dict[int, list[int]] = {}
+    end = -1
+    for hit in re.finditer(r"\{", text):
+        start = hit.start()
+        if start in paired:
+            continue
+        if end < start and (end := text.find("}", start)) < 0:
+            break
+        by_end.setdefault(end, []).append(start)
+    return [text[s : e + 1] for e, own in by_end.items() for s in dict.fromkeys((own[0], own[-1]))]
+
+
 def find_value(text: str, objects_only: bool = True) -> str | None:
-    """JSON text of the first readable value, repaired if need be; None if none."""
+    """JSON text of the first readable value, repaired if need be; None if none.
+
+    Tried in turn: balanced pieces, as they stand or without trailing commas and comments,
+    the earlier piece first; an object that is not closed; objects up to the next closing brace; and
+    all of these with stray quotes escaped.
+    """
     if not objects_only:
-        for start, end in spans(text, "["):
-            if _load(text[start:end]) is not None:
-                return text[start:end]
+        found = _first(text, "[", list)
+        if found:
+            return text[found[0] : json.JSONDecoder().raw_decode(text, found[0])[1]]
     first = text.find("{")
     if first < 0:
         return None
-    tail = text[first:]
-    pieces = [text[s:e] for s, e in spans(text, "{")]
+    fixed, repairs = _repaired(text)
+    plain, mended = _first(text, "{", dict), _first(fixed, "{", dict)
+    if mended and (not plain or _place(mended[0], repairs) < plain[0]):
+        plain = mended
+    if plain:
+        return json.dumps(plain[1], ensure_ascii=False)
+    more: list[str] = []
+    tail = fixed[fixed.find("{") :] if "{" in fixed else ""
     if tail.count("{") > tail.count("}"):
-        pieces.append(tail.rstrip("`\n ") + "}")
-    for piece in pieces:
-        for form in (piece, _repaired(piece)):
-            value = _load(form)
-            if isinstance(value, dict):
-                return json.dumps(value, ensure_ascii=False)
-    for piece in pieces:
-        value = _load(escape_inner_quotes(_repaired(piece)))
-        if isinstance(value, dict):
-            return json.dumps(value, ensure_ascii=False)
+        more.append(tail.rstrip("`\n ") + "}")
+    more += _loose(fixed)
+    for piece in more:
+        found = _first(piece, "{", dict)
+        if found and not found[0] and found[1]:
+            return json.dumps(found[1], ensure_ascii=False)
+    for piece in [*(fixed[s:e] for s, e in _outermost(fixed, "{")), *more]:
+        found = _first(escape_inner_quotes(piece), "{", dict)
+        if found and (found[1] or piece not in more):
+            return json.dumps(found[1], ensure_ascii=False)
     return None

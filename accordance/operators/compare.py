@@ -293,9 +293,12 @@ def patch_fill(
     recovered: DataFrame,
     key: str = "item_key",
     label: str = "candidate_label",
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Only rows without a label take the recovered one (one row per key there)."""
-    fix = recovered.select(key, F.col(label).alias("_fix"))
+    """Only rows without a label take the recovered one, the last by ``order`` of a key."""
+    fix = first_per_key(
+        recovered.where(~L.is_pending(label)).select(key, *order, F.col(label).alias("_fix")), key, order, last=True
+    ).select(key, "_fix")
     current = F.when(~L.is_pending(label), F.col(label))
     return ledger.join(fix, key, "left").withColumn(
         label, F.coalesce(current, "_fix")
@@ -307,9 +310,13 @@ def diff_overwrite(
     complete: DataFrame,
     key: str = "item_key",
     label: str = "candidate_label",
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Overwrite with the labels of a complete file; ``change`` tells what happened."""
-    new = complete.where(~L.is_pending(label)).select(key, F.col(label).alias("_new"))
+    """Overwrite with the labels of a complete file; ``change`` tells what happened. The
+    last row by ``order`` of a key counts."""
+    new = first_per_key(
+        complete.where(~L.is_pending(label)).select(key, *order, F.col(label).alias("_new")), key, order, last=True
+    ).select(key, "_new")
     old = F.when(~L.is_pending(label), F.col(label))
     change = (
         F.when(F.col("_new").isNull(), "absent")

@@ -382,6 +382,7 @@ def failures(labelled: DataFrame, error: str = "empty response") -> DataFrame:
         F.col("raw_response").alias("response"),
         F.col("raw_response").alias("response_excerpt"),
         F.lit("JSON parsing failed").alias("attempt"),
+        have("prompt").alias("prompt"),
         F.substring(have("prompt"), 1, 2000).alias("prompt_excerpt"),
     )
 

@@ -11,7 +11,7 @@ from accordance.functions import answers as A
 from accordance.functions import labels as L
 from accordance.functions.common import count_where
 from accordance.operators.compare import patch_fill
-from accordance.operators.ordered import number_rows
+from accordance.operators.ordered import first_per_key, number_rows
 
 C = "candidate_label"
 
@@ -26,10 +26,10 @@ def first_pending(
     return ledger.where(L.is_pending(label)).orderBy(key).limit(n)
 
 
-def shortfall(pending: DataFrame, n: int) -> DataFrame:
-    """How many fewer than ``n`` rows are pending."""
-    have = F.count(F.lit(1))
-    return pending.agg(
+def shortfall(ledger: DataFrame, n: int, label: str = C) -> DataFrame:
+    """How many rows of a ledger are pending, and how many fewer than ``n`` these are."""
+    have = count_where(L.is_pending(label))
+    return ledger.agg(
         have.alias("pending"), F.greatest(F.lit(n) - have, F.lit(0)).alias("shortfall")
     )
 
@@ -40,11 +40,8 @@ def first_distinct(df: DataFrame, n: int, key: str = "item_key") -> DataFrame:
 
 def random_pending(ledger: DataFrame, seed: int, key: str = "item_key", label: str = C) -> DataFrame:
     """One pending row by seeded hash order, the same for the same seed."""
-    return (
-        ledger.where(L.is_pending(label))
-        .orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-        .limit(1)
-    )
+    mixed = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return ledger.where(L.is_pending(label)).orderBy(mixed, key).limit(1)
 
 
 def with_batches(
@@ -80,28 +77,25 @@ def label_increment(
     reference: str | None = None,
     limit: int | None = None,
     skip_labelled: bool = True,
-    score_first: bool | None = None,
+    order: Sequence[str] = ("response",),
 ) -> DataFrame:
     """Label the pending part of a ledger and return the whole ledger.
 
     ``outcome`` tells per row whether it was labelled, failed or left as it was.
-    Keys and responses are unique per key. ``score_first`` scores each response where
-    it is read, so that only labels are shuffled; it is the default for the native
-    scorer. A costly scorer is better asked about the pending keys alone.
+    Of several responses to a key the last one by ``order`` counts, and a key that the ledger
+    holds twice is asked once. Only responses to keys in question are scored.
     """
     work = ledger
     if reference is not None:
         work = work.where(F.col("reference_label") == reference)
     if skip_labelled:
         work = work.where(L.is_pending(C))
-    work = work.select("item_key")
+    work = work.select("item_key").distinct()
     if limit is not None:
         work = work.orderBy("item_key").limit(limit)
-    answers = responses.select("item_key", "response")
-    if score_first or (score_first is None and scorer is native_scorer):
-        scored = work.join(scorer(answers), "item_key", "left")
-    else:
-        scored = scorer(work.join(answers, "item_key", "left"))
+    answers = responses.select("item_key", *dict.fromkeys(["response", *order]))
+    asked = first_per_key(answers.join(work, "item_key", "left_semi"), "item_key", order, last=True)
+    scored = scorer(work.join(asked.select("item_key", "response"), "item_key", "left"))
     scored = scored.select(
         "item_key",
         F.when(F.col("status") == "OK", F.col("label"))

@@ -142,13 +142,23 @@ def first_rows(
 ) -> DataFrame:
     """The first ``n`` rows of each group.
 
-    A rank limit is pushed below the shuffle, so each task forwards at most ``n``
-    rows of a group, however large the group is.
+    Spark itself limits a group below the shuffle only up to a threshold of ``n``. Beyond it
+    a group is dealt over salts first, each of which keeps its own first ``n`` rows, so no task
+    meets a whole hot group.
     """
     keys = [group] if isinstance(group, str) else list(group)
-    w = Window.partitionBy(*keys).orderBy(*[col(c) for c in order])
+    by = [col(c) for c in order]
     name = rank or "_rank"
-    out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+    def limited(rows: DataFrame, *parts: str) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(*by)
+        return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+    spark = df.sparkSession
+    if n >= int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        salt = F.pmod(F.xxhash64(*by), F.lit(shuffle_width(spark)))
+        df = limited(df.withColumn("_salt", salt), *keys, "_salt").drop(name, "_salt")
+    out = limited(df, *keys)
     return out if rank else out.drop(name)
 
 

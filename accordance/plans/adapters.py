@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordance.operators.ordered import within_groups
-from accordance.session import spread
 
 ANNOTATORS = ("alpha", "beta", "gamma")
 
@@ -20,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table whose texts are about to be worked on, spread over all cores."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+    """The named columns of a table; how a scan is split is up to the session."""
+    return table(spark, sf_dir, name).select(*columns)
 
 
 def key_text(c: str | Column) -> Column:

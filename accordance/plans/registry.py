@@ -13,9 +13,5 @@ MODULES = (
 def all_queries() -> dict:
     out: dict = {}
     for m in MODULES:
-        try:
-            mod = import_module(f"accordance.plans.{m}")
-        except ModuleNotFoundError:
-            continue
-        out.update(mod.QUERIES)
+        out.update(import_module(f"accordance.plans.{m}").QUERIES)
     return out

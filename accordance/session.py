@@ -16,6 +16,9 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # small splits, so that small tables use all cores
+        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.driver.memory", "8g")
     )
     for name, value in conf.items():
@@ -28,13 +31,15 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session that names none (a unit test) gets a folder of its own.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    session, whose driver and tasks share a disk, may go without and gets its own.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
@@ -42,12 +47,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a bare scan over all cores, where the scan has fewer splits than that.
-
-    A small or badly split input would leave text-heavy work to a few tasks. A large
-    one has more splits than cores and is left alone, so nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

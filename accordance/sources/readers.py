@@ -1,6 +1,7 @@
 """Reading ledgers, detail records, answers, sessions and snapshots.
 
-Every reader has an explicit schema and reads all text as strings first.
+CSV files are read by the names in their own headers, all text as strings first; a value that
+cannot be read is NULL and never stops the job.
 """
 
 from __future__ import annotations
@@ -20,18 +21,68 @@ def _file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
-def _csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", **options):
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
-    return reader.options(**options).csv(path)
+def _files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The files of paths, folders or patterns, from the listing alone."""
+    found = []
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    for one in [path] if isinstance(path, str) else path:
+        pattern = fs_path(one)
+        fs = pattern.getFileSystem(conf)
+        for status in fs.globStatus(pattern) or []:
+            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            found += [
+                f.getPath().toString() for f in inside
+                if not f.isDirectory() and not f.getPath().getName().startswith(("_", "."))
+            ]
+    return sorted(found)
+
+
+def _header(spark: SparkSession, file: str) -> str:
+    """The first line of a file."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return (line or "").lstrip("\ufeff")
+
+
+def _csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", **options) -> list[DataFrame]:
+    """One frame, all strings, for the files of each header.
+
+    A folder may hold files whose columns differ in order or spelling; reading them as one
+    would give all the header of the first. Only first lines are looked at here.
+    """
+    by_header: dict[str, list[str]] = {}
+    for file in _files(spark, path):
+        by_header.setdefault(_header(spark, file), []).append(file)
+    if not by_header:
+        raise FileNotFoundError(f"no file under {path}")
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').options(**options)
+    return [reader.csv(files) for header, files in sorted(by_header.items()) if header.strip()]
+
+
+def _union(frames: Sequence[DataFrame], empty: DataFrame) -> DataFrame:
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return empty if out is None else out
 
 
 def _csv_text(spark: SparkSession, path, names: Sequence[str], **options) -> DataFrame:
-    """A CSV by column name, all strings; a column the file lacks reads NULL."""
-    raw = _csv(spark, path, **options)
-    return raw.select(
-        *[F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names],
-        _file_name().alias("file_name"),
-    )
+    """CSV files by column name, all strings; a column that a file lacks reads NULL."""
+    schema = ", ".join(f"`{n}` string" for n in [*names, "file_name"])
+    frames = [
+        raw.select(
+            *[F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names],
+            _file_name().alias("file_name"),
+        )
+        for raw in _csv(spark, path, **options)
+    ]
+    return _union(frames, spark.createDataFrame([], schema))
 
 
 def read_ledger(spark: SparkSession, path) -> DataFrame:
@@ -47,7 +98,7 @@ def read_ledger(spark: SparkSession, path) -> DataFrame:
 def read_items(spark: SparkSession, path) -> DataFrame:
     raw = _csv_text(spark, path, S.ITEM_FILE.fieldNames())
     return raw.select(
-        F.col("ind").cast("bigint").alias("ind"),
+        F.col("ind").try_cast("bigint").alias("ind"),
         L.canonical("commit1").alias("before_key"),
         L.canonical("commit2").alias("after_key"),
         L.canonical("project").alias("project"),
@@ -84,16 +135,18 @@ def read_details(spark: SparkSession, path) -> DataFrame:
 
 def read_ledger_folder(spark: SparkSession, folder: str) -> DataFrame:
     """All ledgers of a folder; the annotator is the file name without `.csv`."""
-    raw = _csv(spark, f"{folder}/*.csv")
-    ref = L.first_of(raw, "purity_analysis", "purity", "purity_tool")
-    cand = L.first_of(raw, "llm_analysis", "model_label", "llm")
-    return raw.select(
-        F.regexp_extract(_file_name(), r"^(.*)\.csv$", 1).alias("annotator"),
-        _file_name().alias("file"),
-        L.canonical("hash").alias("item_key"),
-        ref.alias("reference_label"),
-        cand.alias("candidate_label"),
-    )
+    frames = [
+        raw.select(
+            F.regexp_extract(_file_name(), r"^(.*)\.csv$", 1).alias("annotator"),
+            _file_name().alias("file"),
+            (L.canonical("hash") if "hash" in raw.columns else F.lit(None).cast("string")).alias("item_key"),
+            L.first_of(raw, "purity_analysis", "purity", "purity_tool").alias("reference_label"),
+            L.first_of(raw, "llm_analysis", "model_label", "llm").alias("candidate_label"),
+        )
+        for raw in _csv(spark, f"{folder}/*.csv")
+    ]
+    schema = "annotator string, file string, item_key string, reference_label string, candidate_label string"
+    return _union(frames, spark.createDataFrame([], schema))
 
 
 def read_snapshots(spark: SparkSession, pattern: str) -> DataFrame:
@@ -129,6 +182,45 @@ def newest_path(
     return None
 
 
+#: Comparison tables, in the order in which they are looked for (fixed values).
+LEDGER_TABLE = "hashes_no_rpt_purity_with_analysis.csv"
+DUAL_TABLES = "dual_classification_comparison_*.csv"
+COMPARISON_TABLES = "purity_llm_comparison_*.csv"
+
+
+def read_comparison(spark: SparkSession, folder: str, prefer_dual: bool = False) -> DataFrame:
+    """The comparison of a folder: its ledger, else the newest comparison file.
+
+    Columns: item_key, repository, project_name, reference_normalized, candidate_label,
+    agreement. A ledger gives the rows that both sides have labelled. In a comparison
+    file a missing label reads UNKNOWN, and texts may hold line breaks.
+    """
+    if _files(spark, f"{folder}/{LEDGER_TABLE}"):
+        rows = read_ledger(spark, f"{folder}/{LEDGER_TABLE}")
+        both = rows.where(F.col("reference_label").isNotNull() & ~L.is_pending("candidate_label"))
+        ref = F.col("reference_label")
+        for old, new in S.REFERENCE_TO_CANDIDATE.items():
+            ref = F.when(F.col("reference_label") == old, new).otherwise(ref)
+        shaped = both.where("candidate_label <> 'FAILED'").select(
+            "item_key", F.lit("multiple_repositories").alias("repository"), F.lit("mixed").alias("project_name"),
+            ref.alias("reference_normalized"), F.upper("candidate_label").alias("candidate_label"),
+        )
+        agreement = F.coalesce(F.col("reference_normalized") == F.col("candidate_label"), F.lit(False))
+        return shaped.withColumn("agreement", agreement)
+    families = [f"{folder}/{DUAL_TABLES}"] * prefer_dual + [f"{folder}/{COMPARISON_TABLES}"]
+    newest = newest_path(spark, families)
+    if newest is None:
+        raise FileNotFoundError(f"no comparison under {folder}")
+    names = ["commit_hash", "hash", "repository", "project_name", "purity_classification", "llm_classification", "agreement"]
+    raw = _csv_text(spark, newest, names, multiLine=True)
+    ref, cand = (F.upper(F.coalesce(L.canonical(c), F.lit("UNKNOWN"))) for c in ("purity_classification", "llm_classification"))
+    given = F.lower("agreement").try_cast("boolean") if prefer_dual else F.lit(None).cast("boolean")
+    return raw.select(
+        F.coalesce(L.canonical("commit_hash"), L.canonical("hash")).alias("item_key"), "repository", "project_name",
+        ref.alias("reference_normalized"), cand.alias("candidate_label"), F.coalesce(given, ref == cand).alias("agreement"),
+    )
+
+
 def read_answers(spark: SparkSession, path) -> DataFrame:
     """Answer records from JSON files that hold one object or an array of them.
 
@@ -167,8 +259,8 @@ def read_sessions(spark: SparkSession, path) -> DataFrame:
     return docs.where(info.isNotNull()).select(
         _file_name().alias("session_id"),
         info["model_used"].alias("annotator"),
-        F.to_timestamp(info["start_time"]).alias("start_time"),
-        F.to_timestamp(info["end_time"]).alias("end_time"),
+        F.try_to_timestamp(info["start_time"]).alias("start_time"),
+        F.try_to_timestamp(info["end_time"]).alias("end_time"),
         *[
             F.coalesce(info[n], F.lit(0)).alias(a)
             for n, a in (

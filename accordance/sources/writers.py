@@ -58,13 +58,8 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     root, fs = _folder(spark, path)
     if not fs.exists(root):
         return []
-    mark = spark._jvm.org.apache.hadoop.fs.Path
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(mark(status.getPath(), "_SUCCESS")):
-            found.append(name[2:])
-    return sorted(found)
+    marks = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or []
+    return sorted(m.getPath().getParent().getName()[2:] for m in marks)
 
 
 def write_version(df: DataFrame, path: str, at: datetime | None = None) -> str:
@@ -89,15 +84,13 @@ def read_version(spark: SparkSession, path: str, version: str | None = None) ->
 
 def read_version_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """All earlier versions in snapshot form, for recovery."""
-    out = None
-    for v in versions(spark, path)[:-1]:
-        part = spark.read.parquet(f"{path}/v={v}").withColumns(
-            {"source": F.lit(v), "taken_at": F.lit(v)}
-        )
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    known = versions(spark, path)[:-1]
+    if not known:
         raise FileNotFoundError(f"no earlier version under {path}")
-    return out
+    read = spark.read.option("basePath", path).option("mergeSchema", True)
+    rows = read.parquet(*[f"{path}/v={v}" for v in known])
+    stamp = F.regexp_extract("_metadata.file_path", r"/v=([^/]+)/", 1)
+    return rows.select(*[c for c in rows.columns if c != "v"], stamp.alias("source"), stamp.alias("taken_at"))
 
 
 # ---------------------------------------------------------------------------

@@ -1,12 +1,14 @@
 """Arriving response files are labelled as they land and upserted into a ledger.
 
-A batch only writes its own labels and failures, each into a folder of its own, so a
-batch that is run again replaces itself and the ledger is not rewritten per batch.
-``merge_arrivals`` brings all new batches into one new ledger version.
+A batch only writes its own labels and failures, each into a folder of its run and number,
+so a batch that is run again replaces itself and the ledger is not rewritten per batch. A run
+lives as long as its stream checkpoint. ``merge_arrivals`` brings all batches that were not
+merged before into one new ledger version and notes them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accordance import schemas as S
+from accordance.schemas import FAILURE_STATUSES
+from accordance.functions import labels as L
 from accordance.operators import extract as E
 from accordance.operators.ordered import first_per_key
 from accordance.sources import writers as W
@@ -30,6 +34,26 @@ def read_arrivals(
     return reader.json(folder)
 
 
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of a stream checkpoint's run, kept inside it."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/run_id")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        stream = fs.open(path)
+        try:
+            return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream)).readLine()
+        finally:
+            stream.close()
+    name = uuid.uuid4().hex
+    out = fs.create(path, False)
+    try:
+        out.write(bytearray(name.encode()))
+    finally:
+        out.close()
+    return name
+
+
 def label_arrivals(
     arrivals: DataFrame,
     work_path: str,
@@ -38,6 +62,8 @@ def label_arrivals(
 ):
     """Start the job: all files there are, then stop. Progress is in ``checkpoint``."""
 
+    run = _run_id(arrivals.sparkSession, checkpoint)
+
     def each(batch: DataFrame, batch_id: int) -> None:
         # One answer per key and batch: the latest to arrive.
         one = first_per_key(
@@ -46,12 +72,12 @@ def label_arrivals(
         )
         labelled = label(one).persist()
         try:
-            labelled.select("item_key", "label", "status", "extraction_method").write.mode(
-                "overwrite"
-            ).parquet(f"{work_path}/labels/batch_id={batch_id}")
-            E.failures(labelled).write.mode("overwrite").parquet(
-                f"{work_path}/failures/batch_id={batch_id}"
+            labels = labelled.select(
+                "item_key", "label", "status", "extraction_method", F.current_timestamp().alias("labelled_at")
             )
+            part = f"run={run}/batch_id={batch_id}"
+            labels.write.mode("overwrite").parquet(f"{work_path}/labels/{part}")
+            E.failures(labelled).write.mode("overwrite").parquet(f"{work_path}/failures/{part}")
         finally:
             labelled.unpersist()
 
@@ -63,37 +89,59 @@ def label_arrivals(
     )
 
 
-def upsert(ledger: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Ledger with new labels (one row per key with its ``batch_id``). A row keeps the
-    number of the batch that wrote it, so merging a batch again changes nothing."""
+def upsert(ledger: DataFrame, labelled: DataFrame, skip_labelled: bool = True) -> DataFrame:
+    """Ledger with new labels (one row per key, with the ``batch_id`` that wrote it).
+
+    A row that has a label keeps it, unless ``skip_labelled`` is off; a failed answer never
+    replaces a label. All columns of the ledger stay; new keys have NULL in those not known.
+    Merging a batch again changes nothing.
+    """
+    ok = F.col("status") == "ok"
     new = labelled.select(
         "item_key",
-        F.when(F.col("status") == "ok", F.upper("label")).otherwise("FAILED").alias("_label"),
-        F.col("batch_id").alias("_batch"),
+        F.when(ok, F.upper("label")).otherwise("FAILED").alias("_label"),
+        F.coalesce(ok, F.lit(False)).alias("_ok"),
+        F.col("batch_id").cast("bigint").alias("_batch"),
+        F.lit(True).alias("_new"),
     )
-    old = ledger if "batch_id" in ledger.columns else ledger.withColumn(
-        "batch_id", F.lit(-1).cast("bigint")
-    )
-    fresh = F.coalesce(F.col("_batch") > F.coalesce("batch_id", F.lit(-1)), F.lit(False))
+    old = ledger if "batch_id" in ledger.columns else ledger.withColumn("batch_id", F.lit(None).cast("bigint"))
+    old = old.withColumn("_known", F.lit(True))
+    missing = L.is_pending("candidate_label")
+    wanting = missing | F.col("candidate_label").isin(*FAILURE_STATUSES)
+    takes = F.when(F.col("_ok"), wanting if skip_labelled else F.lit(True)).otherwise(missing)
+    takes = F.coalesce(F.col("_new") & F.coalesce(takes, F.lit(True)), F.lit(False))
+    given = {
+        "candidate_label": F.when(takes, F.col("_label")).otherwise(F.col("candidate_label")),
+        "batch_id": F.when(takes, F.col("_batch")).otherwise(F.col("batch_id")),
+    }
+    if "reference_label" in ledger.columns:
+        given["reference_label"] = F.when(F.col("_known").isNull(), F.lit("NOT_FOUND")).otherwise(F.col("reference_label"))
     return old.join(new, "item_key", "full_outer").select(
-        "item_key",
-        F.coalesce("reference_label", F.lit("NOT_FOUND")).alias("reference_label"),
-        F.when(fresh, F.col("_label")).otherwise(F.col("candidate_label")).alias("candidate_label"),
-        F.when(fresh, F.col("_batch")).otherwise(F.col("batch_id")).cast("bigint").alias("batch_id"),
+        *[given.get(c, F.col(c)).alias(c) for c in old.columns if c != "_known"]
     )
 
 
-def merge_arrivals(spark: SparkSession, ledger_path: str, work_path: str) -> str | None:
-    """Write one ledger version with all batches it lacks; None if there is none.
+def merge_arrivals(spark: SparkSession, ledger_path: str, work_path: str, skip_labelled: bool = True) -> str | None:
+    """Write one ledger version with all batches not merged before; None if there is none.
 
-    Batches are folders, so only the new ones are read.
+    Of several batches with a key the last good answer counts, else the last one.
     """
     ledger = W.read_version(spark, ledger_path)
-    last = -1
-    if "batch_id" in ledger.columns:
-        last = ledger.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
-    labels = spark.read.parquet(f"{work_path}/labels").where(F.col("batch_id") > last)
-    if labels.isEmpty():
-        return None
-    latest = first_per_key(labels, "item_key", ["batch_id"], last=True)
-    return W.write_version(upsert(ledger, latest), ledger_path)
+    labels = spark.read.option("basePath", f"{work_path}/labels").parquet(f"{work_path}/labels")
+    labels = labels.withColumn("run", F.col("run").cast("string"))
+    merged = f"{work_path}/merged"
+    path, fs = W._folder(spark, merged)
+    if fs.exists(path):
+        done = spark.read.schema("run string, batch_id long, version string").parquet(merged)
+        labels = labels.join(done.select("run", "batch_id").distinct(), ["run", "batch_id"], "left_anti")
+    batches = labels.select("run", F.col("batch_id").cast("bigint").alias("batch_id")).distinct().persist()
+    try:
+        if batches.isEmpty():
+            return None
+        ranked = labels.withColumn("_ok", F.coalesce((F.col("status") == "ok").cast("int"), F.lit(0)))
+        latest = first_per_key(ranked, "item_key", ["_ok", "labelled_at", "run", "batch_id"], last=True)
+        version = W.write_version(upsert(ledger, latest, skip_labelled), ledger_path)
+        batches.withColumn("version", F.lit(version)).write.mode("append").parquet(merged)
+        return version
+    finally:
+        batches.unpersist()

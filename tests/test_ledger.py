@@ -10,7 +10,7 @@ ROWS = [("a", "TRUE", None), ("b", "FALSE", "PURE"), ("c", "FALSE", ""), ("d", "
 def test_choosing_work(spark, rows):
     led = spark.createDataFrame(ROWS, LED)
     assert rows(M.first_pending(led, 2), "item_key") == [("a",), ("c",)]
-    assert tuple(M.shortfall(M.first_pending(led, 5), 5).first()) == (3, 2)
+    assert tuple(M.shortfall(led, 5).first()) == (3, 2)
     one = {tuple(M.random_pending(led, s).first()) for s in range(20)}
     assert M.random_pending(led, 3).first() == M.random_pending(led.repartition(3), 3).first()
     assert len(one) > 1 and {r[0] for r in one} <= {"a", "c", "e"}

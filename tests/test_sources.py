@@ -172,7 +172,7 @@ def test_arriving_files(spark, tmp_path, rows):
 
     def run():
         S.label_arrivals(S.read_arrivals(spark, f"{tmp_path}/in"), work, f"{tmp_path}/cp").awaitTermination()
-        S.merge_arrivals(spark, path, work)
+        S.merge_arrivals(spark, path, work, skip_labelled=False)
         return {r["item_key"]: r["candidate_label"] for r in W.read_version(spark, path).collect()}
 
     arrive("1", {"item_key": "a", "response": "FINAL: floss", "arrived_at": "2024-01-01T00:00:00"},
@@ -205,3 +205,62 @@ def test_upsert_twice_is_once(spark, rows):
     once = S.upsert(led, new)
     assert rows(S.upsert(once, new)) == rows(once)
     assert rows(once, "item_key", "candidate_label") == [("a", "PURE"), ("b", "FLOSS")]
+
+
+def test_ledgers_with_their_own_headers(spark, tmp_path, rows):
+    put(f"{tmp_path}/led/one.csv", "hash,purity_analysis,llm_analysis\na,TRUE,PURE\n")
+    put(f"{tmp_path}/led/two.csv", "llm,hash,purity\nFLOSS,b,FALSE\n")
+    put(f"{tmp_path}/led/three.csv", "purity_tool,model_label,extra,hash\nNONE,PURE,x,c\n")
+    got = rows(R.read_ledger_folder(spark, f"{tmp_path}/led"), "annotator", "item_key", "reference_label", "candidate_label")
+    assert got == [("one", "a", "TRUE", "PURE"), ("three", "c", "NONE", "PURE"), ("two", "b", "FALSE", "FLOSS")]
+
+
+def test_snapshots_with_other_columns(spark, tmp_path, rows):
+    put(f"{tmp_path}/x.csv.backup_2024-01-02_03-04-05", "llm_analysis,hash\npure,a\n")
+    put(f"{tmp_path}/x.csv.backup_2024-01-03_03-04-05", "hash,purity_analysis,llm_analysis\nb,TRUE,floss\n")
+    got = rows(R.read_snapshots(spark, f"{tmp_path}/*backup_*"), "item_key", "candidate_label")
+    assert got == [("a", "PURE"), ("b", "FLOSS")]
+
+
+def test_bad_values_read_null(spark, tmp_path):
+    put(f"{tmp_path}/items.csv", "ind,commit1,commit2,project,project_name\nx7,a,b,p,n\n3,c,d,p,n\n")
+    assert sorted((r["ind"] for r in R.read_items(spark, f"{tmp_path}/items.csv").collect()), key=str) == [3, None]
+    put(f"{tmp_path}/s.json", json.dumps({"session_info": {"start_time": "2024-01-01T00:00:00", "end_time": "not finished"}}))
+    r = R.read_sessions(spark, f"{tmp_path}/s.json").first()
+    assert r["start_time"] is not None and r["end_time"] is None
+
+
+def test_comparison_tables(spark, tmp_path, rows):
+    put(f"{tmp_path}/c/purity_llm_comparison_1.csv", 'llm_classification,commit_hash,note,purity_classification\npure,a,"two\nlines",PURE\n,b,x,floss\n')
+    columns = ("item_key", "reference_normalized", "candidate_label", "agreement")
+    assert rows(R.read_comparison(spark, f"{tmp_path}/c"), *columns) == [("a", "PURE", "PURE", True), ("b", "FLOSS", "UNKNOWN", False)]
+    put(f"{tmp_path}/c/dual_classification_comparison_1.csv", "commit_hash,purity_classification,llm_classification,agreement\nz,pure,floss,True\n")
+    assert rows(R.read_comparison(spark, f"{tmp_path}/c", prefer_dual=True), *columns) == [("z", "PURE", "FLOSS", True)]
+    put(f"{tmp_path}/c/hashes_no_rpt_purity_with_analysis.csv", "hash,llm_analysis,purity_analysis\nq,pure,TRUE\nr,FAILED,TRUE\ns,,TRUE\n")
+    assert rows(R.read_comparison(spark, f"{tmp_path}/c"), *columns) == [("q", "PURE", "PURE", True)]
+
+
+def test_ledger_keeps_columns_labels_and_batches(spark, tmp_path):
+    kind = "item_key string, project string, reference_label string, candidate_label string, n_chars long"
+    path, work = f"{tmp_path}/led", f"{tmp_path}/work"
+    W.write_version(spark.createDataFrame([("a", "p", "TRUE", "PURE", 5), ("b", "q", None, None, 6)], kind), path)
+
+    def run(checkpoint):
+        S.label_arrivals(S.read_arrivals(spark, f"{tmp_path}/in"), work, f"{tmp_path}/{checkpoint}").awaitTermination()
+        S.merge_arrivals(spark, path, work)
+        return {r["item_key"]: r.asDict() for r in W.read_version(spark, path).collect()}
+
+    put(f"{tmp_path}/in/1.json", json.dumps({"item_key": "a", "response": ""}) + "\n" + json.dumps({"item_key": "b", "response": ""}))
+    got = run("cp1")
+    assert (got["a"]["candidate_label"], got["a"]["project"], got["a"]["n_chars"]) == ("PURE", "p", 5)
+    assert got["b"]["candidate_label"] == "FAILED" and got["b"]["reference_label"] is None
+    put(f"{tmp_path}/in/2.json", json.dumps({"item_key": "b", "response": "FINAL: floss"}))
+    assert run("cp2")["b"]["candidate_label"] == "FLOSS"  # a fresh stream checkpoint counts from 0 again
+    assert len(W.versions(spark, path)) == 3
+
+
+def test_earlier_versions_in_one_read(spark, tmp_path, rows):
+    path = f"{tmp_path}/led"
+    for k in range(3):
+        W.write_version(spark.createDataFrame([("a", f"l{k}", *([k] if k else []))], "item_key string, candidate_label string" + (", x int" if k else "")), path)
+    assert [r[1] for r in rows(W.read_version_snapshots(spark, path), "source", "candidate_label")] == ["l0", "l1"]
