@@ -275,7 +275,8 @@ class Classifier:
 
 def fit(docs: DataFrame, text: str = "text") -> Classifier:
     """The classifier learned from the spans of all texts."""
-    rows = with_candidates(docs, text, ()).select(F.inline("_candidates"))
+    # the outer form: a filter on the array would work out all spans a second time
+    rows = with_candidates(docs, text, ()).select(F.inline_outer("_candidates")).where("kind is not null")
     return Classifier(rows.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("n")).collect())
 
 
