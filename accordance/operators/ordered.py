@@ -1,45 +1,55 @@
 """Numbering, running sums and neighbours over a total order, without one-task windows.
 
 A window without a partition moves all rows to one task, and a window by group
-moves a hot group to one task. Here the rows are range-partitioned by the full
-order instead, so even one group's rows (or one timestamp's) spread over slices;
-the frame is checkpointed, which fixes the slices; and what a slice needs from the
-slices before it is one row per slice, the only thing ever broadcast.
+moves a hot group to one task. Here the rows are cut into slices of the full order
+instead, so even one group's rows (or one timestamp's) spread over slices. The cuts
+come from a bounded sample, a subquery of the same plan: the rows with the
+smallest hashes of their order, so the same table is always cut the same way, and nothing
+runs before the result is asked for. Rows are shuffled once, by slice; what a slice needs
+from the slices before it is one or two rows per slice, the only thing ever broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordance.functions.common import col
-from accordance.session import checkpoint, shuffle_width
+from accordance.session import shuffle_width
 
-_ROW_BITS = 33  # monotonically_increasing_id: partition above, row number below
+#: Rows of the sample per slice.
+_SAMPLE = 16
+
+
+def _key(order: Sequence) -> Column:
+    return F.struct(*[col(c).alias(f"_{i}") for i, c in enumerate(order)])
 
 
 def sliced(df: DataFrame, order: Sequence) -> DataFrame:
-    """Rows in total order with ``_slice`` and ``_pos`` (0-based inside the slice)."""
-    order = [col(c) for c in order]
-    ranged = checkpoint(
-        df.repartitionByRange(shuffle_width(df.sparkSession), *order)
-        .sortWithinPartitions(*order)
-    )
-    uid = F.monotonically_increasing_id()
-    return ranged.withColumn("_uid", uid).select(
-        *ranged.columns,
-        F.shiftright("_uid", _ROW_BITS).alias("_slice"),
-        F.col("_uid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_pos"),
+    """``df`` with ``_slice``: slices ascend in the (ascending) order."""
+    slices = shuffle_width(df.sparkSession)
+    key = _key(order)
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(_SAMPLE * slices)
+    # every _SAMPLE-th of at most _SAMPLE * slices sorted rows
+    cuts = sample.agg(F.array_sort(F.collect_list("k")).alias("k")).select(
+        F.transform(
+            F.filter(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: i * _SAMPLE < F.size("k")),
+            lambda i: F.get("k", i * _SAMPLE),
+        )
+        if slices > 1
+        else F.slice("k", 1, 0)
     )
+    with_cuts = df.withColumn("_cuts", cuts.scalar())
+    return with_cuts.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
 
 
 def _before(per_slice: DataFrame, *names: str) -> DataFrame:
     """Totals of all earlier slices; the input has one row per slice."""
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     return per_slice.select(
-        "_slice",
+        F.col("_slice").alias("_at"),
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names],
     )
 
@@ -47,11 +57,12 @@ def _before(per_slice: DataFrame, *names: str) -> DataFrame:
 def number_rows(df: DataFrame, order: Sequence, name: str = "row_no") -> DataFrame:
     """1-based row number over the whole frame."""
     rows = sliced(df, order)
-    counts = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("n"))
-    offsets = _before(counts, "n")
+    offsets = _before(rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")), "n")
+    inside = Window.partitionBy("_slice").orderBy(*[col(c) for c in order])
     return (
-        rows.join(F.broadcast(offsets), "_slice")  # one row per slice
-        .withColumn(name, F.col("_before_n") + F.col("_pos") + 1)
+        rows.withColumn("_n", F.row_number().over(inside))
+        .join(F.broadcast(offsets), F.col("_slice") == F.col("_at"))  # one row per slice
+        .withColumn(name, F.col("_before_n") + F.col("_n"))
         .select(*df.columns, name)
     )
 
@@ -59,14 +70,13 @@ def number_rows(df: DataFrame, order: Sequence, name: str = "row_no") -> DataFra
 def running_sum(df: DataFrame, order: Sequence, value: str, name: str) -> DataFrame:
     """Sum of ``value`` up to and including each row, over the whole frame."""
     rows = sliced(df, order)
-    sums = rows.groupBy("_slice").agg(F.sum(value).alias("n"))
-    offsets = _before(sums, "n")
-    inside = Window.partitionBy("_slice").orderBy("_pos").rowsBetween(
+    offsets = _before(rows.groupBy("_slice").agg(F.sum(value).alias("n")), "n")
+    inside = Window.partitionBy("_slice").orderBy(*[col(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, 0
     )
     return (
         rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_slice")  # one row per slice
+        .join(F.broadcast(offsets), F.col("_slice") == F.col("_at"))  # one row per slice
         .withColumn(name, F.col("_before_n") + F.col("_inside"))
         .select(*df.columns, name)
     )
@@ -82,45 +92,30 @@ def within_groups(
 ) -> DataFrame:
     """Row number inside each group and the previous row's value, hot groups included."""
     rows = sliced(df, [group, *order])
-    if value is None:
-        rows = rows.withColumn("_value", F.lit(None).cast("int"))
-    else:
-        rows = rows.withColumn("_value", F.col(value))
-
-    # A group crosses a slice border only as the last group of a slice or the
-    # first of the next: at most two (slice, group) pairs per slice.
-    edges = rows.groupBy("_slice").agg(
-        F.min_by(group, "_pos").alias("_first_group"),
-        F.max_by(group, "_pos").alias("_last_group"),
-    )
-    at_edge = F.col("_group").eqNullSafe(F.col("_first_group")) | F.col("_group").eqNullSafe(
-        F.col("_last_group")
-    )
-    border = (
-        rows.select("_slice", "_pos", F.col(group).alias("_group"), "_value")
-        .join(F.broadcast(edges), "_slice")  # one row per slice
-        .where(at_edge)
-        .groupBy("_slice", "_group")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max_by(F.struct(F.col("_value").alias("v")), "_pos").alias("last"),
+    rows = rows.withColumn("_value", F.lit(None).cast("int") if value is None else F.col(value))
+    # What the earlier slices hold of a group; only a group that crosses a slice border, at most
+    # two per slice, has any.
+    by_slice = Window.partitionBy("_group").orderBy("_at")
+    carried = (
+        rows.groupBy(F.col("_slice").alias("_at"), F.col(group).alias("_group"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct(F.col("_value").alias("v")), _key(order)).alias("last"))
+        .select(
+            "_at",
+            "_group",
+            F.sum("n").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.lag("last").over(by_slice).alias("_last"),
         )
+        .where("_before > 0")
+    )
+    inside = Window.partitionBy("_slice").orderBy(col(group), *[col(c) for c in order])
+    place, first = F.row_number().over(inside), F.col(group).eqNullSafe(F.lag(group).over(inside))
+    rows = rows.withColumns({"_place": place, "_lag": F.lag("_value").over(inside), "_same": first})
+    # the place where a row's group starts in its slice
+    starts = F.max(F.when(F.coalesce(F.col("_place") > 1, F.lit(False)) & F.col("_same"), None).otherwise(F.col("_place"))).over(
+        inside.rowsBetween(Window.unboundedPreceding, 0)
     )
-    by_slice = Window.partitionBy("_group").orderBy("_slice")
-    carried = border.select(
-        "_slice",
-        "_group",
-        F.coalesce(
-            F.sum("n").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-        F.lag("last").over(by_slice).alias("_last"),
-    ).where("_before > 0")
-
-    inside = Window.partitionBy("_slice", group).orderBy("_pos")
     out = (
-        rows.withColumn("_n", F.row_number().over(inside))
-        .withColumn("_lag", F.lag("_value").over(inside))
-        .withColumnRenamed("_slice", "_at")
+        rows.withColumn("_n", F.col("_place") - starts + 1)
         .join(
             F.broadcast(carried),  # at most two rows per slice
             (F.col("_at") == F.col("_slice")) & F.col(group).eqNullSafe(F.col("_group")),

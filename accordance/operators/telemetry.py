@@ -152,12 +152,15 @@ def half_drift(
     numbered = within_groups(durations.select(*dict.fromkeys([group, *order, duration])), group, order, seq="item_no")
     sizes = durations.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     first = F.col("item_no") <= F.floor(F.col("n") / 2)
-    halves = numbered.join(sizes, group).groupBy(group).agg(
+    # dealt anew behind the join, so that Spark may split a hot group in it, and summed up in parts
+    joined = numbered.join(sizes, group).withColumn("_part", F.col("item_no") % 64).repartition(group, "_part")
+    parts = joined.groupBy(group, "_part").agg(
         F.count_if(first).alias("first_n"),
         F.count_if(~first).alias("second_n"),
         F.sum(F.when(first, F.col(duration))).alias("_a"),
         F.sum(F.when(~first, F.col(duration))).alias("_b"),
     )
+    halves = parts.groupBy(group).agg(*[F.sum(c).alias(c) for c in ("first_n", "second_n", "_a", "_b")])
     return halves.select(
         group,
         "first_n",
