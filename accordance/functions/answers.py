@@ -15,12 +15,13 @@ from accordance.functions.common import WHITESPACE_RUN, col, found, let, strip
 
 # ---------------------------------------------------------------------------
 # Parts of an answer that carry reasoning or echo the request, as
-# (opening, closing) pairs or as whole patterns.
+# (opening, closing) pairs or as whole patterns. What a group holds is put back: text that
+# a pattern has searched in vain, so that it is not searched again from the next opening.
 THINK_BLOCKS = (
     (r"<think\b[^>]*>", r"</think>"),
-    r"(?is)<think\b[^>]*/>",
+    r"(?is)<think\b[^>]*+(?<=/)>|(<think\b[^>]*+>?)",
     (r"<<think>>", r"<</think>>"),
-    r"(?imd)^\s*\[?\(?think\)?\]?[:\-\s].*$",
+    r"(?imd)^\s*+\[?\(?think\)?\]?[:\-\s].*$|(^\s++)",
 )
 ECHOED_TEXT = (
     (r"CRITICAL:\s*You\s+must\s+respond", r"before\s+or\s+after\."),
@@ -91,6 +92,8 @@ JUSTIFICATION_PATTERNS = (
     r"(?isu)(?:justification|reasoning|explanation)[\s:]*(.+?)(?=\n\n|\n[A-Z]|\.|\z)",
     r"(?isuU)(?:this|the commit|changes)[\s\w]*(?:are|is|represents?)[\s\w]*(.+?)(?=\.|\z)",
 )
+# Words that a justification opens with, and all that the second pattern could look through.
+JUSTIFICATION_RUN = r"(?:this|the commit|changes)[\s\w]*+"
 
 JUSTIFICATION_WORDS = (
     ("justification", "reasoning", "explanation"),
@@ -125,10 +128,11 @@ def _replaced(text: Column, patterns: Sequence[str | tuple[str, str]]) -> Column
     for p in patterns:
         if isinstance(p, tuple):
             opening, closing = p
-            whole = rf"(?is){opening}.*?{closing}|({opening}.*)\z"
-            text = F.regexp_replace(text, whole, "$1")
+            open_end = opening.removesuffix(">") if opening.endswith("*>") else opening
+            whole = rf"(?is){opening}.*?{closing}|({opening}.*)\z|({open_end})\z"
+            text = F.regexp_replace(text, whole, "$1$2")
         else:
-            text = F.regexp_replace(text, p, "")
+            text = F.regexp_replace(text, p, "$1" if "|(" in p else "")
     return text
 
 
@@ -213,8 +217,13 @@ def bare_label(text: Column | str) -> Column:
 def bare_justification(text: Column | str, longer_than: int = 10) -> Column:
     t = col(text)
     tries = []
-    for pattern, words in zip(JUSTIFICATION_PATTERNS, JUSTIFICATION_WORDS):
-        v = strip(F.regexp_extract(t, pattern, 1))
+    labelled, plain = JUSTIFICATION_PATTERNS
+    # Where the second pattern fails from one opening it fails from all others in the same
+    # run of words, so that run is taken in one empty match.
+    runs = F.regexp_extract_all(t, F.lit(f"{plain}|{JUSTIFICATION_RUN}"), F.lit(1))
+    firsts = (F.regexp_extract(t, labelled, 1), F.get(F.filter(runs, lambda x: x != ""), F.lit(0)))
+    for first, words in zip(firsts, JUSTIFICATION_WORDS):
+        v = strip(first)
         tries.append(F.when(_any(F.lower(t), words) & (F.length(v) > longer_than), v))
     return F.coalesce(*tries)
 
