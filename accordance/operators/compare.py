@@ -210,7 +210,10 @@ def enrich(
     """
     values = F.struct(*[F.col(c) for c in columns])
     at = F.struct(*[F.col(c) for c in order])
-    sides = keys_of_items(items).groupBy("item_key").agg(
+    need = list(dict.fromkeys([*columns, *order, "before_key", "after_key"]))
+    keys = df.select("item_key").distinct()
+    wanted = keys_of_items(items.select(need)).join(keys, "item_key", "left_semi")
+    sides = wanted.groupBy("item_key").agg(
         F.min_by(values, F.when(F.col("side") == 1, at)).alias("_before"),
         F.min_by(values, F.when(F.col("side") == 2, at)).alias("_after"),
     )
@@ -218,7 +221,7 @@ def enrich(
     pick = F.coalesce("_before", "_after")
     if not per_row:
         any_before = (
-            df.join(sides.where(F.col("_before").isNotNull()), "item_key", "left_semi")
+            df.join(items.select(F.col("before_key").alias("item_key")), "item_key", "left_semi")
             .agg(F.count(F.lit(1)) > 0)
             .scalar()
         )

@@ -100,7 +100,10 @@ def structured_answer(
 
 def any_json_value(df: DataFrame, response: str = "response") -> DataFrame:
     """First balanced JSON array or object of each text (arrays are tried first)."""
-    return df.withColumn("json_value", _bracket_scan_any(F.col(response)))
+    t = F.col(response)
+    held = t.contains("{") | t.contains("[")
+    # a text without a bracket holds no value and enters the Python scan as NULL
+    return df.withColumn("json_value", _bracket_scan_any(F.when(held, t)))
 
 
 def _doc_field(names: tuple[str, ...]) -> Column:
@@ -229,7 +232,8 @@ def cascade(
     ``verdict_first``: verdict line, structured answer (object, else key lines),
     indicator scoring. ``structure_first``: structured answer, field lines, bare
     label (a short verdict overrides these two), short verdict alone, keyword
-    fallback. Only an empty answer fails.
+    fallback. An object that only the uncleaned text holds counts as structured, and a
+    short verdict overrides its label. Only an empty answer fails.
     """
     if order == VERDICT_FIRST:
         return _verdict_first(df, response, residual)
@@ -314,12 +318,22 @@ def _structure_first(df: DataFrame, response: str, residual: bool) -> DataFrame:
         }
     )
     parsed = A.has_minimum(F.col("a_refactoring_type"), F.col("a_justification"))
+    # an object that cleaning has taken away with the reasoning around it
+    t = F.col(response)
+    raw = F.when(~parsed & t.contains("{") & t.contains("}"), A.object_candidates(t))
+    out = out.withColumn("_raw", F.get(F.filter(raw, A.is_object_text), F.lit(0)))
+    out = out.withColumn("_raw_doc", F.try_parse_json("_raw"))
+    for k, names in ANSWER_FIELDS.items():
+        tries = [non_empty(F.try_variant_get("_raw_doc", f"$.{n}", "string")) for n in names]
+        out = out.withColumn(f"r_{k}", F.coalesce(*tries))
+    uncleaned = A.has_minimum(F.col("r_refactoring_type"), F.col("r_justification"))
+    out = out.withColumn("_uncleaned", F.coalesce(~parsed & uncleaned, F.lit(False)))
     lines = (F.col("f_count") >= 2) & A.has_minimum(
         F.col("f_refactoring_type"), F.col("f_justification")
     )
     method = (
         F.when(F.col("_empty"), F.lit(None).cast("string"))
-        .when(parsed, "structured")
+        .when(parsed | F.col("_uncleaned"), "structured")
         .when(lines, "lines")
         .when(F.col("_bare").isNotNull(), "bare_label")
         .when(F.col("_verdict").isNotNull(), "verdict")
@@ -330,7 +344,8 @@ def _structure_first(df: DataFrame, response: str, residual: bool) -> DataFrame:
     out = out.withColumn("_low", F.lower(F.when(m == "fallback", F.col(response))))
     fallback = F.when(m == "fallback", F.col(response))
     label = (
-        F.when(m == "structured", F.col("a_refactoring_type"))
+        F.when(F.col("_uncleaned"), F.coalesce("_verdict", "r_refactoring_type"))
+        .when(m == "structured", F.col("a_refactoring_type"))
         .when(
             m == "lines",
             F.when(F.col("f_refactoring_type").isNotNull(), F.coalesce("_verdict", "f_refactoring_type")),
@@ -340,7 +355,8 @@ def _structure_first(df: DataFrame, response: str, residual: bool) -> DataFrame:
         .when(m == "fallback", A.fallback_label("_low", True))
     )
     justification = (
-        F.when(m == "structured", F.col("a_justification"))
+        F.when(F.col("_uncleaned"), F.col("r_justification"))
+        .when(m == "structured", F.col("a_justification"))
         .when(m == "lines", F.col("f_justification"))
         .when(m == "bare_label", A.bare_justification(F.when(m == "bare_label", F.col(response))))
         .when(m == "verdict", F.concat(F.lit(VERDICT_JUSTIFICATION), F.col(response)))
@@ -355,7 +371,9 @@ def _structure_first(df: DataFrame, response: str, residual: bool) -> DataFrame:
         {
             "label": F.when(~empty, F.col("label")),
             "justification": F.when(~empty, F.col("justification")),
-            "confidence": F.when(m == "structured", F.col("a_confidence_level")),
+            "confidence": F.when(F.col("_uncleaned"), F.col("r_confidence_level")).when(
+                m == "structured", F.col("a_confidence_level")
+            ),
             "fields_filled": F.lit(None).cast("string"),
             "status": F.when(empty, "failed").otherwise("ok"),
         }

@@ -50,10 +50,12 @@ _OUTER = """resolved AS (
 
 def resolved_matrix(spark, d):
     """Resolved reference label against candidate label, with margins."""
-    reference = R.resolve_labels(V.details(spark, d)).select(
+    done = P.completed(V.ledger(spark, d)).select("item_key", "candidate_label")
+    details = V.details(spark, d).join(done.select("item_key"), "item_key", "left_semi")
+    reference = R.resolve_labels(details).select(
         "item_key", L.map_label("resolved_label").alias("reference_label")
     )
-    both = P.completed(V.ledger(spark, d)).select("item_key", "candidate_label").join(reference, "item_key")
+    both = done.join(reference, "item_key")
     return G.confusion_margins(both)
 
 

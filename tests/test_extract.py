@@ -196,3 +196,11 @@ def test_method_shares_and_quarantine(spark):
     assert (ok.count(), bad.count()) == (3, 1)
     f = E.failures(out).first()
     assert (f["item_key"], f["repository"], f["error"]) == ("b", "unknown", "empty response")
+
+
+def test_object_inside_a_think_block(spark):
+    text = '<think>{"refactoring_type": "pure", "justification": "only names", "confidence_level": "high"}</think> project: x\nrepository: y'
+    df = spark.createDataFrame([("a", text), ("b", text + "\nFINAL: FLOSS")], "item_key string, response string")
+    got = {r["item_key"]: r for r in E.cascade(df, E.STRUCTURE_FIRST).collect()}
+    assert [got["a"][c] for c in ("label", "justification", "confidence", "extraction_method")] == ["pure", "only names", "high", "structured"]
+    assert got["b"]["label"] == "floss"
