@@ -7,12 +7,14 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from accordance.plans.registry import all_queries
 from tests import oracle, skewed
 
 SMALL = f"{oracle.DATA}/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, (query, _) in all_queries().items()}
+SQL = {name: text for name, (_, text) in all_queries().items() if text is not None}
 # one of each kind of grouping, window, join and text work
 SKEWED = (
     "consolidate", "tri_state", "either_key", "enrich_fallback", "top3_evidence", "outer_compare",
@@ -32,9 +34,9 @@ def hot(tmp_path_factory):
     return path, oracle.connect(path)
 
 
-def test_only_the_seeded_pick_has_no_sql(spark):
-    assert set(QUERIES) - set(SQL) == {"random_pending"}
-    assert QUERIES["random_pending"](spark, SMALL).count() == 1
+def test_every_query_has_sql_and_is_registered():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", SQL)
