@@ -31,6 +31,8 @@ LENGTH, Q = 200, 40
 #: Distinct surroundings from which a bucket is dealt over tasks.
 CROWDED = 1 << 14
 MAP_BITS = 26
+#: Surroundings whose strings are hashed at once.
+_AT_ONCE = 2048
 _POSITION = 31
 
 
@@ -89,7 +91,7 @@ class Anchors:
         self.reach = mix(span_hashes(self.sums, self.s, self.e + LENGTH) + (self.at - self.s).astype(np.uint64))
 
 
-def _raw_chunks(batches, chunk: int = 1 << 21):
+def _raw_chunks(batches, chunk: int = 1 << 19):
     ids, raw, held = [], [], 0
     for batch in batches:
         for row in range(0, batch.num_rows, 256):
@@ -230,25 +232,38 @@ def _refine(batches: Iterator) -> Iterator:
     import numpy as np
     import pandas as pd
 
-    from accordance.llm.repeats import _spans, _strings
+    from accordance.llm.repeats import _AT_ONCE, _spans, _strings
 
     held: list[tuple] = []
 
-    def settle(rows):
+    def part(rows, h, blob, offset, repeated):
         doc, variant, s = (np.asarray([r[k] for r in rows], t) for k, t in ((1, np.int64), (2, np.int32), (3, np.int64)))
-        h, blob, offset = _strings([r[4] for r in rows])
-        codes, _ = pd.factorize(h)
-        repeated = np.bincount(codes)[codes] > 1
         return _spans(doc, variant, s, blob[repeated], offset[repeated])
 
+    def settle(rows):
+        if len(rows) <= 2 * _AT_ONCE:
+            h, blob, offset = _strings([r[4] for r in rows])
+            codes, _ = pd.factorize(h)
+            yield part(rows, h, blob, offset, np.bincount(codes)[codes] > 1)
+            return
+        # a large bucket: first which hashes come twice, then the spans, a part of its rows at a time
+        parts = [rows[k : k + _AT_ONCE] for k in range(0, len(rows), _AT_ONCE)]
+        every = np.sort(np.concatenate([_strings([r[4] for r in p])[0] for p in parts]))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
+        for p in parts:
+            h, blob, offset = _strings([r[4] for r in p])
+            at = np.minimum(np.searchsorted(twice, h), max(0, len(twice) - 1))
+            yield part(p, h, blob, offset, twice[at] == h if len(twice) else np.zeros(len(h), bool))
+
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in ("gram", "doc", "variant", "s", "bytes"))):
-            if len(held) >= 4096 and row[0] != held[-1][0]:
-                yield settle(held)
+            if len(held) >= _AT_ONCE and row[0] != held[-1][0]:
+                yield from settle(held)
                 held = []
             held.append(row)
     if held:
-        yield settle(held)
+        yield from settle(held)
 
 
 def _string_rows(batches: Iterator) -> Iterator:
