@@ -135,41 +135,76 @@ def _bucket_rows(kind: str):
     return run
 
 
+def _pairs_of_runs(first, length):
+    """All pairs inside each run of rows, as two arrays of places."""
+    import numpy as np
+
+    from accordance.llm.pretokens import ragged
+
+    start = np.repeat(first, length)
+    end = np.repeat(first + length, length)
+    at = ragged(np.arange(int((first + length).max(initial=0))), first, length)
+    later = end - at - 1
+    assert (start <= at).all()
+    return np.repeat(at, later), ragged(np.arange(int(end.max(initial=0))), at + 1, later)
+
+
+def _between(side):
+    """All pairs of a run that stands for two blocks (sides 0 and 1) of a bucket."""
+    import numpy as np
+
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return np.repeat(one, len(two)), np.tile(two, len(one))
+
+
 def _compare(kind: str, least: float):
-    """Sums of links owned by this bucket, and stars of all its links."""
+    """Sums of the links that each bucket owns, and stars of all its links.
+
+    The rows come ordered by bucket; many small buckets are compared at once.
+    """
 
-    def run(key, rows):
+    def settle(rows: list[tuple]):
         import numpy as np
         import pyarrow as pa
 
-        from accordance.llm.vectors import TABLES
-
-        table, code = key[2].as_py(), key[3].as_py()
-        ids, side = rows.column("class").to_pylist(), np.asarray(rows.column("side").to_pylist())
-        n = rows.column("n").to_numpy()
-        x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64)
-        scale = np.abs(x).max(axis=1, keepdims=True)
-        x = x / scale
+        from accordance.llm.vectors import PROBES, TABLES, _between, _pairs_of_runs
+
+        place = [r[:6] for r in rows]
+        edge = np.flatnonzero([True, *(a != b for a, b in zip(place, place[1:]))])
+        length = np.diff(np.append(edge, len(rows)))
+        table, code = np.asarray([p[2] for p in place]), np.asarray([p[3] for p in place])
+        n = np.asarray([r[8] for r in rows], np.int64)
+        c = np.frombuffer(b"".join(r[9] for r in rows), np.int32).reshape(len(rows), TABLES, PROBES)
+        split = np.asarray([p[4] != p[5] for p in place])[edge]
+        pairs = [_pairs_of_runs(edge[~split], length[~split])]
+        for first, m in zip(edge[split].tolist(), length[split].tolist()):
+            i, j = _between(np.asarray([r[6] for r in rows[first : first + m]]))
+            pairs.append((i + first, j + first))
+        i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        x = np.zeros((len(rows), max(r[1] for r in rows)))
+        for k, r in enumerate(rows):
+            v = np.frombuffer(r[10], kind)
+            x[k, : len(v)] = v
+        x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        c = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int32).reshape(len(ids), TABLES, -1)
-        one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        links = np.zeros(len(ids), np.int64)
-        star = np.arange(len(ids))
-        near = x[one] @ x[two].T >= least
-        near &= one[:, None] < two[None, :] if len(side) and side[0] == 2 else True
-        i, j = np.nonzero(near)
-        i, j = one[i], two[j]
-        for k in range(0, len(i), 1 << 18):
-            a, b = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-            first = np.ones(len(a), bool)
-            for t in range(table + 1):
-                same = c[a, t][:, :, None] == c[b, t][:, None, :]
-                if t == table:  # among the shared buckets of this table, the smallest code
-                    same &= c[a, t][:, :, None] < code
-                first &= ~same.any(axis=(1, 2))
+        near = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            near[part] = np.einsum("ij,ij->i", x[i[part]], x[j[part]]) >= least
+        i, j = i[near], j[near]
+        links = np.zeros(len(rows), np.int64)
+        for k in range(0, len(i), 1 << 16):
+            a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            # the bucket owns a pair if the two share none in an earlier table, nor one of a smaller code
+            same = c[a][:, :, :, None] == c[b][:, :, None, :]
+            tables = np.arange(TABLES)[None, :, None, None]
+            t, own = table[a][:, None, None, None], code[a][:, None, None, None]
+            before = same & ((tables < t) | ((tables == t) & (c[a][:, :, :, None] < own)))
+            first = ~before.any(axis=(1, 2, 3))
             np.add.at(links, a[first], n[b[first]])
             np.add.at(links, b[first], n[a[first]])
-        while len(i):  # smallest place that can be reached by links of this bucket
+        star = np.arange(len(rows))
+        while len(i):  # smallest place that can be reached by links of one bucket
             low = star.copy()
             np.minimum.at(low, i, star[j])
             np.minimum.at(low, j, low[i])
@@ -177,15 +212,27 @@ def _compare(kind: str, least: float):
             if (low == star).all():
                 break
             star = low
-        some = np.flatnonzero((links > 0) | (star != np.arange(len(ids))))
-        return pa.table(
-            {
-                "class": pa.array([ids[k] for k in some], pa.binary()),
-                "links": pa.array(links[some]),
-                "star": pa.array([ids[star[k]] for k in some], pa.binary()),
-            }
+        some = np.flatnonzero((links > 0) | (star != np.arange(len(rows))))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([rows[k][7] for k in some], pa.binary()), pa.array(links[some]),
+                pa.array([rows[star[k]][7] for k in some], pa.binary()),
+            ],
+            names=["class", "links", "star"],
         )
 
+    def run(batches: Iterator) -> Iterator:
+        held: list[tuple] = []
+        names = ("label", "size", "table", "code", "i", "j", "side", "class", "n", "codes", "vector")
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in names)):
+                if len(held) >= 2048 and row[:6] != held[-1][:6]:
+                    yield settle(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield settle(held)
+
     return run
 
 
@@ -221,9 +268,9 @@ def find_near_vectors(vectors: DataFrame, least: float = 0.93, embedding: str =
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         "class", "n", "codes", "vector",
     )
-    found = common.written(
-        dealt.groupBy(*bucket, "i", "j").applyInArrow(_compare(kind, least), "class binary, links long, star binary")
-    )
+    group = [*bucket, "i", "j"]
+    dealt = dealt.repartition(common.width(spark), *group).sortWithinPartitions(*group)
+    found = common.written(dealt.mapInArrow(_compare(kind, least), "class binary, links long, star binary"))
     sums = found.groupBy("class").agg(F.sum("links").alias("links"))
     labels = components(found.where("class <> star").select("class", "star")).select(F.col("node").alias("class"), "component")
     named = classes.select("class", "vec_id", "n").join(sums, "class", "left").join(labels, "class", "left").select(
