@@ -58,15 +58,17 @@ def components(links: DataFrame) -> DataFrame:
     pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     kind = pairs.schema["u"].dataType.simpleString()
     edges = common.written(pairs.mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
-    mark = None
-    while True:
-        new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                edges.select("v", "v").distinct()
-            )
-        mark = new
+    while not _are_stars(edges):
         edges = common.written(_small(_large(edges)).mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Does every node stand on one side only, and on the left of one link only?"""
+    left, right = F.lit(1).alias("left"), F.lit(0).alias("right")
+    ends = edges.select(F.col("u").alias("n"), left, right).union(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("n").agg(F.sum("left").alias("left"), F.max("right").alias("right"))
+    return seen.where("left > 1 or left > 0 and right > 0").isEmpty()
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@
    least `DEPTH` values are neighbours. In a small region all of them are candidates. In a
    crowded one the depth adapts: a class meets its nearest neighbours in the order
    and the first class of every deeper prefix it belongs to.
+   The nearest neighbours of the first `FIRST` orders are linked before, and what is one
+   component by then is not compared again.
 3. *Links.* Candidates whose signatures agree enough (four standard errors below the
    limit) are confirmed on the full sets, recomputed from the texts of only the classes
    that have candidates.
@@ -35,6 +37,8 @@ from accordance.llm import common
 from accordance.llm.components import components
 
 HASHES, TREES, STEP, DEPTH, LONGEST = 64, 16, 4, 3, 12
+#: Orders whose nearest neighbours are linked first.
+FIRST = 4
 #: Rows of a region that are compared with all others; neighbours beyond it.
 SMALL, NEAR = 64, 12
 #: Share of equal signature values from which a pair is confirmed on its sets.
@@ -108,28 +112,57 @@ def _set_rows(k: int):
     return run
 
 
-def _tree_rows(batches: Iterator) -> Iterator:
+_TREES = "key binary, set_id binary, low binary, component binary"
+
+
+def _tree_rows(trees: int):
     """Each class once per order: the order's key, the class, 8 bits of each signature value."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from accordance.llm.near_dup import HASHES, LONGEST, STEP
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, HASHES, 2)
+            low = np.ascontiguousarray(sig[:, :, 1]).reshape(n, HASHES)
+            short = [x.tobytes() for x in low]
+            for t in range(trees):
+                at = (t * STEP + np.arange(LONGEST)) % HASHES
+                key = np.concatenate([np.full((n, 1), t, np.uint8), sig[:, at].reshape(n, 2 * LONGEST)], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x.tobytes() for x in key], pa.binary()), batch.column(0),
+                        pa.array(short, pa.binary()), batch.column(2),
+                    ],
+                    names=["key", "set_id", "low", "component"],
+                )
+
+    return run
+
+
+def _nearest(batches: Iterator) -> Iterator:
+    """Of an ordered task, each class with the one right before it in its region."""
     import numpy as np
     import pyarrow as pa
 
-    from accordance.llm.near_dup import HASHES, LONGEST, STEP, TREES
+    from accordance.llm import near_dup as nd
 
+    base = 1 + 2 * nd.DEPTH
+    last = None
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, HASHES, 2)
-        low = np.ascontiguousarray(sig[:, :, 1]).reshape(n, HASHES)
-        short = [x.tobytes() for x in low]
-        ids = batch.column(0)
-        for t in range(TREES):
-            at = (t * STEP + np.arange(LONGEST)) % HASHES
-            key = np.concatenate([np.full((n, 1), t, np.uint8), sig[:, at].reshape(n, 2 * LONGEST)], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes() for x in key], pa.binary()), ids, pa.array(short, pa.binary())],
-                names=["key", "set_id", "low"],
-            )
+        a_out, b_out = [], []
+        for key, sid, low in zip(*(batch.column(k).to_pylist() for k in ("key", "set_id", "low"))):
+            mine = np.frombuffer(low, np.uint8)
+            if last and last[0][:base] == key[:base] and (last[2] == mine).sum() >= nd.AGREE * nd.HASHES:
+                a_out.append(min(last[1], sid))
+                b_out.append(max(last[1], sid))
+            last = (key, sid, mine)
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
 
 
 def _region(key: bytes, depth: int) -> bytes:
@@ -137,16 +170,16 @@ def _region(key: bytes, depth: int) -> bytes:
 
 
 def _neighbours(batches: Iterator) -> Iterator:
-    """Candidate pairs (a, b) of an ordered task; a null b marks an unfinished region."""
+    """Candidate pairs (a, b) of an ordered task that are not of one component yet; a null b
+    marks an unfinished region."""
     import numpy as np
     import pyarrow as pa
 
     from accordance.llm import near_dup as nd
 
     base = 1 + 2 * nd.DEPTH
-    region, keys, ids, lows = None, [], [], []
-    leaders: dict[int, int] = {}
-    held_low = np.zeros((nd.SMALL, nd.HASHES), np.uint8)
+    region, keys, ids, lows, comps = None, [], [], [], []
+    leaders: dict[int, tuple] = {}
     a_out, b_out = [], []
     first_region, crowded = None, False
 
@@ -163,21 +196,21 @@ def _neighbours(batches: Iterator) -> Iterator:
             b_out.append(None)
 
     for batch in batches:
-        for key, sid, low in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, sid, low, comp in zip(*(c.to_pylist() for c in batch.columns)):
             r = key[:base]
             if r != region:
                 if crowded or region is not None and region == first_region:
                     unfinished(region)  # crowded, or perhaps begun in the task before
                 first_region = r if region is None else first_region
-                region, keys, ids, lows, crowded = r, [key], [sid], [np.frombuffer(low, np.uint8)], False
-                leaders = {d: (key, sid, lows[0]) for d in range(nd.DEPTH, nd.LONGEST + 1)}
+                region, keys, ids, lows, comps, crowded = r, [key], [sid], [np.frombuffer(low, np.uint8)], [comp], False
+                leaders = {d: (key, sid, lows[0], comp) for d in range(nd.DEPTH, nd.LONGEST + 1)}
                 continue
             mine = np.frombuffer(low, np.uint8)
             if len(ids) < nd.SMALL and not crowded:
-                others, table = ids, np.stack(lows)
+                others, table, of = ids, np.stack(lows), comps
             else:
                 crowded = True
-                keys, ids, lows = keys[-nd.NEAR :], ids[-nd.NEAR :], lows[-nd.NEAR :]
+                keys, ids, lows, comps = keys[-nd.NEAR :], ids[-nd.NEAR :], lows[-nd.NEAR :], comps[-nd.NEAR :]
                 last = keys[-1]
                 depth = nd.DEPTH
                 while depth < nd.LONGEST and last[: 3 + 2 * depth] == key[: 3 + 2 * depth]:
@@ -185,20 +218,21 @@ def _neighbours(batches: Iterator) -> Iterator:
                 heads = list({leaders[d][1]: leaders[d] for d in range(nd.DEPTH, depth + 1)}.values())
                 others = ids + [h[1] for h in heads]
                 table = np.stack(lows + [h[2] for h in heads])
+                of = comps + [h[3] for h in heads]
                 for d in range(depth + 1, nd.LONGEST + 1):
-                    leaders[d] = (key, sid, mine)
+                    leaders[d] = (key, sid, mine, comp)
             if not crowded:
                 last = keys[-1]
                 for d in range(nd.DEPTH + 1, nd.LONGEST + 1):
                     if last[: 1 + 2 * d] != key[: 1 + 2 * d]:
-                        leaders[d] = (key, sid, mine)
+                        leaders[d] = (key, sid, mine, comp)
             agree = (table == mine).sum(axis=1) >= nd.AGREE * nd.HASHES
             for k in np.flatnonzero(agree):
                 o = others[k]
-                if o != sid:
+                if o != sid and of[k] != comp:
                     a_out.append(min(o, sid))
                     b_out.append(max(o, sid))
-            keys.append(key), ids.append(sid), lows.append(mine)
+            keys.append(key), ids.append(sid), lows.append(mine), comps.append(comp)
         if len(a_out) > 1 << 14:
             yield flush()
     unfinished(region)  # may go on in the next task
@@ -325,6 +359,11 @@ def _block_pairs(_key, rows):
     return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
 
 
+def _labelled(carriers: DataFrame, labels: DataFrame) -> DataFrame:
+    named = labels.withColumnRenamed("node", "set_id")
+    return carriers.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+
 def _rest(trees: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFrame:
     """Candidates of the unfinished regions that hold more than one component."""
     rows = trees.select(F.substring("key", 1, 1 + 2 * DEPTH).alias("region"), "set_id", "low")
@@ -368,14 +407,25 @@ def find_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> Data
         sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     )
     carriers = common.written(carriers)
-    trees = carriers.select("set_id", "signature").mapInArrow(_tree_rows, "key binary, set_id binary, low binary")
-    ordered = trees.repartitionByRange(common.width(spark), "key").sortWithinPartitions("key")
-    found = common.written(ordered.mapInArrow(_neighbours, "a binary, b binary"))
-    candidates = common.written(found.where("b is not null").distinct())
-    links = common.written(_links(candidates, source, carriers, k, percent))
+    def forest(classes: DataFrame, trees: int) -> DataFrame:
+        return classes.select("set_id", "signature", "component").mapInArrow(_tree_rows(trees), _TREES)
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange(common.width(spark), "key").sortWithinPartitions("key")
+
+    # the nearest neighbours of a few orders join most of a crowd before anything else is compared
+    alone = carriers.withColumn("component", F.col("set_id"))
+    near = common.written(ordered(forest(alone, FIRST)).mapInArrow(_nearest, "a binary, b binary").distinct())
+    links = common.written(_links(near, source, carriers, k, percent))
     labels = components(links)
+    trees = forest(_labelled(carriers, labels), TREES)
+    found = common.written(ordered(trees).mapInArrow(_neighbours, "a binary, b binary"))
+    candidates = common.written(found.where("b is not null").distinct().join(near, ["a", "b"], "left_anti"))
+    if not candidates.isEmpty():
+        links = common.written(links.union(_links(candidates, source, carriers, k, percent)))
+        labels = components(links)
     regions = found.where("b is null").select(F.col("a").alias("region")).distinct()
-    more = common.written(_rest(trees, regions, labels).join(candidates, ["a", "b"], "left_anti"))
+    more = common.written(_rest(trees, regions, labels).join(candidates.union(near), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         labels = components(links.union(_links(more, source, carriers, k, percent)))
     # the class of each component, then its smallest document
