@@ -8,7 +8,7 @@
    is spread over tasks like any other. Classes that share a longest common prefix of at
    least `DEPTH` values are neighbours. In a small region all of them are candidates. In a
    crowded one the depth adapts: a class meets its nearest neighbours in the order
-   and the first class of every deeper prefix it belongs to.
+   and the first class of the deepest prefix it shares with the one before.
    The nearest neighbours of the first `FIRST` orders are linked before, and what is one
    component by then is not compared again.
 3. *Links.* Candidates whose signatures agree enough (four standard errors below the
@@ -16,8 +16,9 @@
    that have candidates.
 4. *Rest.* Regions in which not all pairs were compared, because they were crowded
    or cut by the border of a task, and which still hold several components, are compared
-   block by block, classes of one component left out, until every pair of a region
-   whose signatures agree enough has been confirmed or refused.
+   block by block with their sets, classes of one component left out, until every pair of a
+   region whose signatures agree enough has been confirmed or refused. These pairs never
+   leave their task; only links that join two components do.
 5. *Components* of the links; the smallest doc_id of a component stands for it.
 
 A pair at the limit shares no region in any order with probability
@@ -40,7 +41,7 @@ HASHES, TREES, STEP, DEPTH, LONGEST = 64, 16, 4, 3, 12
 #: Orders whose nearest neighbours are linked first.
 FIRST = 4
 #: Rows of a region that are compared with all others; neighbours beyond it.
-SMALL, NEAR = 64, 12
+SMALL, NEAR = 64, 2
 #: Share of equal signature values from which a pair is confirmed on its sets.
 AGREE = 0.6
 BLOCK = 256
@@ -215,7 +216,7 @@ def _neighbours(batches: Iterator) -> Iterator:
                 depth = nd.DEPTH
                 while depth < nd.LONGEST and last[: 3 + 2 * depth] == key[: 3 + 2 * depth]:
                     depth += 1
-                heads = list({leaders[d][1]: leaders[d] for d in range(nd.DEPTH, depth + 1)}.values())
+                heads = [leaders[depth]]
                 others = ids + [h[1] for h in heads]
                 table = np.stack(lows + [h[2] for h in heads])
                 of = comps + [h[3] for h in heads]
@@ -338,25 +339,40 @@ def _links(candidates: DataFrame, docs: DataFrame, carriers: DataFrame, k: int,
     return both.applyInArrow(_confirm(percent), "a binary, b binary")
 
 
-def _block_pairs(_key, rows):
-    """Candidates between two blocks of a region (or within one), not of one component."""
-    import numpy as np
-    import pyarrow as pa
+def _block_links(percent: int):
+    """Links between two blocks of a region (or within one) that join two components.
 
-    from accordance.llm import near_dup as nd
+    A pair is confirmed on its sets if the signatures agree enough and the two are not joined
+    by then; the pairs themselves never leave the task.
+    """
 
-    a_out, b_out = [], []
-    side = np.asarray(rows.column("side").to_pylist())
-    ids, comp = rows.column("set_id").to_pylist(), rows.column("component").to_pylist()
-    low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(len(ids), nd.HASHES)
-    one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    for i in one:
-        agree = (low[two] == low[i]).sum(axis=1) >= nd.AGREE * nd.HASHES
-        for j in two[agree]:
-            if comp[i] != comp[j] and (side[i] != 2 or i < j):
-                a_out.append(min(ids[i], ids[j]))
-                b_out.append(max(ids[i], ids[j]))
-    return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+    def run(_key, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        from accordance.llm import near_dup as nd
+
+        side = np.asarray(rows.column("side").to_pylist())
+        ids = rows.column("set_id").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(len(ids), nd.HASHES)
+        _, group = np.unique(np.asarray(rows.column("component").to_pylist(), dtype=object), return_inverse=True)
+        group = group.astype(np.int64)
+        one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        a_out, b_out = [], []
+        for i in one:
+            agree = (low[two] == low[i]).sum(axis=1) >= nd.AGREE * nd.HASHES
+            for j in two[agree]:
+                if group[i] == group[j] or side[i] == 2 and i >= j:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    a_out.append(min(ids[i], ids[j]))
+                    b_out.append(max(ids[i], ids[j]))
+                    group[group == group[j]] = group[i]
+        return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+
+    return run
 
 
 def _labelled(carriers: DataFrame, labels: DataFrame) -> DataFrame:
@@ -364,8 +380,10 @@ def _labelled(carriers: DataFrame, labels: DataFrame) -> DataFrame:
     return carriers.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 
-def _rest(trees: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates of the unfinished regions that hold more than one component."""
+def _rest(
+    trees: DataFrame, regions: DataFrame, labels: DataFrame, docs: DataFrame, carriers: DataFrame, k: int, percent: int
+) -> DataFrame:
+    """Links in the unfinished regions that hold more than one component."""
     rows = trees.select(F.substring("key", 1, 1 + 2 * DEPTH).alias("region"), "set_id", "low")
     rows = rows.join(regions, "region", "left_semi")
     named = labels.select(F.col("node").alias("set_id"), "component")
@@ -374,6 +392,8 @@ def _rest(trees: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.join(mixed.select("region"), "region", "left_semi")
     order = Window.partitionBy("region").orderBy("component", "set_id")
     rows = common.written(rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)))
+    wanted = common.written(carriers.join(rows.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "doc_id"))
+    sets = common.written(_full_sets(docs, wanted, k))
     blocks = rows.groupBy("region", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     other = blocks.select("region", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = blocks.join(other, "region").where("block <= other and not (lo = hi and lo2 = hi2 and lo = lo2)")
@@ -383,8 +403,8 @@ def _rest(trees: DataFrame, regions: DataFrame, labels: DataFrame) -> DataFrame:
             F.col("block") == F.col("other"), F.expr("array(named_struct('at', block, 'side', 2, 'i', block, 'j', other))")
         ).otherwise(F.expr("array(named_struct('at', block, 'side', 0, 'i', block, 'j', other), named_struct('at', other, 'side', 1, 'i', block, 'j', other))"))),
     )
-    dealt = ends.join(rows.withColumnRenamed("block", "at"), ["region", "at"])
-    return dealt.groupBy("region", "i", "j").applyInArrow(_block_pairs, "a binary, b binary").distinct()
+    dealt = ends.join(rows.withColumnRenamed("block", "at"), ["region", "at"]).join(sets, "set_id")
+    return dealt.groupBy("region", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary").distinct()
 
 
 COLUMNS = ("doc_id", "n_shingles", "component_id", "kept")
@@ -425,9 +445,9 @@ def find_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> Data
         links = common.written(links.union(_links(candidates, source, carriers, k, percent)))
         labels = components(links)
     regions = found.where("b is null").select(F.col("a").alias("region")).distinct()
-    more = common.written(_rest(trees, regions, labels).join(candidates.union(near), ["a", "b"], "left_anti"))
+    more = common.written(_rest(trees, regions, labels, source, carriers, k, percent))
     if not more.isEmpty():
-        labels = components(links.union(_links(more, source, carriers, k, percent)))
+        labels = components(links.union(more))
     # the class of each component, then its smallest document
     named = carriers.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "set_id", "doc_id", F.coalesce("component", "set_id").alias("component")
