@@ -253,4 +253,24 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return find_contamination(docs, benchmark, tuple(names)).where(~F.col("contaminated")).select(*names)
 
 
-QUERIES = {"op6_decontamination": (op6_decontamination, None)}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least({WINDOW}, len(w)) AS m FROM b WHERE len(w) > 0),
+places AS (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM places),
+spots AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m),
+grams AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM spots),
+hits AS (SELECT doc_id, i, m, item_id FROM grams JOIN windows USING (m, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id"""
+
+QUERIES = {"op6_decontamination": (op6_decontamination, _SQL)}

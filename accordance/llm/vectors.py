@@ -291,4 +291,21 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_near_vectors(common.table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_near_vectors": (op3_near_vectors, None)}
+_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id AS n, vec_id AS r FROM embeddings
+  UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.n WHERE reach.r < l.b),
+least AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n),
+sums AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings JOIN least ON n = vec_id LEFT JOIN sums ON a = vec_id"""
+
+QUERIES = {"op3_near_vectors": (op3_near_vectors, _SQL)}
