@@ -481,4 +481,21 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return chosen(kept.where("count = 1")).union(chosen(again).dropDuplicates(["doc_id", "text"]))
 
 
-QUERIES = {"op4_near_duplicates": (op4_near_duplicates, None)}
+_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (
+  SELECT doc_id AS n, doc_id AS r FROM documents
+  UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.n WHERE reach.r < l.b),
+least AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM d JOIN least l ON l.n = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
+
+QUERIES = {"op4_near_duplicates": (op4_near_duplicates, _SQL)}
