@@ -10,7 +10,8 @@
 A frequent word travels once per block, not once per occurrence, so no word is a hot
 key. The split is done twice, once for the words and once for the positions, because
 splitting costs less than shuffling or storing the texts; a block is named by its content,
-and a block whose ids are missing stops the job instead of giving wrong rows.
+and a block whose ids are missing stops the job instead of giving wrong rows. Blocks of
+equal content share a name and one answer, and each of them gives its own rows.
 """
 
 from __future__ import annotations
@@ -48,6 +49,14 @@ def blocks_of(batches, special: str | None = None):
         yield ids, block, _name(ids, block)
 
 
+def spread(name: str, block) -> str:
+    """The name under which a block waits for its answers: a block without words gets none,
+    so that equal ones (runs of null ids and null texts) need not meet in one task."""
+    from pyspark import TaskContext
+
+    return name if len(block.words) else f"{name}/{TaskContext.get().partitionId()}"
+
+
 def word_rows(n_buckets: int, special: str | None = None) -> Callable:
     """A task that sends the distinct words of each block, one row per bucket."""
 
@@ -83,6 +92,20 @@ def word_rows(n_buckets: int, special: str | None = None) -> Callable:
     return run
 
 
+def once(batch, answered: set) -> list[list]:
+    """The columns of a batch of `_WORDS` without what was sent before under the same name.
+
+    All rows of a bucket are in one task, so each block and bucket is answered once.
+    """
+    import pyarrow as pa
+
+    new = []
+    for key in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
+        new.append(key not in answered)
+        answered.add(key)
+    return [c.to_pylist() for c in batch.filter(pa.array(new, pa.bool_())).columns]
+
+
 def encode_words(encoder: Callable) -> Callable:
     """A task that encodes each distinct word of its buckets once.
 
@@ -93,12 +116,14 @@ def encode_words(encoder: Callable) -> Callable:
         import numpy as np
         import pyarrow as pa
 
+        from accordance.llm.bpe import once
         from accordance.llm.pretokens import squeeze, unsqueeze, unsqueeze_values
 
         encode = encoder()
         known: dict[bytes, bytes] = {}
+        answered: set = set()
         for batch in batches:
-            bucket, block, words, sizes = (c.to_pylist() for c in batch.columns)
+            bucket, block, words, sizes = once(batch, answered)
             ids_out, sizes_out = [], []
             for blob, size in zip(words, sizes):
                 ends = np.cumsum(unsqueeze_values(size), dtype=np.int64).tolist()
@@ -150,13 +175,13 @@ def position_rows(n_buckets: int, special: str | None = None) -> Callable:
         import numpy as np
         import pyarrow as pa
 
-        from accordance.llm.bpe import blocks_of
+        from accordance.llm.bpe import blocks_of, spread
         from accordance.llm.pretokens import squeeze
 
         for ids, block, name in blocks_of(batches, special):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name], pa.string()),
+                    pa.array([spread(name, block)], pa.string()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([block.counts.tobytes()], pa.binary()),
                     pa.array([squeeze(block.codes)], pa.binary()),
@@ -169,10 +194,14 @@ def position_rows(n_buckets: int, special: str | None = None) -> Callable:
 
 
 def place(emit: Callable) -> Callable:
-    """A task that puts the ids of a block's words at their positions."""
+    """A task that puts the ids of a block's words at their positions.
+
+    Positions of equal blocks are equal, so the rows are made once and given once per block.
+    """
 
     def run(_key, positions, answers):
         import numpy as np
+        import pyarrow as pa
 
         from accordance.llm.pretokens import unsqueeze_values
 
@@ -192,7 +221,8 @@ def place(emit: Callable) -> Callable:
         start = np.zeros(len(buckets), np.int64)
         size[order] = sent
         start[order] = np.cumsum(sent) - sent
-        return emit(docs, counts, codes, ids, start, size)
+        out = emit(docs, counts, codes, ids, start, size)
+        return pa.concat_tables([out] * positions.num_rows)
 
     return run
 

@@ -34,7 +34,7 @@ def frequency_rows(n_buckets: int, special: str | None) -> Callable:
         import numpy as np
         import pyarrow as pa
 
-        from accordance.llm.bpe import blocks_of
+        from accordance.llm.bpe import blocks_of, spread
         from accordance.llm.pretokens import squeeze
 
         for ids, block, name in blocks_of(batches, special):
@@ -48,7 +48,7 @@ def frequency_rows(n_buckets: int, special: str | None) -> Callable:
             bucket = (block.hashes % np.uint64(n_buckets)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name], pa.string()), pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([spread(name, block)], pa.string()), pa.array([ids], pa.list_(pa.int64())),
                     *(
                         pa.array([x], pa.binary())
                         for x in (n_bytes.tobytes(), pairs.tobytes(), squeeze(key % n), squeeze(times), squeeze(bucket))
@@ -67,13 +67,15 @@ def count_words(path: str) -> Callable:
         import numpy as np
         import pyarrow as pa
 
+        from accordance.llm.bpe import once
         from accordance.llm.pretokens import squeeze, unsqueeze, unsqueeze_values
         from accordance.llm.vocabulary import library
 
         encode = library(path).encode
         known: dict[bytes, int] = {}
+        answered: set = set()
         for batch in batches:
-            bucket, block, words, sizes = (c.to_pylist() for c in batch.columns)
+            bucket, block, words, sizes = once(batch, answered)
             out = []
             for blob, size in zip(words, sizes):
                 ends = np.cumsum(unsqueeze_values(size), dtype=np.int64).tolist()
@@ -112,13 +114,14 @@ def _sum(_key, frequencies, answers):
     pieces[np.argsort(buckets, kind="stable")] = sent
     running = np.concatenate([[0], np.cumsum(pieces[codes] * times)])
     edge = np.concatenate([[0], np.cumsum(pairs)])
-    return pa.table(
+    out = pa.table(
         {
             "doc_id": pa.array(docs, pa.int64()),
             "n_bytes": pa.array(n_bytes, pa.int64()),
             "n_tokens": pa.array(np.diff(running[edge]), pa.int64()),
         }
     )
+    return pa.concat_tables([out] * frequencies.num_rows)  # equal blocks: once for each
 
 
 def count_tokens(

@@ -106,6 +106,18 @@ def test_encoding_equals_the_library_and_decodes(spark, rows, ranked):
     assert sorted((r[1].decode() for r in decoded.collect())) == sorted(t or "" for _, t, *_ in data)
 
 
+def test_equal_blocks_of_several_tasks(spark, rows):
+    data = [(1, "same text here"), (2, "other"), (None, None)]
+    one = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    blank = spark.createDataFrame([(None, None)] * 8 + [(5, "")] * 4 + [(6, "twice")] * 6, "doc_id long, text string")
+    frame = one.union(one).union(blank.repartition(6))
+    expected = sorted((r[0] for r in frame.collect()), key=repr)
+    assert len(expected) == 24
+    for found in (rows(bpe.digests(frame)), rows(token_counts.budgeted(frame))):
+        assert [r[0] for r in found] == expected
+        assert len(set(found)) == 5  # ids 1, 2, 5, 6 and null: equal rows give equal results
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], brute.COLUMNS)
     assert bpe.digests(empty).count() == 0
