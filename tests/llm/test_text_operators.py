@@ -64,6 +64,15 @@ def test_probabilities_sum_to_one(spark):
         assert 0.8 < np.exp(model.score(grams)).sum() < 1.0
 
 
+def test_rare_grams_of_many_languages_stay(spark):
+    rng = random.Random(8)
+    own = {f"l{k:03}": "".join(chr(0x4E00 + rng.randrange(400)) for _ in range(60)) for k in range(600)}
+    train = spark.createDataFrame([(t + "the same words " * 2, x) for x, t in own.items()], "text string, lang string")
+    docs = frame(spark, [(k, t) for k, t in enumerate(own.values()) if k % 40 == 7])
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, language.fit(train)).collect()}
+    assert got == {k: x for k, x in enumerate(own) if k % 40 == 7}
+
+
 # -- near duplicates -----------------------------------------------------------
 
 
