@@ -557,8 +557,11 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents whose language is recognised, with their own columns only."""
-    model = fit(docs.where(~held_out()))
+    """The documents whose language is recognised, with their own columns only.
+
+    Learned from all labelled documents; only `op2_language_id` holds some out.
+    """
+    model = fit(docs)
     names = docs.columns
     return predict(docs, model, keep=tuple(names)).where(~F.col("rejected")).select(*names)
 

@@ -73,6 +73,15 @@ def test_rare_grams_of_many_languages_stay(spark):
     assert got == {k: x for k, x in enumerate(own) if k % 40 == 7}
 
 
+def test_stage_learns_from_all_labelled_documents(spark):
+    ids = spark.range(200).where(language.held_out(F.col("id")))
+    held = [r[0] for r in ids.limit(4).collect()]
+    rest = [k for k in range(1000, 1030)]
+    data = [(k, "the cat and the dog " * 5, "en") for k in rest] + [(k, "кошка и собака " * 8, "ru") for k in held]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language.keep_known(docs).collect()} == {*held, *rest}
+
+
 # -- near duplicates -----------------------------------------------------------
 
 
