@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -293,7 +294,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
     sets = docs.select(slot.alias("slot"), "doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, shingles binary")
-    return sets.join(wanted, ["doc_id", "set_id"], "left_semi").dropDuplicates(["set_id"]).select("set_id", "shingles")
+    # by set alone: a class may have no doc_id but null
+    return sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]).select("set_id", "shingles")
 
 
 def _confirm(percent: int):
@@ -410,15 +412,9 @@ def _rest(
 COLUMNS = ("doc_id", "n_shingles", "component_id", "kept")
 
 
-def find_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``.
-
-    Words stand between white space, A-Z lowered; a text of fewer than ``k`` words is one
-    shingle. A null text, or one without words, has an empty set, no links and itself as
-    component. Rows with the same doc_id are separate rows; a component is named by
-    its smallest doc_id, and rows with that doc_id are kept. A null doc_id gives null only where no
-    other row of the component has one. Other columns are not read. Empty tables give no rows.
-    """
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's ``doc_id``, ``n_shingles`` and ``set_id``; each class with its smallest
+    ``doc_id`` and its component."""
     spark = docs.sparkSession
     common.ship(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -452,6 +448,18 @@ def find_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> Data
     named = carriers.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "set_id", "doc_id", F.coalesce("component", "set_id").alias("component")
     )
+    return sets, named
+
+def find_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``.
+
+    Words stand between white space, A-Z lowered; a text of fewer than ``k`` words is one
+    shingle. A null text, or one without words, has an empty set, no links and itself as
+    component. Rows with the same doc_id are separate rows; a component is named by
+    its smallest doc_id, and rows with that doc_id are kept. A null doc_id gives null only where no
+    other row of the component has one. Other columns are not read. Empty tables give no rows.
+    """
+    sets, named = _classes(docs, k, percent)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(least, "component").select("set_id", "component_id")
     out = sets.select("doc_id", "n_shingles", "set_id").join(ids, "set_id", "left")
@@ -467,18 +475,33 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class of near duplicates, with its own columns.
 
-    Rows that share doc_id and text are one document, of which one row stays.
+    Of a component the row with the smallest doc_id and set stays, a null doc_id only where there
+    is no other. Of texts without words, rows that share doc_id and text are one document.
     """
-    kept = find_near_duplicates(docs, k, percent).where("kept").groupBy(F.col("doc_id").alias("_kept")).count()
-    kept = common.written(kept)
+    sets, named = _classes(docs, k, percent)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")
+    best = named.groupBy("component").agg(F.min(first).alias("best")).select("best.doc_id", "best.set_id")
+    blank = sets.where("set_id is null").select("doc_id", "set_id").distinct()
+    kept = common.written(best.union(blank).select(F.col("doc_id").alias("_kept"), F.col("set_id").alias("_of")))
+    several = sets.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    several = common.written(several.select(F.col("doc_id").alias("_several")))
+    own = docs["doc_id"].cast("long")
+    if several.isEmpty():
+        return docs.join(kept, own.eqNullSafe(kept["_kept"]), "left_semi")
+    again = own.eqNullSafe(several["_several"])
+    alone = docs.join(several, again, "left_anti").join(kept, own.eqNullSafe(kept["_kept"]), "left_semi")
+
+    @F.pandas_udf("binary")
+    def set_of(texts: pd.Series) -> pd.Series:
+        from accordance.llm.near_dup import set_id, shingle_sets
 
-    def chosen(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+        found = (shingle_sets([t or ""], k)[0] for t in texts)
+        return pd.Series([set_id(x) if len(x) else None for x in found], dtype=object)
 
-    again = kept.where("count > 1")
-    if again.isEmpty():
-        return chosen(kept)
-    return chosen(kept.where("count = 1")).union(chosen(again).dropDuplicates(["doc_id", "text"]))
+    rows = docs.join(several, again, "left_semi").withColumn("_set", set_of(F.col("text").cast("string")))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & rows["_set"].eqNullSafe(kept["_of"]), "left_semi")
+    rows = rows.withColumn("_blank", F.when(F.col("_set").isNull(), F.col("text")))
+    return alone.union(rows.dropDuplicates(["doc_id", "_set", "_blank"]).select(*docs.columns))
 
 
 _SQL = r"""

@@ -127,6 +127,17 @@ def test_one_of_each_class_stays(spark):
     assert near_dup.keep_one(frame(spark, [])).count() == 0
 
 
+def test_one_stays_with_null_or_repeated_ids(spark):
+    w = " ".join(f"w{k}" for k in range(200))
+    x = " ".join(f"x{k}" for k in range(200))
+    y = " ".join(f"y{k}" for k in range(200))
+    data = [(None, w), (None, w + " end"), (7, x), (7, x + " end"), (3, y), (9, y + " end"), (9, "another text of some words here")]
+    got = sorted((tuple(r)[:2] for r in near_dup.keep_one(frame(spark, data)).collect()), key=repr)
+    assert len(got) == 4
+    assert (3, y) in got and (9, "another text of some words here") in got
+    assert sum(t.startswith("w0") for _, t in got) == 1 and sum(t.startswith("x0") for _, t in got) == 1
+
+
 # -- decontamination -----------------------------------------------------------
 
 
