@@ -9,8 +9,8 @@ around equal anchors finds every repeat.
    strings it stands for at once; most of a corpus ends here.
 2. *Refinement*: a bucket is split by the identifier of everything an anchor's strings reach at the later
    (and earlier) offsets. Where two anchors agree in all of it, all their strings repeat.
-3. *Last refinement*, only of buckets that fell apart: the strings themselves, offset by offset, with
-   hashes that are reused from one offset to the next. A crowded bucket does this by string over
+3. *Last refinement*, only of buckets that fell apart: the strings themselves: the hash of
+   every 200-byte string, from prefix sums; no bucket pointers of later offsets. A crowded bucket does this by string over
    all tasks, so it never meets in one.
 4. The spans of each document are merged and cut out.
 
