@@ -5,8 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "bpe", "chat", "decontaminate", "language", "near_dup", "packed", "personal", "repeats", "token_counts",
-    "vectors",
+    "bpe", "chat", "decontaminate", "language", "middle", "near_dup", "packed", "personal", "repeats",
+    "token_counts", "vectors",
 )
 
 
