@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "bpe", "chat", "decontaminate", "language", "middle", "near_dup", "packed", "personal", "repeats",
-    "token_counts", "vectors",
+    "resample", "token_counts", "vectors",
 )
 
 
