@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "bpe", "chat", "decontaminate", "language", "middle", "near_dup", "packed", "personal", "repeats",
+    "bpe", "chat", "decontaminate", "language", "middle", "mixing", "near_dup", "packed", "personal", "repeats",
     "resample", "token_counts", "vectors",
 )
 
