@@ -28,7 +28,7 @@ from accordance.operators.ordered import number_rows
 
 WEIGHTS = (3, 1, 2)
 #: Documents of a source per block of the first round, blocks per block of the next, documents left open by a block.
-UNITS, FAN, LEFT = 50_000, 64, 512
+UNITS, FAN, LEFT = 4_096, 16, 256
 #: Documents that are left to the landing, which looks at all their outcomes.
 LANDING = 10
 _EPS = 1e-9
@@ -224,7 +224,7 @@ def _flights(seed: int, last: bool, of: int, left: int) -> Callable:
                     held = []
                     key, rng = name, random.Random(f"{seed}:{of}:{name[0]!r}:{name[1]}")
                 while rows.num_rows:  # the same portions of a block, wherever a batch ends
-                    room = 8 * left - sum(t.num_rows for t in held)
+                    room = 16 * left - sum(t.num_rows for t in held)
                     held.append(pa.Table.from_batches([rows.slice(0, room)]))
                     if rows.num_rows >= room:
                         yield from settled(False).to_batches()
