@@ -6,13 +6,16 @@ cannot be read is NULL and never stops the job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Iterator, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordance import schemas as S
 from accordance.functions import labels as L
+from accordance.functions.common import non_empty
 
 SNAPSHOT_TIME = "yyyy-MM-dd_HH-mm-ss"
 
@@ -21,68 +24,99 @@ def _file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
-def _files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
-    """The files of paths, folders or patterns, from the listing alone."""
-    found = []
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    for one in [path] if isinstance(path, str) else path:
-        pattern = fs_path(one)
-        fs = pattern.getFileSystem(conf)
-        for status in fs.globStatus(pattern) or []:
-            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-            found += [
-                f.getPath().toString() for f in inside
-                if not f.isDirectory() and not f.getPath().getName().startswith(("_", "."))
-            ]
-    return sorted(found)
-
-
-def _header(spark: SparkSession, file: str) -> str:
-    """The first line of a file."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
-    try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-    finally:
-        stream.close()
-    return (line or "").lstrip("\ufeff")
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
 
 
-def _csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", **options) -> list[DataFrame]:
-    """One frame, all strings, for the files of each header.
+# ---------------------------------------------------------------------------
+# CSV by the names in each file's own header
 
-    A folder may hold files whose columns differ in order or spelling; reading them as one
-    would give all the header of the first. Only first lines are looked at here.
-    """
-    by_header: dict[str, list[str]] = {}
-    for file in _files(spark, path):
-        by_header.setdefault(_header(spark, file), []).append(file)
-    if not by_header:
-        raise FileNotFoundError(f"no file under {path}")
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').options(**options)
-    return [reader.csv(files) for header, files in sorted(by_header.items()) if header.strip()]
+#: Files up to this size share tasks when first lines are looked for; longer ones get a task each,
+#: which stops at the first line.
+_SHORT_FILE = 1 << 20
+#: Files whose positions are broadcast: some hundred bytes each.
+_FEW_FILES = 50_000
 
 
-def _union(frames: Sequence[DataFrame], empty: DataFrame) -> DataFrame:
-    out = None
-    for f in frames:
-        out = f if out is None else out.unionByName(f)
-    return empty if out is None else out
+def first_lines(spark: SparkSession, path: str | Sequence[str]) -> dict[str, str]:
+    """The first line that is not blank of each file, by the path that Spark gives it.
+
+    The tasks open the files. What comes to the driver is a line per file, as is the listing that Spark keeps there.
+    """
+    def one(batches: Iterator) -> Iterator:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    side = spark.newSession()  # how files are cut differs here, and only here
+    lines = side.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    lines = lines.where(F.trim("value") != "")
+    # ids ascend inside a file: a short one is never cut
+    numbered = lines.where(F.col("size") <= _SHORT_FILE).withColumn("id", F.monotonically_increasing_id())
+    short = numbered.groupBy("file").agg(F.min_by("value", "id").alias("value"))
+    out = {r["file"]: r["value"] for r in short.collect()}
+    # a file is a task of its own, never cut, and hands over one line at a time
+    side.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 62))
+    side.conf.set("spark.sql.files.openCostInBytes", str(1 << 61))
+    side.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    long = lines.where(F.col("size") > _SHORT_FILE).select("file", "value").mapInArrow(one, "file string, value string")
+    out.update((r["file"], r["value"]) for r in long.collect())
+    return out
+
+
+def _names(header: str, sep: str) -> list[str]:
+    return next(csv.reader([header.lstrip("\ufeff")], delimiter=sep), [])
+
+
+def _csv(
+    spark: SparkSession, path: str | Sequence[str], fields: dict[str, Sequence[str]], sep: str = ",", **options
+) -> DataFrame:
+    """One scan of CSV files whose columns may differ in order, number and spelling.
+
+    ``fields`` gives for each output column (a string) the header names it may have; the first of them that a
+    file has and that is not empty counts, and a file with none of them reads NULL. ``_file``
+    is the name of the file. Spark reads the files by position; a file's positions are joined to
+    its rows by path, or written into the plan if all headers are alike.
+    """
+    try:
+        found = first_lines(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no file under {path}") from e
+        raise
+    places: dict[str, list[list[int]]] = {}
+    for header in set(found.values()):
+        names = _names(header, sep)
+        places[header] = [[names.index(n) for n in wanted if n in names] for wanted in fields.values()]
+    width = max((len(_names(h, sep)) for h in places), default=0) or 1
+    cells = [f"_c{k}" for k in range(width)]
+    reader = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("header", True).option("sep", sep)
+    rows = reader.option("escape", '"').options(**options).csv(path)
+    file_path, file_name = F.col("_metadata.file_path"), _file_name().alias("_file")
+
+    def first(values: list[Column]) -> Column:
+        return F.coalesce(*map(non_empty, values)) if values else F.lit(None).cast("string")
+
+    if len({str(x) for x in places.values()}) <= 1:
+        at = next(iter(places.values()), [[]] * len(fields))
+        return rows.select(*[first([F.col(cells[k]) for k in own]).alias(n) for n, own in zip(fields, at)], file_name)
+    kind = "_path string, " + ", ".join(f"_p{k} array<int>" for k in range(len(fields)))
+    table = spark.createDataFrame([(f, *places[h]) for f, h in found.items()], kind)
+    if len(found) <= _FEW_FILES:
+        table = F.broadcast(table)  # beyond that many files Spark joins by a shuffle
+    one = [
+        F.get(F.filter(F.transform(f"_p{k}", lambda i: non_empty(F.get("_row", i))), lambda x: x.isNotNull()), F.lit(0)).alias(n)
+        for k, n in enumerate(fields)
+    ]
+    joined = rows.select(F.array(*cells).alias("_row"), file_path.alias("_path"), file_name).join(table, "_path")
+    return joined.select(*one, "_file")
 
 
 def _csv_text(spark: SparkSession, path, names: Sequence[str], **options) -> DataFrame:
     """CSV files by column name, all strings; a column that a file lacks reads NULL."""
-    schema = ", ".join(f"`{n}` string" for n in [*names, "file_name"])
-    frames = [
-        raw.select(
-            *[F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names],
-            _file_name().alias("file_name"),
-        )
-        for raw in _csv(spark, path, **options)
-    ]
-    return _union(frames, spark.createDataFrame([], schema))
+    return _csv(spark, path, {n: [n] for n in names}, **options).withColumnRenamed("_file", "file_name")
 
 
 def read_ledger(spark: SparkSession, path) -> DataFrame:
@@ -135,18 +169,15 @@ def read_details(spark: SparkSession, path) -> DataFrame:
 
 def read_ledger_folder(spark: SparkSession, folder: str) -> DataFrame:
     """All ledgers of a folder; the annotator is the file name without `.csv`."""
-    frames = [
-        raw.select(
-            F.regexp_extract(_file_name(), r"^(.*)\.csv$", 1).alias("annotator"),
-            _file_name().alias("file"),
-            (L.canonical("hash") if "hash" in raw.columns else F.lit(None).cast("string")).alias("item_key"),
-            L.first_of(raw, "purity_analysis", "purity", "purity_tool").alias("reference_label"),
-            L.first_of(raw, "llm_analysis", "model_label", "llm").alias("candidate_label"),
-        )
-        for raw in _csv(spark, f"{folder}/*.csv")
-    ]
-    schema = "annotator string, file string, item_key string, reference_label string, candidate_label string"
-    return _union(frames, spark.createDataFrame([], schema))
+    raw = _csv(spark, f"{folder}/*.csv", {
+        "item_key": ["hash"],
+        "reference_label": ["purity_analysis", "purity", "purity_tool"],
+        "candidate_label": ["llm_analysis", "model_label", "llm"],
+    })
+    return raw.select(
+        F.regexp_extract("_file", r"^(.*)\.csv$", 1).alias("annotator"), F.col("_file").alias("file"),
+        L.canonical("item_key").alias("item_key"), "reference_label", "candidate_label",
+    )
 
 
 def read_snapshots(spark: SparkSession, pattern: str) -> DataFrame:
@@ -195,7 +226,7 @@ def read_comparison(spark: SparkSession, folder: str, prefer_dual: bool = False)
     agreement. A ledger gives the rows that both sides have labelled. In a comparison
     file a missing label reads UNKNOWN, and texts may hold line breaks.
     """
-    if _files(spark, f"{folder}/{LEDGER_TABLE}"):
+    if _exists(spark, f"{folder}/{LEDGER_TABLE}"):
         rows = read_ledger(spark, f"{folder}/{LEDGER_TABLE}")
         both = rows.where(F.col("reference_label").isNotNull() & ~L.is_pending("candidate_label"))
         ref = F.col("reference_label")

@@ -215,6 +215,37 @@ def test_ledgers_with_their_own_headers(spark, tmp_path, rows):
     assert got == [("one", "a", "TRUE", "PURE"), ("three", "c", "NONE", "PURE"), ("two", "b", "FALSE", "FLOSS")]
 
 
+def test_long_files_and_headers_of_any_width(spark, tmp_path, rows):
+    lines = [f'{k},"x, ""{k}"",y",PURE' for k in range(60_000)]
+    put(f"{tmp_path}/led/long.csv", "\ufeffhash,note,llm\n" + "\n".join(lines) + "\n")
+    put(f"{tmp_path}/led/wide.csv", "\n" + ",".join([f"c{k}" for k in range(40)] + ["llm_analysis", "model_label", "hash"]) + "\n" + "," * 40 + ",FLOSS,w\n")
+    put(f"{tmp_path}/led/empty.csv", "")
+    put(f"{tmp_path}/led/ragged.csv", "hash,purity_analysis,llm_analysis\nr1\nr2,TRUE,PURE,more,fields\nhash,purity_analysis,llm_analysis\n")
+    df = R.read_ledger_folder(spark, f"{tmp_path}/led")
+    assert df.where("annotator = 'long'").selectExpr("count(*)", "count(DISTINCT item_key)", "min(candidate_label)").first() == (60_000, 60_000, "PURE")
+    assert rows(df.where("annotator <> 'long'"), "annotator", "item_key", "reference_label", "candidate_label") == [
+        ("ragged", "hash", "purity_analysis", "llm_analysis"), ("ragged", "r1", None, None), ("ragged", "r2", "TRUE", "PURE"),
+        ("wide", "w", None, "FLOSS")]
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan csv") == 1
+
+
+def test_two_thousand_files_are_one_scan(spark, tmp_path):
+    heads = ("hash,purity_analysis,llm_analysis", "llm_analysis,hash,purity_analysis", "x,llm_analysis,y,hash")
+    for k in range(2000):
+        put(f"{tmp_path}/s/l.csv.backup_2024-01-01_00-{k // 60:02d}-{k % 60:02d}",
+            heads[k % 3] + "\n" + ("k{0},TRUE,pure", "pure,k{0},TRUE", "1,pure,2,k{0}")[k % 3].format(k) + "\n")
+    df = R.read_snapshots(spark, f"{tmp_path}/s")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan csv") == 1
+    got = df.selectExpr("count(*)", "count(DISTINCT item_key)", "count(DISTINCT source)", "count(taken_at)", "min(candidate_label)", "max(candidate_label)")
+    assert tuple(got.first()) == (2000, 2000, 2000, 2000, "PURE", "PURE")
+    assert not {"open", "BufferedReader"} & set(R.read_snapshots.__code__.co_names + R._csv.__code__.co_names + R.first_lines.__code__.co_names)
+
+
+def test_no_file_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        R.read_ledger(spark, f"{tmp_path}/none.csv")
+
+
 def test_snapshots_with_other_columns(spark, tmp_path, rows):
     put(f"{tmp_path}/x.csv.backup_2024-01-02_03-04-05", "llm_analysis,hash\npure,a\n")
     put(f"{tmp_path}/x.csv.backup_2024-01-03_03-04-05", "hash,purity_analysis,llm_analysis\nb,TRUE,floss\n")
