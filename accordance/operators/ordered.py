@@ -5,8 +5,8 @@ moves a hot group to one task. Here the rows are cut into slices of the full ord
 instead, so even one group's rows (or one timestamp's) spread over slices. The cuts
 come from a bounded sample, a subquery of the same plan: the rows with the
 smallest hashes of their order, so the same table is always cut the same way, and nothing
-runs before the result is asked for. Rows are shuffled once, by slice; what a slice needs
-from the slices before it is one or two rows per slice, the only thing ever broadcast.
+runs before the result is asked for. A row finds its slice by binary search. Rows are shuffled
+once, by slice; what a slice needs from other slices is one row per slice, the only thing ever broadcast.
 """
 
 from __future__ import annotations
@@ -41,8 +41,15 @@ def sliced(df: DataFrame, order: Sequence) -> DataFrame:
         if slices > 1
         else F.slice("k", 1, 0)
     )
-    with_cuts = df.withColumn("_cuts", cuts.scalar())
-    return with_cuts.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
+    with_cuts = df.withColumns({"_cuts": cuts.scalar(), "_key": key})
+    steps = [1 << k for k in reversed(range((slices - 1).bit_length()))]
+    # how many cuts are not above the key
+    place = F.aggregate(
+        F.array(*map(F.lit, steps or [0])),
+        F.lit(0),
+        lambda at, step: F.when(F.get("_cuts", at + step - 1) <= F.col("_key"), at + step).otherwise(at),
+    )
+    return with_cuts.withColumn("_slice", place).drop("_cuts", "_key")
 
 
 def _before(per_slice: DataFrame, *names: str) -> DataFrame:
@@ -88,48 +95,76 @@ def within_groups(
     order: Sequence,
     value: str | None = None,
     seq: str = "seq",
-    prev: str = "prev_value",
+    prev: str | Sequence[str] = "prev_value",
+    size: str | None = None,
 ) -> DataFrame:
-    """Row number inside each group and the previous row's value, hot groups included."""
-    rows = sliced(df, [group, *order])
-    rows = rows.withColumn("_value", F.lit(None).cast("int") if value is None else F.col(value))
-    # What the earlier slices hold of a group; only a group that crosses a slice border, at most
-    # two per slice, has any.
-    by_slice = Window.partitionBy("_group").orderBy("_at")
-    carried = (
-        rows.groupBy(F.col("_slice").alias("_at"), F.col(group).alias("_group"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct(F.col("_value").alias("v")), _key(order)).alias("last"))
-        .select(
-            "_at",
-            "_group",
-            F.sum("n").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-            F.lag("last").over(by_slice).alias("_last"),
-        )
-        .where("_before > 0")
-    )
+    """Row number inside each group and the values of earlier rows, hot groups included.
+
+    ``prev`` names the value of the row before, or those of several rows before, nearest first. ``size`` names
+    the number of rows of the group. All come from one pass over one shuffle: a group that lies in one slice is settled
+    there, and of one that crosses borders each slice gets what the others hold.
+    """
+    names = [] if value is None else [prev] if isinstance(prev, str) else list(prev)
+    reach = max(1, len(names))
+    held = df.withColumn("_value", F.lit(None).cast("int") if value is None else F.col(value))
+    rows = sliced(held, [group, *order]).repartition(shuffle_width(df.sparkSession), "_slice")
     inside = Window.partitionBy("_slice").orderBy(col(group), *[col(c) for c in order])
-    place, first = F.row_number().over(inside), F.col(group).eqNullSafe(F.lag(group).over(inside))
-    rows = rows.withColumns({"_place": place, "_lag": F.lag("_value").over(inside), "_same": first})
+    rows = rows.withColumns({
+        "_place": F.row_number().over(inside),
+        "_same": F.col(group).eqNullSafe(F.lag(group).over(inside)),
+        **{f"_lag{j}": F.lag("_value", j).over(inside) for j in range(1, reach + 1)},
+    })
     # the place where a row's group starts in its slice
-    starts = F.max(F.when(F.coalesce(F.col("_place") > 1, F.lit(False)) & F.col("_same"), None).otherwise(F.col("_place"))).over(
+    start = F.max(F.when((F.col("_place") > 1) & F.col("_same"), None).otherwise(F.col("_place"))).over(
         inside.rowsBetween(Window.unboundedPreceding, 0)
     )
-    out = (
-        rows.withColumn("_n", F.col("_place") - starts + 1)
-        .join(
-            F.broadcast(carried),  # at most two rows per slice
-            (F.col("_at") == F.col("_slice")) & F.col(group).eqNullSafe(F.col("_group")),
-            "left",
-        )
-        .withColumn(seq, (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("bigint"))
+    rows = rows.withColumn("_n", F.col("_place") - start + 1)
+    leading = F.col("_n") == F.col("_place")  # rows of the slice's first group
+    out = rows.join(F.broadcast(_carried(rows, group, reach)), "_slice")  # one row per slice
+    kept = {seq: (F.col("_n") + F.when(leading, F.col("_before")).otherwise(0)).cast("bigint")}
+    for j, name in enumerate(names, 1):
+        earlier = F.when(leading, F.get("_earlier", (F.lit(j) - F.col("_n")).cast("int"))["v"])
+        kept[name] = F.when(F.col("_n") > j, F.col(f"_lag{j}")).otherwise(earlier)
+    if size is not None:
+        here = F.count(F.lit(1)).over(Window.partitionBy("_slice", group))
+        last = F.col(group).eqNullSafe(F.col("_last_group"))
+        kept[size] = (here + F.when(leading, F.col("_before")).otherwise(0) + F.when(last, F.col("_after")).otherwise(0)).cast("bigint")
+    return out.select(*df.columns, *[c.alias(n) for n, c in kept.items()])
+
+
+def _carried(rows: DataFrame, group: str, reach: int) -> DataFrame:
+    """For each slice: how many rows of its first group come before it, the last of their values (nearest
+    first), and how many rows of its last group come after it."""
+    newest = F.slice(
+        F.array(*[F.struct(F.col(c).alias("v")) for c in ["_value", *[f"_lag{j}" for j in range(1, reach)]]]),
+        1, F.least(F.col("_n"), F.lit(reach)),
     )
-    kept = [*df.columns, seq]
-    if value is not None:
-        out = out.withColumn(
-            prev, F.when(F.col("_n") > 1, F.col("_lag")).otherwise(F.col("_last.v"))
-        )
-        kept.append(prev)
-    return out.select(*kept)
+    of = F.col(group).alias("g")
+    ends = rows.groupBy("_slice").agg(
+        F.min_by(F.struct(of), "_place").alias("_first"),
+        F.max_by(F.struct(of, F.col("_n").alias("n"), newest.alias("values")), "_place").alias("_last"),
+        F.max(F.when(F.col("_n") == F.col("_place"), F.col("_n"))).alias("_leading"),
+    )
+    # Two rows per slice. That of its first group asks what earlier slices hold of the group, and holds rows for
+    # earlier ones; that of its last group asks and holds the other way round.
+    first, last = F.col("_first.g").alias("g"), F.col("_last.g").alias("g")
+    none = F.lit(None).cast(ends.schema["_last"].dataType["values"].dataType)
+    two = ends.select("_slice", F.inline(F.array(
+        F.struct(first, F.lit(0).alias("n"), none.alias("values"), F.col("_leading").alias("back"), F.lit(0).alias("end")),
+        F.struct(last, F.col("_last.n").alias("n"), F.col("_last.values").alias("values"), F.lit(0).alias("back"), F.lit(1).alias("end")),
+    )))
+    line = Window.partitionBy("g").orderBy("_slice", "end")
+    told = two.select(
+        "_slice", "end", "g",
+        F.coalesce(F.sum("n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        # of the last slices that hold rows of the group, each with one row that has a list
+        F.collect_list("values").over(line.rowsBetween(-2 * reach, -1)).alias("_lists"),
+        F.coalesce(F.sum("back").over(line.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("_after"),
+    )
+    asked = F.struct("_before", F.flatten(F.reverse("_lists")).alias("_earlier"))
+    return told.groupBy("_slice").agg(
+        F.min_by(asked, "end").alias("_f"), F.max_by(F.struct("_after", F.col("g").alias("_last_group")), "end").alias("_l")
+    ).select("_slice", "_f.*", "_l.*")
 
 
 def first_rows(

@@ -124,6 +124,22 @@ def item_eta(
     )
 
 
+def event_durations(events: DataFrame, group: str, order: Sequence[str], at: str, size: bool = False) -> DataFrame:
+    """Time since the group's previous event, for each event that has one.
+
+    ``item_no`` counts them, ``previous`` is the duration before, and ``n_items`` (with ``size``) is how many the
+    group has: one pass gives what `degradation` and `half_drift` would work out again.
+    """
+    out = within_groups(events, group, order, at, seq="_seq", prev=["_one", "_two"], size="_size" if size else None)
+    return out.where("_seq > 1").select(
+        *events.columns,
+        (F.col(at) - F.col("_one")).alias("duration"),
+        (F.col("_seq") - 1).alias("item_no"),
+        (F.col("_one") - F.col("_two")).alias("previous"),
+        *([(F.col("_size") - 1).alias("n_items")] if size else []),
+    )
+
+
 def degradation(
     durations: DataFrame,
     group: str,
@@ -131,9 +147,13 @@ def degradation(
     duration: str = "duration",
     factor: float = 3.0,
     marker_every: int = 8,
+    numbered: bool = False,
 ) -> DataFrame:
-    """Items slower than ``factor`` times the one before, and every n-th item."""
-    out = within_groups(durations, group, order, duration, seq="item_no", prev="previous")
+    """Items slower than ``factor`` times the one before, and every n-th item.
+
+    ``numbered`` durations bring ``item_no`` and ``previous`` along, as those of `event_durations` do.
+    """
+    out = durations if numbered else within_groups(durations, group, order, duration, seq="item_no", prev="previous")
     return out.select(
         "*",
         F.coalesce(F.col(duration) > F.col("previous") * factor, F.lit(False)).alias("degraded"),
@@ -147,20 +167,22 @@ def half_drift(
     order: Sequence[str],
     duration: str = "duration",
     factor: float = 1.5,
+    numbered: bool = False,
 ) -> DataFrame:
-    """Mean of the second half of each group against the first."""
-    numbered = within_groups(durations.select(*dict.fromkeys([group, *order, duration])), group, order, seq="item_no")
-    sizes = durations.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    first = F.col("item_no") <= F.floor(F.col("n") / 2)
-    # dealt anew behind the join, so that Spark may split a hot group in it, and summed up in parts
-    joined = numbered.join(sizes, group).withColumn("_part", F.col("item_no") % 64).repartition(group, "_part")
-    parts = joined.groupBy(group, "_part").agg(
+    """Mean of the second half of each group against the first.
+
+    ``numbered`` durations bring ``item_no`` and ``n_items`` along.
+    """
+    if not numbered:
+        needed = durations.select(*dict.fromkeys([group, *order, duration]))
+        durations = within_groups(needed, group, order, seq="item_no", size="n_items")
+    first = F.col("item_no") <= F.floor(F.col("n_items") / 2)
+    halves = durations.groupBy(group).agg(
         F.count_if(first).alias("first_n"),
         F.count_if(~first).alias("second_n"),
         F.sum(F.when(first, F.col(duration))).alias("_a"),
         F.sum(F.when(~first, F.col(duration))).alias("_b"),
     )
-    halves = parts.groupBy(group).agg(*[F.sum(c).alias(c) for c in ("first_n", "second_n", "_a", "_b")])
     return halves.select(
         group,
         "first_n",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordance.operators.ordered import within_groups
+from accordance.operators.telemetry import event_durations
 
 ANNOTATORS = ("alpha", "beta", "gamma")
 
@@ -209,15 +209,12 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def durations(spark: SparkSession, sf_dir: str, size: bool = False) -> DataFrame:
     """Microseconds since the user's previous event."""
     ev = table(spark, sf_dir, "events").select(
         "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us")
     )
-    chained = within_groups(ev, "user_id", ["at_us", "event_id"], "at_us", seq="seq", prev="prev_us")
-    return chained.where("seq > 1").select(
-        "user_id", "event_id", "at_us", (F.col("at_us") - F.col("prev_us")).alias("duration")
-    )
+    return event_durations(ev, "user_id", ["at_us", "event_id"], "at_us", size)
 
 
 # ---------------------------------------------------------------------------

@@ -58,18 +58,18 @@ def progress_eta(spark, d):
 
 
 def degradation(spark, d):
-    return W.degradation(V.durations(spark, d), "user_id", ["at_us", "event_id"]).select(
+    return W.degradation(V.durations(spark, d), "user_id", ["at_us", "event_id"], numbered=True).select(
         "user_id", "event_id", "duration", "item_no", "degraded", "marker"
     )
 
 
 def half_drift(spark, d):
-    return W.half_drift(V.durations(spark, d), "user_id", ["at_us", "event_id"])
+    return W.half_drift(V.durations(spark, d, size=True), "user_id", ["at_us", "event_id"], numbered=True)
 
 
 def grade_rows(spark, d):
-    durations = V.durations(spark, d)
-    drift = W.half_drift(durations, "user_id", ["at_us", "event_id"])
+    durations = V.durations(spark, d, size=True)
+    drift = W.half_drift(durations, "user_id", ["at_us", "event_id"], numbered=True)
     return W.grade_rows(durations, drift, "user_id").select("user_id", "event_id", "duration", "grade")
 
 

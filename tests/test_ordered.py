@@ -137,3 +137,45 @@ def test_item_eta(spark):
     df = spark.sql("SELECT timestamp '2024-01-01 10:00:00' AS start_time, timestamp '2024-01-01 10:01:00' AS now, 4L AS done")
     r = W.item_eta(df, 10).first()
     assert (r["elapsed_seconds"], r["progress_pct"], r["eta_seconds"]) == (60.0, 40.0, 90.0)
+
+
+@pytest.mark.parametrize("width", [1, 4, 150])
+def test_several_lags_and_sizes(spark, hot, width):
+    data, df = hot
+    data = data[:400] + [(None, r[1], r[2], r[3]) for r in data[400:450]]
+    frame = spark.createDataFrame(data, "g string, t int, id int, v int").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", str(width))
+    try:
+        out = O.within_groups(frame, "g", ["t", "id"], "v", prev=["p1", "p2", "p3"], size="size").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(out) == len(data)
+    for g in {r[0] for r in data}:
+        line = sorted((r for r in data if r[0] == g), key=lambda r: (r[1], r[2]))
+        got = {r["id"]: tuple(r[c] for c in ("seq", "p1", "p2", "p3", "size")) for r in out if r["g"] == g}
+        for n, r in enumerate(line):
+            assert got[r[2]] == (n + 1, *(line[n - j][3] if n >= j else None for j in (1, 2, 3)), len(line))
+
+
+def test_slices_are_found_by_search(spark):
+    df = spark.range(500).selectExpr("id % 97 AS a", "id AS b")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        rows = sorted((r["a"], r["b"], r["_slice"]) for r in O.sliced(df, ["a", "b"]).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows)
+    assert {r[2] for r in rows} == set(range(13))
+
+
+def test_durations_and_degradation_read_events_once_per_use(spark, rows):
+    data = [("u", i, (i * i * 7) % 50 + 100 * i) for i in range(60)] + [("w", 100, 5)]
+    events = spark.createDataFrame(data, "u string, id int, at long")
+    out = W.event_durations(events, "u", ["at", "id"], "at", size=True)
+    both = W.degradation(out, "u", ["at", "id"], numbered=True)
+    anew = W.degradation(out.select("u", "id", "at", "duration"), "u", ["at", "id"])
+    names = ("id", "item_no", "previous", "degraded", "marker")
+    assert rows(both, *names) == rows(anew, *names)
+    drift = W.half_drift(out, "u", ["at", "id"], numbered=True)
+    assert rows(drift) == rows(W.half_drift(out.drop("n_items", "item_no"), "u", ["at", "id"]))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 5  # rows and slice ends, their samples of the order
