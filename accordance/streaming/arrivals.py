@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,12 +122,15 @@ def upsert(ledger: DataFrame, labelled: DataFrame, skip_labelled: bool = True) -
     )
 
 
-def merge_arrivals(spark: SparkSession, ledger_path: str, work_path: str, skip_labelled: bool = True) -> str | None:
+def merge_arrivals(
+    spark: SparkSession, ledger_path: str, work_path: str, skip_labelled: bool = True, storage: ModuleType = W
+) -> str | None:
     """Write one ledger version with all batches not merged before; None if there is none.
 
-    Of several batches with a key the last good answer counts, else the last one.
+    Of several batches with a key the last good answer counts, else the last one. ``storage`` keeps the
+    ledger: `writers` as full copies, `changelog` as changes.
     """
-    ledger = W.read_version(spark, ledger_path)
+    ledger = storage.read_version(spark, ledger_path)
     labels = spark.read.option("basePath", f"{work_path}/labels").parquet(f"{work_path}/labels")
     labels = labels.withColumn("run", F.col("run").cast("string"))
     merged = f"{work_path}/merged"
@@ -140,7 +144,7 @@ def merge_arrivals(spark: SparkSession, ledger_path: str, work_path: str, skip_l
             return None
         ranked = labels.withColumn("_ok", F.coalesce((F.col("status") == "ok").cast("int"), F.lit(0)))
         latest = first_per_key(ranked, "item_key", ["_ok", "labelled_at", "run", "batch_id"], last=True)
-        version = W.write_version(upsert(ledger, latest, skip_labelled), ledger_path)
+        version = storage.write_version(upsert(ledger, latest, skip_labelled), ledger_path)
         batches.withColumn("version", F.lit(version)).write.mode("append").parquet(merged)
         return version
     finally:
