@@ -8,7 +8,6 @@ works on at most |labels|^2 rows per annotator.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +30,11 @@ def _n() -> Column:
 
 
 def value_counts(df: DataFrame, label: str, keep_null: bool = False) -> DataFrame:
-    """Count and share of each label. Labels are a closed set, so the window that
-    adds the share only sees a handful of rows."""
+    """Count and share of each label; the total is a subquery, so values need not be few."""
     if not keep_null:
         df = df.where(F.col(label).isNotNull())
     counts = df.groupBy(label).agg(_n().alias("n"))
-    whole = F.sum("n").over(Window.partitionBy())
-    return counts.withColumn("pct", ratio(F.col("n"), whole, 100.0))
+    return counts.withColumn("pct", ratio(F.col("n"), df.agg(_n()).scalar(), 100.0))
 
 
 def label_cube(
@@ -330,9 +327,7 @@ def patterns(
 ) -> DataFrame:
     """Label pairs of the disagreements with their share."""
     pairs = label_cube(df.where(~F.col(agreement)), (), reference, candidate)
-    return pairs.withColumn(
-        "share_pct", ratio(F.col("n"), F.sum("n").over(Window.partitionBy()), 100.0)
-    )
+    return pairs.withColumn("share_pct", ratio(F.col("n"), pairs.agg(F.sum("n")).scalar(), 100.0))
 
 
 def dataset_stats(
@@ -454,34 +449,68 @@ def vote_combos(
     return per_key.dropna(subset=list(annotators)).groupBy(*annotators).agg(_n().alias("n"))
 
 
-def consensus(combos: DataFrame, annotators: Sequence[str], labels: Sequence[str] = S.CANDIDATE_LABELS) -> DataFrame:
-    """Agreement of every subset of annotators, and the full set split by label."""
+#: Annotators whose subsets are summed in one pass.
+_BITS_PER_PASS = 4
 
-    def agreed(members: Sequence[str]) -> Column:
-        return F.size(F.array_distinct(F.array(*[F.col(m) for m in members]))) == 1
 
-    def row(kind: str, members: str, hit: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(members).alias("members"), hit.alias("hit"))
+def superset_sums(masks: DataFrame, bits: int, least: int = 1) -> DataFrame:
+    """``mask``, ``n``: for each bit mask the sum of ``n`` over all given masks that contain it.
 
-    everyone = agreed(annotators)
-    rows = [
-        row("breakdown", "total_agreement", everyone),
-        row("breakdown", "total_disagreement", ~everyone),
-    ]
-    rows += [
-        row("breakdown", f"agreement_{v}", everyone & (F.col(annotators[0]) == v)) for v in labels
-    ]
-    for size in range(1, len(annotators) + 1):
-        for members in combinations(annotators, size):
-            rows.append(row(f"subset_{size}", " + ".join(members), agreed(members)))
-    return (
-        combos.withColumn("_r", F.explode(F.array(*rows)))
-        .groupBy("_r.kind", "_r.members")
-        .agg(
-            total(F.when(F.col("_r.hit"), F.col("n"))).alias("agreements"),
-            total(F.col("n")).alias("total"),
+    Some bits at a time: a mask counts for all masks that lack any of these bits, and equal masks are added up
+    before the next bits, so no row ever stands for more than 2^`_BITS_PER_PASS`. Masks with fewer
+    than ``least`` bits, and those that nothing contains, are left out.
+    """
+    out = masks.select(F.col("mask").cast("bigint").alias("mask"), "n")
+    for low in range(0, bits, _BITS_PER_PASS):
+        width = min(_BITS_PER_PASS, bits - low)
+        parts = F.array(*[F.lit(k << low).cast("bigint") for k in range(1 << width)])
+        rest = F.col("mask").bitwiseAND(F.lit(~(((1 << width) - 1) << low)).cast("bigint"))
+        below = F.transform(F.filter(parts, lambda p: p.bitwiseAND(F.col("mask")) == p), lambda p: p.bitwiseOR(rest))
+        out = out.select(F.explode(F.filter(below, lambda m: F.bit_count(m) >= least)).alias("mask"), "n")
+        out = out.groupBy("mask").agg(F.sum("n").alias("n"))
+    return out
+
+
+def consensus(
+    combos: DataFrame, annotators: Sequence[str], labels: Sequence[str] = S.CANDIDATE_LABELS, sizes: Sequence[int] | None = None
+) -> DataFrame:
+    """Agreement of subsets of annotators, and the full set split by label.
+
+    A label of a combination is the bit mask of those who gave it; a subset agrees where such a mask contains it, so
+    all subsets come from superset sums. ``sizes`` are the subset sizes wanted; by default all are. The plan grows with
+    the number of annotators, not with that of their subsets.
+    """
+    k = len(annotators)
+    wanted = sorted(set(range(1, k + 1) if sizes is None else sizes) & set(range(1, k + 1)))
+    given = combos.withColumn("_l", F.explode(F.array_distinct(F.array(*annotators))))
+    mask = F.lit(0).cast("bigint")
+    for i, a in enumerate(annotators):
+        mask = mask + F.when(F.col(a) == F.col("_l"), F.lit(1 << i)).otherwise(0)
+    masks = given.groupBy(mask.alias("mask"), "_l").agg(F.sum("n").alias("n"))
+    whole = combos.agg(total(F.col("n")).alias("total"))
+    every = (1 << k) - 1
+    unanimous = F.col("mask") == every
+    splits = masks.agg(
+        total(F.when(unanimous, F.col("n"))).alias("all"),
+        *[total(F.when(unanimous & (F.col("_l") == v), F.col("n"))).alias(f"l{i}") for i, v in enumerate(labels)],
+    ).withColumn("total", whole.scalar())
+    named = [("total_agreement", F.col("all")), ("total_disagreement", F.col("total") - F.col("all"))]
+    named += [(f"agreement_{v}", F.col(f"l{i}")) for i, v in enumerate(labels)]
+    out = splits.select("total", F.inline(F.array(*[
+        F.struct(F.lit("breakdown").alias("kind"), F.lit(m).alias("members"), n.alias("agreements")) for m, n in named
+    ])))
+    names = F.array(*[F.struct(F.lit(1 << i).cast("bigint").alias("bit"), F.lit(a).alias("name")) for i, a in enumerate(annotators)])
+    if wanted:
+        sums = superset_sums(masks.select("mask", "n"), k, wanted[0])
+        subsets = combos.sparkSession.range(1, 1 << k).where(F.bit_count("id").isin(wanted))
+        members = F.transform(F.filter(names, lambda x: x["bit"].bitwiseAND(F.col("id")) != 0), lambda x: x["name"])
+        rows = subsets.join(sums, F.col("id") == F.col("mask"), "left").select(
+            whole.scalar().alias("total"), F.concat(F.lit("subset_"), F.bit_count("id")).alias("kind"),
+            F.array_join(members, " + ").alias("members"), F.coalesce("n", F.lit(0)).cast("bigint").alias("agreements"),
         )
-        .withColumn("agreement_pct", F.round(ratio(F.col("agreements"), F.col("total"), 100.0), 2))
+        out = out.select(*rows.columns).union(rows)
+    return out.select("kind", "members", "agreements", "total").withColumn(
+        "agreement_pct", F.round(ratio(F.col("agreements"), F.col("total"), 100.0), 2)
     )
 
 

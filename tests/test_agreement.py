@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter
 from itertools import combinations
 import random
+import time
 
 import pytest
 
@@ -154,3 +155,53 @@ def test_session_convergence_uses_normalised_labels(spark):
     )
     r = G.session_summary(df).first()
     assert (r["total"], r["agree"], r["disagree"]) == (4, 2, 2)
+
+
+def _brute_consensus(combos, names, sizes):
+    out = {}
+    whole = sum(n for *_, n in combos)
+    for size in sizes:
+        for members in combinations(range(len(names)), size):
+            hit = sum(c[-1] for c in combos if len({c[m] for m in members}) == 1)
+            out[f"subset_{size}", " + ".join(names[m] for m in members)] = (hit, whole)
+    return out
+
+
+@pytest.mark.parametrize("k, sizes", [(1, None), (3, None), (5, None), (6, [2, 5]), (4, [9])])
+def test_consensus_of_subsets_equals_counting(spark, k, sizes):
+    rng = random.Random(k)
+    names = [f"a{i}" for i in range(k)]
+    combos = [(*[rng.choice(["PURE", "FLOSS", "OTHER"]) for _ in names], rng.randrange(1, 9)) for _ in range(25)]
+    frame = spark.createDataFrame(combos, ", ".join(f"{n} string" for n in names) + ", n long")
+    out = G.consensus(frame, names, sizes=sizes).collect()
+    got = {(r["kind"], r["members"]): (r["agreements"], r["total"]) for r in out if r["kind"] != "breakdown"}
+    assert got == _brute_consensus(combos, names, [s for s in sizes or range(1, k + 1) if s <= k])
+    splits = {r["members"]: r["agreements"] for r in out if r["kind"] == "breakdown"}
+    same = [c for c in combos if len(set(c[:k])) == 1]
+    assert splits == {"total_agreement": sum(c[-1] for c in same), "total_disagreement": sum(c[-1] for c in combos) - sum(c[-1] for c in same),
+                      **{f"agreement_{v}": sum(c[-1] for c in same if c[0] == v) for v in ("PURE", "FLOSS")}}
+
+
+def test_sixteen_annotators(spark):
+    rng = random.Random(1)
+    names = [f"m{i:02d}" for i in range(16)]
+    rows = [(f"k{i}", n, rng.choice(["PURE", "FLOSS"])) for i in range(60) for n in names]
+    votes = spark.createDataFrame(rows, "item_key string, annotator string, label string")
+    start = time.time()
+    combos = G.vote_combos(votes, names)
+    out = G.consensus(combos, names, sizes=[2, 16])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert time.time() - start < 20 and len(plan) < 200_000
+    by_key = {}
+    for k, n, v in rows:
+        by_key.setdefault(k, {})[n] = v
+    got = {r["members"]: r["agreements"] for r in out.collect() if r["kind"] == "subset_2"}
+    assert got == {f"{a} + {b}": sum(v[a] == v[b] for v in by_key.values()) for a, b in combinations(names, 2)}
+    full = [r for r in G.consensus(combos, names).collect() if r["kind"].startswith("subset_")]
+    assert len(full) == 2**16 - 1
+
+
+def test_consensus_of_nothing(spark):
+    empty = spark.createDataFrame([], "a string, b string, n long")
+    assert {(r["members"], r["agreements"], r["total"], r["agreement_pct"]) for r in G.consensus(empty, ["a", "b"]).collect()} >= {
+        ("a + b", 0, 0, 0.0), ("total_agreement", 0, 0, 0.0)}
