@@ -211,7 +211,7 @@ def model_summary(sparse: DataFrame, by: str = "annotator") -> DataFrame:
     return sparse.groupBy(by).agg(*[v.alias(k) for k, v in cols.items()])
 
 
-# Column names of the summary file, in file order.
+# The column names of the summary file, in file order.
 SUMMARY_FILE_NAMES = {
     "annotator": "model",
     "file": "file",
@@ -230,6 +230,14 @@ SUMMARY_FILE_NAMES = {
 }
 
 
+def summary_file(ledgers: DataFrame) -> DataFrame:
+    """The summary of a folder of ledgers, a row per annotator and file, as its file has it: names, order of
+    columns, order of rows."""
+    named = ledgers.withColumn("_of", F.struct("annotator", "file"))
+    out = model_summary(confusion_sparse(named, "_of"), "_of").select("_of.*", "*")
+    return out.select(*[F.col(c).alias(n) for c, n in SUMMARY_FILE_NAMES.items()]).orderBy("model", "file")
+
+
 def membership(compared: DataFrame, reference: str = R, candidate: str = C) -> DataFrame:
     """Where keys occur, and both label distributions in the intersection."""
     pairs = compared.groupBy("in_reference", "analysed", reference, candidate).agg(

@@ -67,9 +67,11 @@ def _cut_section(section: Column, limit: int, kept: str, note: str) -> Column:
                     rest,
                     lambda x, i: F.when(x.rlike(kept), x).when(i == first, F.lit(note)),
                 )
+                notes = F.transform(marks, lambda m, i: F.when(m, False).when(i == first, True))
                 return F.struct(
                     F.concat(head, F.array_compact(lines_left)).alias("lines"),
-                    (first >= 0).alias("cut"),
+                    # which of the lines is the note
+                    F.concat(F.transform(head, lambda x: F.lit(False)), F.array_compact(notes)).alias("notes"),
                 )
 
             return let(first_out, tail)
@@ -128,7 +130,9 @@ def reduce_sections(
             F.col("_body")
         ),
     ).otherwise(t)
-    notes = F.size(F.filter(F.split("_body", "\n"), lambda x: x == note))
+    # A text may hold such a line of its own. The body is the first lines as they were joined.
+    lines = F.size(F.split("_body", "\n"))
+    notes = F.size(F.filter(F.slice(F.flatten(F.transform("_parts", lambda p: p["notes"])), F.lit(1), lines), lambda x: x))
     return out.withColumn("reduced_text", reduced).select(
         *df.columns,
         "reduced_text",

@@ -112,6 +112,12 @@ def model_summary(spark, d):
     return G.model_summary(confusion_sparse(spark, d))
 
 
+def summary_file(spark, d):
+    """The summary in the columns and order of its file."""
+    files = V.ledgers(spark, d).withColumn("file", F.concat("annotator", F.lit(".csv")))
+    return G.summary_file(files)
+
+
 def membership(spark, d):
     return G.membership(outer_compare(spark, d))
 
@@ -295,9 +301,11 @@ def expansion_check(spark, d):
 
 
 def pattern_examples(spark, d):
-    return G.pattern_examples(
-        compared(spark, d).where(~F.col("agreement") & (F.col("annotator") == "alpha"))
-    ).select("item_key", "reference_label", "candidate_label", F.col("example_no").cast("bigint").alias("example_no"))
+    """Examples of each disagreement of each annotator."""
+    wrong = compared(spark, d).where(~F.col("agreement"))
+    return G.pattern_examples(wrong, ("annotator", "reference_label", "candidate_label")).select(
+        "annotator", "item_key", "reference_label", "candidate_label", F.col("example_no").cast("bigint").alias("example_no")
+    )
 
 
 def top_k(spark, d):
@@ -411,6 +419,21 @@ QUERIES = {
                 "agreement_false_disagree": "reference_label = 'FALSE' AND coalesce(candidate_label, '') <> 'FALSE'",
             }.items()) + " FROM sparse GROUP BY annotator", "ledgers", extra=_SPARSE),
     ),
+    "summary_file": (
+        summary_file,
+        sql("""SELECT annotator AS model, annotator || '.csv' AS file, sum(n)::BIGINT AS total_commits_in_file,
+               coalesce(sum(n) FILTER (WHERE candidate_label IS NOT NULL), 0)::BIGINT AS analyzed_by_model, """ + ", ".join(
+            f"coalesce(sum(n) FILTER (WHERE {w}), 0)::BIGINT AS {n}" for n, w in {
+                "purity_true": "reference_label = 'TRUE'", "purity_false": "reference_label = 'FALSE'",
+                "llm_true": "candidate_label = 'TRUE'", "llm_false": "candidate_label = 'FALSE'",
+                "agreement_true_total": "reference_label = 'TRUE'",
+                "agreement_true_agree": "reference_label = 'TRUE' AND candidate_label = 'TRUE'",
+                "agreement_true_disagree": "reference_label = 'TRUE' AND coalesce(candidate_label, '') <> 'TRUE'",
+                "agreement_false_total": "reference_label = 'FALSE'",
+                "agreement_false_agree": "reference_label = 'FALSE' AND candidate_label = 'FALSE'",
+                "agreement_false_disagree": "reference_label = 'FALSE' AND coalesce(candidate_label, '') <> 'FALSE'",
+            }.items()) + " FROM sparse GROUP BY annotator ORDER BY annotator", "ledgers", extra=_SPARSE),
+    ),
     "membership": (
         membership,
         sql("""SELECT 'membership' AS section, CASE WHEN in_reference AND analysed THEN 'both' WHEN in_reference
@@ -554,9 +577,9 @@ QUERIES = {
     ),
     "pattern_examples": (
         pattern_examples,
-        sql("""SELECT item_key, reference_label, candidate_label, example_no FROM (
-               SELECT *, row_number() OVER (PARTITION BY reference_label, candidate_label ORDER BY item_key) AS example_no
-               FROM compared WHERE NOT agreement AND annotator = 'alpha') WHERE example_no <= 2""", "compared"),
+        sql("""SELECT annotator, item_key, reference_label, candidate_label, example_no FROM (
+               SELECT *, row_number() OVER (PARTITION BY annotator, reference_label, candidate_label ORDER BY item_key) AS example_no
+               FROM compared WHERE NOT agreement) WHERE example_no <= 2""", "compared"),
     ),
     "top_k": (
         top_k,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accordance.functions import answers as X
+from accordance.operators import compare as J
 from accordance.operators import extract as E
 from accordance.operators import sections as N
 from accordance.plans import adapters as V
@@ -40,17 +41,34 @@ def structured_answer(spark, d):
 
 
 def repair_retry(spark, d):
-    pieces = V.responses(spark, d).select(
-        "item_key", F.get(X.object_candidates(X.remove_blocks("response")), F.lit(0)).alias("piece")
-    )
-    return pieces.where(F.col("piece").isNotNull()).select(
+    """Every object-like piece of every answer, before and after repairs."""
+    pieces = F.filter(X.object_candidates(X.remove_blocks("response")), lambda p: p != "")
+    rows = V.responses(spark, d).select("item_key", F.posexplode(pieces).alias("piece_no", "piece"))
+    return rows.select(
         "item_key",
+        (F.col("piece_no") + 1).cast("bigint").alias("piece_no"),
         X.is_object_text(F.col("piece")).alias("readable"),
         X.repair_object(F.col("piece")).alias("repaired"),
         X.is_object_text(X.repair_object(F.col("piece"))).alias("readable_after"),
     )
 
 
+def quote_repair(spark, d):
+    """Objects whose texts hold quotes that were never escaped."""
+    said = V.table(spark, d, "events").select(
+        "event_id",
+        F.concat(
+            F.lit('so {"refactoring_type": "pure", "justification": "the "'), "event_type", F.lit('" of user "'),
+            F.col("user_id").cast("string"), F.lit('", seen", "confidence_level": "low"} then'),
+        ).alias("response"),
+    )
+    out = E.answer_fields(E.structured_answer(said))
+    return out.select(
+        "event_id", "answer_tier", F.col("a_refactoring_type").alias("label"), F.col("a_justification").alias("justification"),
+        F.col("a_confidence_level").alias("confidence"),
+    )
+
+
 def field_patterns(spark, d):
     out = E.line_fields(V.responses(spark, d).drop("repository"))
     return out.select(
@@ -103,9 +121,15 @@ def min_structure(spark, d):
 
 
 def complete_fields(spark, d):
-    """Completed fields of the answers that hold an object."""
-    out = E.answer_fields(E.structured_answer(V.responses(spark, d)))
-    done = E.complete_fields(out.where(F.col("answer_json").isNotNull()))
+    """All answers completed from the item list, the evidence and the request."""
+    out = E.answer_fields(E.structured_answer(V.responses(spark, d))).drop("response", "cleaned", "answer_json")
+    listed = J.first_lookup(out.select("item_key"), V.items(spark, d), "after_key", V.ITEM_ORDER, ["project_name", "before_key", "after_key"])
+    listed = listed.select(
+        "item_key", F.col("project_name").alias("item_repository"), F.col("before_key").alias("item_before"),
+        F.col("after_key").alias("item_after"),
+    )
+    evidence = J.top_evidence(V.details(spark, d), V.DETAIL_ORDER, text="detail")
+    done = E.complete_fields(out.join(listed, "item_key", "left").join(evidence, "item_key", "left"))
     return done.select(
         "item_key", "repository", "commit_hash_before", "commit_hash_current", "label",
         "justification", "technical_evidence", "confidence", "diff_source", "fields_filled",
@@ -201,17 +225,15 @@ _VERDICTS = (
 _VERDICT = f"upper({_first('response', *_VERDICTS)})"
 _SHORT = f"upper({_first('response', *_VERDICTS[:2])})"
 
-# The forms are known, so the objects they hold are: form 1 a plain one, form 2 one
-# with a trailing comma. No text of the tables has a brace of its own (checked by
-# the `braces` column below: it would show as a difference).
-_NOTE = "'document ' || doc_id::VARCHAR || ' has ' || n_chars::VARCHAR || ' characters'"
-_PARITY = "CASE WHEN n_chars % 2 = 0 THEN 'pure' ELSE 'floss' END"
-_PIECE = f"nullif(regexp_extract({_blocks('response')}, '(\\{{[\\s\\S]*?\\}})', 1), '')"
-_MEND = "regexp_replace(regexp_replace(piece, ',\\s*\\}', '}', 'g'), ',\\s*\\]', ']', 'g')"
-_VALID = "(json_valid({0}) AND NOT regexp_matches({0}, ',\\s*[}}\\]]'))"
+_MEND = "regexp_replace(regexp_replace({0}, ',\\s*\\}}', '}}', 'g'), ',\\s*\\]', ']', 'g')"
+_VALID = "(json_valid({0}) AND json_type(CASE WHEN json_valid({0}) THEN {0} END) = 'OBJECT' AND NOT regexp_matches({0}, ',\\s*[}}\\]]'))"
+_OBJECT = r"regexp_extract(cleaned, '(\{[\s\S]*?\})', 1)"
+_PIECES = "list_concat(" + ", ".join(
+    f"regexp_extract_all({_blocks('response')}, '{p}', 1)"
+    for p in (r"```json\s*(\{[\s\S]*?\})\s*```", r"```\s*(\{[\s\S]*?\})\s*```", r"(\{[\s\S]*?\})")
+) + ")"
 
 _KV_BODY = r"([a-zA-Z0-9_\- ]{3,40})"
-_HAS_OBJECT = "form IN (1, 2)"
 
 
 def _key_lines(t: str) -> str:
@@ -238,7 +260,7 @@ def _loose(name: str, *more: str) -> str:
     return f"(SELECT coalesce({', '.join(vals)}) FROM (SELECT {inner}))"
 
 
-_FIELDS = f"""fields AS (SELECT item_key, form, response, {_loose('project')} AS project, {_loose('repository')} AS repo,
+_FIELDS = f"""fields AS (SELECT item_key, response, {_loose('project')} AS project, {_loose('repository')} AS repo,
   {_loose('commit_hash_before')} AS b, {_loose('commit_hash_current')} AS c,
   {_loose('refactoring_type', '(pure|floss)')} AS t, {_loose('justification')} AS j FROM responses),
  counted AS (SELECT *, (project IS NOT NULL)::INT + (repo IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT
@@ -272,29 +294,64 @@ _FALLBACK_TEXT = f"""array_to_string(list_concat(
 
 _RAW = f"regexp_replace(response, '^{_WS}+|{_WS}+$', '', 'g')"
 _CLEAN = _lines(_blocks("response"))
-_CASCADE = f"""casc AS (SELECT item_key, CASE WHEN response = '' THEN NULL ELSE lab END AS label,
+# The object of an answer as it stands in the text: the whole text, the first readable piece, or the first
+# piece mended.
+_PARSED = f"""cleaned AS (SELECT *, {_CLEAN} AS cleaned FROM responses),
+ tried AS (SELECT *, regexp_replace(cleaned, '^{_WS}+|{_WS}+$', '', 'g') AS whole,
+   list_filter(regexp_extract_all(cleaned, '(\\{{[\\s\\S]*?\\}})', 1), lambda p: {_VALID.format('p')})[1] AS good,
+   {_MEND.format(_OBJECT)} AS mended FROM cleaned),
+ tiers AS (SELECT *, CASE WHEN {_VALID.format('whole')} THEN 'whole' WHEN good IS NOT NULL THEN 'candidate'
+   WHEN {_VALID.format('mended')} THEN 'repaired' END AS tier FROM tried),
+ objects AS (SELECT *, CASE tier WHEN 'whole' THEN whole WHEN 'candidate' THEN good WHEN 'repaired' THEN mended END AS doc FROM tiers),
+ parsed AS (SELECT *, """ + ", ".join(
+    f"coalesce({', '.join(f'nullif(json_extract_string(doc, {chr(39)}$.{n}{chr(39)}), {chr(39)*2})' for n in names)}) AS a_{k}"
+    for k, names in E.ANSWER_FIELDS.items()) + """ FROM objects)"""
+
+_LABEL = "CASE WHEN a_refactoring_type IN ('pure', 'floss') THEN a_refactoring_type ELSE 'floss' END"
+_CASCADE = f"""{_PARSED}, casc AS (SELECT item_key, CASE WHEN response = '' THEN NULL ELSE lab END AS label,
     CASE WHEN response = '' THEN 'failed' ELSE 'ok' END AS status,
     CASE WHEN response = '' THEN NULL ELSE m END AS extraction_method,
-    CASE WHEN response = '' THEN NULL WHEN m IN ('verdict', 'scoring') THEN {_RAW} WHEN m = 'structured' THEN {_NOTE}
+    CASE WHEN response = '' THEN NULL WHEN m IN ('verdict', 'scoring') THEN {_RAW} WHEN m = 'structured' THEN a_justification
          ELSE 'Analysis failed - insufficient data' END AS justification,
-    CASE WHEN response = '' OR m = 'verdict' THEN NULL WHEN m = 'structured' THEN CASE WHEN form = 1 THEN 'high' ELSE 'low' END
+    CASE WHEN response = '' OR m = 'verdict' THEN NULL WHEN m = 'structured' THEN coalesce(a_confidence_level, 'low')
          WHEN m = 'key_lines' THEN 'low' ELSE {sql_confidence('response')} END AS confidence
-  FROM (SELECT *, CASE m WHEN 'verdict' THEN lower(v) WHEN 'structured' THEN CASE form WHEN 1 THEN {_PARITY} ELSE 'floss' END
+  FROM (SELECT *, CASE m WHEN 'verdict' THEN lower(v) WHEN 'structured' THEN {_LABEL}
                     WHEN 'key_lines' THEN 'floss' ELSE {sql_score('response')} END AS lab
-    FROM (SELECT *, CASE WHEN v IS NOT NULL THEN 'verdict' WHEN {_HAS_OBJECT} THEN 'structured'
-                         WHEN {_key_lines(_CLEAN)} THEN 'key_lines' ELSE 'scoring' END AS m
-      FROM (SELECT *, {_VERDICT} AS v FROM responses))))"""
+    FROM (SELECT *, CASE WHEN v IS NOT NULL THEN 'verdict' WHEN doc IS NOT NULL THEN 'structured'
+                         WHEN {_key_lines('cleaned')} THEN 'key_lines' ELSE 'scoring' END AS m
+      FROM (SELECT *, {_VERDICT} AS v FROM parsed))))"""
+
+_SOURCES = """listed AS (SELECT after_key AS k, project_name, before_key FROM (SELECT *, row_number() OVER (PARTITION BY after_key
+     ORDER BY ord0, ord1, ord2, ord3) AS rn FROM items) WHERE rn = 1),
+   proof AS (SELECT item_key AS k, string_agg(detail, '; ' ORDER BY rn) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY item_key
+     ORDER BY ord1, ord2, ord3) AS rn FROM details WHERE detail IS NOT NULL) WHERE rn <= 3 GROUP BY item_key),
+   given AS (SELECT p.*, coalesce(l.project_name, p.repository) AS repo, l.before_key AS before, coalesce(l.k, p.item_key) AS after, f.evidence
+     FROM parsed p LEFT JOIN listed l ON l.k = p.item_key LEFT JOIN proof f ON f.k = p.item_key)"""
+_COMPLETE = f"""SELECT item_key, coalesce(a_repository, repo, 'unknown') AS repository, coalesce(a_commit_hash_before, before, 'unknown') AS commit_hash_before,
+   coalesce(a_commit_hash_current, after, 'unknown') AS commit_hash_current, {_LABEL} AS label,
+   CASE WHEN length(a_justification) >= 5 THEN a_justification ELSE '{E.NO_JUSTIFICATION}' END AS justification,
+   coalesce(a_technical_evidence, evidence, '{E.NO_EVIDENCE}') AS technical_evidence, coalesce(a_confidence_level, 'low') AS confidence,
+   coalesce(a_diff_source, 'direct') AS diff_source, array_to_string(list_filter([
+     CASE WHEN a_repository IS NULL AND repo IS NOT NULL THEN 'repository' END,
+     CASE WHEN a_commit_hash_before IS NULL AND before IS NOT NULL THEN 'commit_hash_before' END,
+     CASE WHEN a_commit_hash_current IS NULL THEN 'commit_hash_current' END,
+     CASE WHEN a_technical_evidence IS NULL AND evidence IS NOT NULL THEN 'technical_evidence' END,
+     CASE WHEN coalesce(a_refactoring_type, '') NOT IN ('pure', 'floss') THEN 'refactoring_type' END,
+     CASE WHEN coalesce(length(a_justification), 0) < 5 THEN 'justification' END,
+     CASE WHEN a_technical_evidence IS NULL AND evidence IS NULL THEN 'technical_evidence' END,
+     CASE WHEN a_confidence_level IS NULL THEN 'confidence_level' END,
+     CASE WHEN a_diff_source IS NULL THEN 'diff_source' END], lambda x: x IS NOT NULL), ',') AS fields_filled FROM given"""
 
 _STRUCTURE_FIRST = f"""SELECT item_key, CASE WHEN response = '' THEN NULL
-    WHEN m = 'structured' THEN CASE form WHEN 1 THEN {_PARITY} ELSE 'floss' END
+    WHEN m = 'structured' THEN {_LABEL}
     WHEN m = 'lines' THEN CASE WHEN t IS NOT NULL AND coalesce(v, t) IN ('pure', 'floss') THEN coalesce(v, t) ELSE 'floss' END
     WHEN m = 'bare_label' THEN coalesce(v, bl) WHEN m = 'verdict' THEN v ELSE {_FALLBACK} END AS label,
     CASE WHEN response = '' THEN 'failed' ELSE 'ok' END AS status,
     CASE WHEN response = '' THEN NULL ELSE m END AS extraction_method
-  FROM (SELECT *, CASE WHEN {_HAS_OBJECT} THEN 'structured' WHEN n >= 2 AND (t IS NOT NULL OR j IS NOT NULL) THEN 'lines'
+  FROM (SELECT *, CASE WHEN doc IS NOT NULL THEN 'structured' WHEN n >= 2 AND (t IS NOT NULL OR j IS NOT NULL) THEN 'lines'
           WHEN bl IS NOT NULL THEN 'bare_label' WHEN v IS NOT NULL THEN 'verdict' ELSE 'fallback' END AS m
-    FROM (SELECT c.*, r.n_chars, r.doc_id, lower({_SHORT.replace('response', 'c.response')}) AS v, {_BARE.replace('response', 'c.response')} AS bl
-          FROM counted c JOIN responses r ON c.item_key = r.item_key))"""
+    FROM (SELECT c.*, r.doc, r.a_refactoring_type, lower({_SHORT.replace('response', 'c.response')}) AS v, {_BARE.replace('response', 'c.response')} AS bl
+          FROM counted c JOIN parsed r ON c.item_key = r.item_key))"""
 
 _REDUCE = """WITH lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
       generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -322,14 +379,20 @@ QUERIES = {
     ),
     "structured_answer": (
         structured_answer,
-        sql(f"""SELECT item_key, CASE form WHEN 1 THEN 'whole' WHEN 2 THEN 'repaired' END AS answer_tier,
-                CASE form WHEN 1 THEN {_PARITY} WHEN 2 THEN 'floss' END AS label,
-                CASE WHEN form IN (1, 2) THEN {_NOTE} END AS justification FROM responses""", "responses"),
+        sql("""SELECT item_key, tier AS answer_tier, json_extract_string(doc, '$.refactoring_type') AS label,
+               json_extract_string(doc, '$.justification') AS justification FROM parsed""", "responses", extra=_PARSED),
     ),
     "repair_retry": (
         repair_retry,
-        sql(f"""SELECT item_key, {_VALID.format('piece')} AS readable, {_MEND} AS repaired, {_VALID.format('(' + _MEND + ')')} AS readable_after
-                FROM (SELECT item_key, {_PIECE} AS piece FROM responses) WHERE piece IS NOT NULL""", "responses"),
+        sql(f"""SELECT item_key, piece_no, {_VALID.format('piece')} AS readable, {_MEND.format('piece')} AS repaired,
+                {_VALID.format('(' + _MEND.format('piece') + ')')} AS readable_after
+                FROM (SELECT item_key, unnest(ps) AS piece, generate_subscripts(ps, 1) AS piece_no
+                      FROM (SELECT item_key, {_PIECES} AS ps FROM responses))""", "responses"),
+    ),
+    "quote_repair": (
+        quote_repair,
+        """SELECT event_id, 'scanned' AS answer_tier, 'pure' AS label, 'low' AS confidence,
+           'the "' || event_type || '" of user "' || user_id::VARCHAR || '", seen' AS justification FROM events""",
     ),
     "field_patterns": (
         field_patterns,
@@ -355,20 +418,17 @@ QUERIES = {
     "key_lines": (key_lines, f"SELECT doc_id, {_key_lines('text')} AS has_key_lines FROM documents"),
     "bracket_scan": (bracket_scan, "SELECT event_id, props AS json_value FROM events"),
     "min_structure": (
-        min_structure, sql(f"SELECT item_key, {_HAS_OBJECT} AS usable FROM responses", "responses"),
+        min_structure,
+        sql("SELECT item_key, a_refactoring_type IS NOT NULL OR a_justification IS NOT NULL AS usable FROM parsed",
+            "responses", extra=_PARSED),
     ),
     "complete_fields": (
         complete_fields,
-        sql(f"""SELECT item_key, repository, 'unknown' AS commit_hash_before, item_key AS commit_hash_current,
-                CASE form WHEN 1 THEN {_PARITY} ELSE 'floss' END AS label, {_NOTE} AS justification,
-                'Not provided' AS technical_evidence, CASE form WHEN 1 THEN 'high' ELSE 'low' END AS confidence,
-                'direct' AS diff_source, 'repository,commit_hash_current,technical_evidence,'
-                  || CASE form WHEN 1 THEN '' ELSE 'confidence_level,' END || 'diff_source' AS fields_filled
-                FROM responses WHERE {_HAS_OBJECT}""", "responses"),
+        sql(_COMPLETE, "responses", "items", "details", extra=f"{_PARSED}, {_SOURCES}"),
     ),
     "cascade": (cascade, sql("SELECT * FROM casc", "responses", extra=_CASCADE)),
     "cascade_structure_first": (
-        cascade_structure_first, sql(_STRUCTURE_FIRST, "responses", extra=_FIELDS),
+        cascade_structure_first, sql(_STRUCTURE_FIRST, "responses", extra=f"{_PARSED}, {_FIELDS}"),
     ),
     "success_by_method": (
         success_by_method,

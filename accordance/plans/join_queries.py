@@ -149,13 +149,10 @@ def top3_evidence(spark, d):
     return J.top_evidence(V.details(spark, d), V.DETAIL_ORDER, text="detail")
 
 
-def _recovered(spark, d):
-    return V.snapshots(spark, d).where("taken_at = 2").select("item_key", "candidate_label")
-
-
 def patch_fill(spark, d):
+    """Open rows take the label of the newest snapshot that has one."""
     led = V.ledger(spark, d).select("item_key", "reference_label", "candidate_label")
-    return J.patch_fill(led, _recovered(spark, d))
+    return J.patch_fill(led, V.snapshots(spark, d), order=["taken_at"])
 
 
 def _complete(spark, d):
@@ -275,7 +272,8 @@ QUERIES = {
     "patch_fill": (
         patch_fill,
         sql("""SELECT a.item_key, a.reference_label, coalesce(a.candidate_label, s.candidate_label) AS candidate_label
-               FROM alpha a LEFT JOIN (SELECT * FROM snapshots WHERE taken_at = 2) s ON a.item_key = s.item_key""",
+               FROM alpha a LEFT JOIN (SELECT item_key, arg_max(candidate_label, taken_at) AS candidate_label FROM snapshots
+                 WHERE candidate_label IS NOT NULL GROUP BY item_key) s ON a.item_key = s.item_key""",
             "alpha", "snapshots"),
     ),
     "diff_overwrite": (

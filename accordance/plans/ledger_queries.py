@@ -70,8 +70,9 @@ def reset_labels(spark, d):
 
 
 def change_log(spark, d):
-    led = _alpha(spark, d)
-    return M.change_log(led, M.apply_recovery(led, recover_first(spark, d)))
+    """What differs between one annotator's ledger, recovered, and another's."""
+    old = M.apply_recovery(_alpha(spark, d), recover_first(spark, d))
+    return M.change_log(old, V.ledger(spark, d, "beta").select("item_key", "candidate_label"))
 
 
 def random_pending(spark, d):
@@ -158,7 +159,13 @@ QUERIES = {
     ),
     "change_log": (
         change_log,
-        sql("""SELECT item_key, NULL::VARCHAR AS old_label, candidate_label AS new_label, 'new' AS change FROM found""",
+        sql("""SELECT * FROM (SELECT coalesce(o.item_key, b.item_key) AS item_key, old_label, b.candidate_label AS new_label,
+                 CASE WHEN old_label IS NULL AND b.candidate_label IS NOT NULL THEN 'new'
+                      WHEN old_label IS NOT NULL AND b.candidate_label IS NULL THEN 'removed'
+                      WHEN old_label <> b.candidate_label THEN 'changed' END AS change
+               FROM (SELECT a.item_key, coalesce(a.candidate_label, f.candidate_label) AS old_label
+                     FROM alpha a LEFT JOIN found f ON a.item_key = f.item_key) o
+               FULL JOIN (SELECT * FROM ledgers WHERE annotator = 'beta') b ON o.item_key = b.item_key) WHERE change IS NOT NULL""",
             "alpha", "snapshots", extra=_FIRST),
     ),
     "random_pending": (

@@ -205,3 +205,12 @@ def test_consensus_of_nothing(spark):
     empty = spark.createDataFrame([], "a string, b string, n long")
     assert {(r["members"], r["agreements"], r["total"], r["agreement_pct"]) for r in G.consensus(empty, ["a", "b"]).collect()} >= {
         ("a + b", 0, 0, 0.0), ("total_agreement", 0, 0, 0.0)}
+
+
+def test_summary_file(spark):
+    rows = [("m", "m.csv", "a", "TRUE", "PURE"), ("m", "m.csv", "b", "FALSE", None), ("b", "b.csv", "a", "TRUE", "FLOSS")]
+    df = spark.createDataFrame(rows, "annotator string, file string, item_key string, reference_label string, candidate_label string")
+    out = G.summary_file(df)
+    assert out.columns == list(G.SUMMARY_FILE_NAMES.values()) and len(out.columns) == 14
+    assert [tuple(r) for r in out.collect()] == [
+        ("b", "b.csv", 1, 1, 1, 0, 0, 1, 1, 0, 1, 0, 0, 0), ("m", "m.csv", 2, 1, 1, 1, 1, 0, 1, 1, 0, 1, 0, 1)]

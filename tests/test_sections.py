@@ -80,3 +80,11 @@ def test_truncate(spark):
     df = spark.createDataFrame([("abcdef",), ("abc",), (None,)], "text string")
     got = [tuple(r)[1:] for r in N.truncate_text(df, limit=4, note="~").collect()]
     assert got == [("abcd~", True, 6, 4), ("abc", False, 3, 3), (None, False, 0, 0)]
+
+
+def test_a_note_of_the_text_itself_is_not_counted(spark):
+    text = "A one\nnote\nplain\nplain\nB two\nnote\nmore, kept\nrest\n" + "x" * 40
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    out = N.reduce_sections(df, max_chars=30, lines_per_section=2, header="[A-E]", kept=",", note="note", cut_note="cut").first()
+    assert out["reduced_text"].startswith("A one\nnote\nnote\nB two\nnote\n")
+    assert out["truncated_sections"] == 1  # the second section's note lies behind the cut
