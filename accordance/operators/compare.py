@@ -335,22 +335,49 @@ def diff_overwrite(
     )
 
 
+#: Length of the pieces of names by which texts that contain them are found.
+_GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` characters of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def contained_names(names: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:
+    """Each distinct name with each distinct text that contains it (two columns).
+
+    An inverted index of short pieces: every text is listed under its pieces of 1 to 3 characters, and a name
+    asks under one piece only, of its three-character pieces that which the fewest texts have; a shorter name
+    asks for itself. What meets is then compared. The empty name is in all texts; nulls meet nothing.
+    """
+    have = texts.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct()
+    pieces = F.flatten(F.array(*[_grams(F.col("_text"), k) for k in range(1, _GRAM + 1)], F.array(F.lit(""))))
+    index = have.select("_text", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    counts = index.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    asked = names.select(F.col(name).alias("_name")).where("_name IS NOT NULL").distinct()
+    own = F.when(F.length("_name") > _GRAM, _grams(F.col("_name"), _GRAM)).otherwise(F.array("_name"))
+    # a piece that no text has drops out here, and with it the name: an inner join would let another piece stand in
+    tried = asked.select("_name", F.explode(own).alias("_piece")).join(counts, "_piece", "left")
+    rarest = tried.groupBy("_name").agg(F.min_by("_piece", F.struct(F.coalesce("_n", F.lit(0)), "_piece")).alias("_piece"))
+    met = rarest.join(index, "_piece").where(F.contains("_text", F.col("_name")))
+    return met.select(F.col("_name").alias(name), F.col("_text").alias(text))
+
+
 def contains_lookup(
-    names: Sequence[str], summary: DataFrame, order: Sequence[str], model: str = "annotator"
+    names: DataFrame | Sequence[str], summary: DataFrame, order: Sequence[str], model: str = "annotator"
 ) -> DataFrame:
     """First summary row whose annotator id contains a short name, per short name.
 
-    The names are a parameter, so they are matched inside each summary row instead
-    of in a non-equi join.
+    ``names`` is a list or a table with the column ``short_name``; it may be long, see `contained_names`.
     """
     spark = summary.sparkSession
-    wanted = F.array(*[F.lit(n) for n in names])
-    hits = summary.withColumn(
-        "short_name",
-        F.explode(F.filter(wanted, lambda n: F.col(model).contains(n))),
-    )
-    first = first_per_key(hits, "short_name", order)
-    asked = spark.range(1).select(F.explode(wanted).alias("short_name"))
+    if not isinstance(names, DataFrame):
+        names = spark.createDataFrame([(n,) for n in names], "short_name string")
+    asked = names.select("short_name").distinct()
+    hits = contained_names(asked, summary, "short_name", model).join(summary, model)
+    first = first_per_key(hits.select("short_name", *summary.columns), "short_name", order)
     return asked.join(first, "short_name", "left")
 
 

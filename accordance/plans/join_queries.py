@@ -172,6 +172,14 @@ def contains_lookup(spark, d):
     return J.contains_lookup(SHORT_NAMES, summary, ["annotator"])
 
 
+def project_lookup(spark, d):
+    """The first project address that contains a repository name, per name of the item and the graded lists."""
+    items = V.items(spark, d).select(F.col("project_name").alias("short_name"))
+    names = V.graded(spark, d).select(F.col("project_name").alias("short_name")).union(items)
+    places = V.graded(spark, d).select("project", "lang").distinct()
+    return J.contains_lookup(names, places, ["project", "lang"], "project")
+
+
 # ---------------------------------------------------------------------------
 # Key sets
 
@@ -294,6 +302,14 @@ QUERIES = {
                LEFT JOIN (SELECT annotator, count(*) AS total_items, count(candidate_label) AS analysed
                  FROM ledgers GROUP BY annotator) s ON p.annotator = s.annotator""", "ledgers"),
     ),
+    "project_lookup": (
+        project_lookup,
+        sql("""SELECT short_name, project, lang FROM (SELECT DISTINCT project_name AS short_name FROM graded UNION SELECT project_name FROM items) n
+               LEFT JOIN (SELECT name, arg_min(lang, (project, lang)) AS lang, min(project) AS project FROM
+                 (SELECT DISTINCT project_name AS name FROM graded UNION SELECT project_name FROM items) m,
+                 (SELECT DISTINCT project, lang FROM graded) p WHERE contains(project, name) GROUP BY name) h ON n.short_name = h.name""",
+            "graded", "items"),
+    ),
     "key_intersection": (
         key_intersection,
         sql("SELECT item_key FROM graded INTERSECT SELECT after_key FROM items", "graded", "items"),

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from accordance.operators import compare as J
@@ -133,3 +135,23 @@ def test_no_cross_join_and_no_hinted_broadcast(spark):
         physical = df._jdf.queryExecution().executedPlan().toString()
         assert "strategy=broadcast" not in plan
         assert "NestedLoop" not in physical and "Cartesian" not in physical
+
+
+def test_contained_names_equal_comparing_all(spark, rows):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcé中") for _ in range(n))
+    texts = [word(rng.randrange(0, 15)) for _ in range(120)] + ["mistral:7b", "gemma2_2b", None]
+    names = [word(rng.randrange(0, 6)) for _ in range(200)] + ["", "mistral", "gemma", "2b", ":", "none here", None]
+    got = rows(J.contained_names(
+        spark.createDataFrame([(n,) for n in names], "n string"), spark.createDataFrame([(t,) for t in texts], "t string"), "n", "t"))
+    assert got == sorted({(n, t) for n in names for t in texts if n is not None and t is not None and n in t}, key=repr)
+
+
+def test_many_names(spark):
+    names = spark.range(100_000).selectExpr("concat('n', id, 'x') AS short_name")
+    summary = spark.range(3000).selectExpr("concat('model_n', id * 37, 'x', id % 7) AS annotator", "id AS n")
+    out = J.contains_lookup(names, summary, ["annotator"])
+    found = {r["short_name"]: r["n"] for r in out.where("annotator IS NOT NULL").collect()}
+    assert found == {f"n{k * 37}x": k for k in range(3000) if k * 37 < 100_000}
+    assert out.count() == 100_000
+    assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
