@@ -348,6 +348,25 @@ def _packed_rows(at: int):
     return run
 
 
+def pack_ids(ids) -> bytes:
+    """Ascending ids as compressed differences, bytes of equal weight side by side."""
+    import numpy as np
+
+    from accordance.llm.pretokens import squeeze
+
+    steps = np.diff(ids, prepend=np.uint64(0))
+    return squeeze(np.ascontiguousarray(steps, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_ids(data: bytes):
+    import numpy as np
+
+    from accordance.llm.pretokens import unsqueeze
+
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 _ASKS = "bucket int, four boolean, id long, lang int, value float, block string, whole binary, other binary"
 
 
@@ -372,7 +391,7 @@ def _ask_rows(at: int, n_buckets: int):
             cuts = [np.searchsorted(b[o], np.arange(n_buckets + 1)) for b, o in zip(buckets, order)]
             sorted_ids = [x[o] for x, o in zip(asked, order)]
             rows = [
-                (b, *(x[c[b] : c[b + 1]].tobytes() for x, c in zip(sorted_ids, cuts)))
+                (b, *(lm.pack_ids(x[c[b] : c[b + 1]]) for x, c in zip(sorted_ids, cuts)))
                 for b in range(n_buckets) if any(c[b] < c[b + 1] for c in cuts)
             ]
             none = [None] * len(rows)
@@ -397,6 +416,7 @@ def _answer(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     from accordance.llm import language as lm
+    from accordance.llm.pretokens import squeeze
 
     held, known = [], None
     for batch in batches:
@@ -414,9 +434,10 @@ def _answer(batches: Iterator) -> Iterator:
         for block, whole, other in zip(*(questions.column(c).to_pylist() for c in ("block", "whole", "other"))):
             out = []
             for four, data in ((True, whole), (False, other)):
-                ids = np.frombuffer(data, np.uint64)
+                ids = lm.unpack_ids(data)
                 at, lang, value = known.find(four, ids)
-                out.append((block, four, ids[at].tobytes(), lang.astype(np.uint32).tobytes(), value.astype(np.float32).tobytes()))
+                bits = np.ascontiguousarray(value, np.float32).view(np.uint32)
+                out.append((block, four, lm.pack_ids(ids[at]), squeeze(np.asarray(lang, np.uint32)), squeeze(bits)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.bool_()),
@@ -513,19 +534,22 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
         import pyarrow as pa
 
         from accordance.llm import language as lm
+        from accordance.llm.pretokens import unsqueeze_values
 
         if not blocks.num_rows:
             raise RuntimeError("answers came back for a block that was not made again: the input is not stable")
         known = None
         if has_model:
+            reads = (("at", lm.unpack_ids, np.uint64), ("lang", unsqueeze_values, np.uint32), ("value", unsqueeze_values, np.uint32))
+            side = answers.column("four").to_pylist()
             data = [
-                [np.frombuffer(b"".join(x for x, own in zip(answers.column(c).to_pylist(), answers.column("four").to_pylist()) if own == four), kind)
-                 for c, kind in (("at", np.uint64), ("lang", np.uint32), ("value", np.float32))]
+                [np.concatenate([np.zeros(0, kind), *(read(x) for x, own in zip(answers.column(c).to_pylist(), side) if own == four)])
+                 for c, read, kind in reads]
                 for four in (True, False)
             ]
             four = np.repeat([True, False], [len(x[0]) for x in data])
             ids, lang, value = (np.concatenate([x[c] for x in data]) for c in range(3))
-            known = lm.Entries(four, ids, lang.astype(np.int64), value)
+            known = lm.Entries(four, ids, lang.astype(np.int64), value.view(np.float32))
         out = []
         for blob in blocks.column("packed").to_pylist():
             rows = pa.ipc.open_stream(blob).read_all()
