@@ -1,10 +1,8 @@
-"""Session helpers: defaults for local runs and the shared checkpoint folder."""
+"""Session helpers: defaults for local runs."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -28,22 +26,6 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session, whose driver and tasks share a disk, may go without and gets its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
