@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +41,39 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none, as in tests, gets a folder of its own.
+    Only a local session that names none, as in tests, gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/accordance-{uuid.uuid4().hex}"
 
 
+def carried(*needed: str) -> Callable:
+    """For a function from documents to some of them: it sees the ``needed`` columns only.
+
+    All others travel with their row in one struct of numbered fields, whatever their names are, and
+    come back as they were. Columns that are needed but not there are left out.
+    """
+
+    def wrap(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(run)
+        def of(docs: DataFrame, *args, **options) -> DataFrame:
+            names = docs.columns
+            rest = [c for c in names if c not in needed]
+            packed = F.struct(*[docs[c].alias(f"f{i}") for i, c in enumerate(rest)]).alias("_carried")
+            out = run(docs.select(*[c for c in names if c in needed], *([packed] if rest else [])), *args, **options)
+            return out.select(*[F.col(c) if c in needed else F.col("_carried")[f"f{rest.index(c)}"].alias(c) for c in names])
+
+        return of
+
+    return wrap
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -247,8 +247,13 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+@common.carried("doc_id", "text")
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns only."""
+    """The documents that are not contaminated, with their own columns only.
+
+    A null or empty text has no words and stays. Repeated rows fare alike. Without documents nothing is
+    returned, without a benchmark all stay.
+    """
     names = docs.columns
     return find_contamination(docs, benchmark, tuple(names)).where(~F.col("contaminated")).select(*names)
 

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from accordance.llm import common
 
@@ -560,8 +561,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
             out.append(done.select([*keep, "lang_pred", "score", "cross_entropy", "rejected"]))
         return pa.concat_tables(out)
 
-    kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"{kept}, {SCORES}")
+    kept = T.StructType([source.schema[c] for c in keep] + T.StructType.fromDDL(SCORES).fields)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kept)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:
@@ -580,10 +581,12 @@ def predictions(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+@common.carried("doc_id", "text", "lang")
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language is recognised, with their own columns only.
 
-    Learned from all labelled documents; only `op2_language_id` holds some out.
+    Learned from all labelled documents; only `op2_language_id` holds some out. A null or empty text, or one without
+    a letter, goes; without any labelled document all go. Repeated rows fare alike. An empty table gives no rows.
     """
     model = fit(docs)
     names = docs.columns

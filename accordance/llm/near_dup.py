@@ -472,6 +472,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+@common.carried("doc_id", "text")
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each class of near duplicates, with its own columns.
 

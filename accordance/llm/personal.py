@@ -328,8 +328,12 @@ def masked(text: Column, found: Column) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(done)
 
 
+@common.carried("doc_id", "text", "n_chars")
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """The documents with personal data masked; ``n_chars``, where there is one, follows the text."""
+    """The documents with personal data masked; ``n_chars``, where there is one, follows the text.
+
+    A null text comes back empty. Repeated rows give repeated results. An empty table gives no rows.
+    """
     names = docs.columns
     found = find_personal_data(docs, keep=tuple(names))
     out = found.withColumn("text", masked(F.col("text"), F.col("found")))
