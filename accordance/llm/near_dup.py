@@ -15,14 +15,21 @@
    limit) are confirmed on the full sets, recomputed from the texts of only the classes
    that have candidates.
 4. *Rest.* Regions in which not all pairs were compared, because they were crowded
-   or cut by the border of a task, and which still hold several components, are compared
-   block by block with their sets, classes of one component left out, until every pair of a
-   region whose signatures agree enough has been confirmed or refused. These pairs never
-   leave their task; only links that join two components do.
+   or cut by the border of a task, and which still hold several components, are finished
+   exactly. Each of their classes is entered under its rarest shingles, so many that two
+   sets similar enough share one of them. Under a shingle that joins several
+   components, classes of different components meet in blocks and are confirmed or refused
+   on their sets; a class that differs too much from its crowd has only rare shingles
+   of its own and meets nobody. Pairs never leave their task; only links that join two
+   components do. How rare a shingle is comes from a count table of fixed size: any order
+   gives the same links, a coarse one only costs time.
 5. *Components* of the links; the smallest doc_id of a component stands for it.
 
 A pair at the limit shares no region in any order with probability
-(1 - 0.8 ** 3) ** 16 = 1e-5; more similar pairs are lost far more rarely.
+(1 - 0.8 ** 3) ** 16 = 1e-5, and outside the rest its signatures agree too little with
+probability 1.2e-4; more similar pairs are lost far more rarely.
+
+Classes carry a long number from the written class table on.
 """
 
 from __future__ import annotations
@@ -33,7 +40,6 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from accordance.llm import common
 from accordance.llm.components import components
@@ -46,6 +52,10 @@ SMALL, NEAR = 64, 2
 #: Share of equal signature values from which a pair is confirmed on its sets.
 AGREE = 0.6
 BLOCK = 256
+#: Slots of the table that counts shingles, and set values compared at once.
+SLOTS, AT_ONCE = 1 << 21, 1 << 19
+#: Characters of text a task holds as words at once.
+CHARS = 1 << 19
 _SETS = "doc_id long, n_shingles long, set_id binary, signature binary"
 
 
@@ -93,14 +103,29 @@ def signature(values):
     return ((best >> np.uint64(40)) & np.uint64(0xFFFF)).astype(">u2")
 
 
+def few(batches: Iterator) -> Iterator[list[tuple]]:
+    """(id, text) of Arrow batches, about `CHARS` characters at a time; a batch is never a list as a whole."""
+    from accordance.llm.near_dup import CHARS
+
+    for batch in batches:
+        rows, held = [], 0
+        for i, t in zip(batch.column(0), batch.column(1)):
+            rows.append((i.as_py(), t.as_py()))
+            held += len(rows[-1][1] or "")
+            if held >= CHARS:
+                yield rows
+                rows, held = [], 0
+        if rows:
+            yield rows
+
+
 def _set_rows(k: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from accordance.llm.near_dup import set_id, shingle_sets, signature
-        from accordance.llm.words import chunks
+        from accordance.llm.near_dup import few, set_id, shingle_sets, signature
 
-        for rows in chunks(batches, 2):
+        for rows in few(batches):
             sets = shingle_sets([r[1] for r in rows], k)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -114,7 +139,8 @@ def _set_rows(k: int):
     return run
 
 
-_TREES = "key binary, set_id binary, low binary, component binary"
+_TREES = "key binary, cid long, low binary, component long"
+_PAIRS = "a long, b long"
 
 
 def _tree_rows(trees: int):
@@ -141,7 +167,7 @@ def _tree_rows(trees: int):
                         pa.array([x.tobytes() for x in key], pa.binary()), batch.column(0),
                         pa.array(short, pa.binary()), batch.column(2),
                     ],
-                    names=["key", "set_id", "low", "component"],
+                    names=["key", "cid", "low", "component"],
                 )
 
     return run
@@ -158,13 +184,13 @@ def _nearest(batches: Iterator) -> Iterator:
     last = None
     for batch in batches:
         a_out, b_out = [], []
-        for key, sid, low in zip(*(batch.column(k).to_pylist() for k in ("key", "set_id", "low"))):
+        for key, sid, low in zip(*(batch.column(k).to_pylist() for k in ("key", "cid", "low"))):
             mine = np.frombuffer(low, np.uint8)
             if last and last[0][:base] == key[:base] and (last[2] == mine).sum() >= nd.AGREE * nd.HASHES:
                 a_out.append(min(last[1], sid))
                 b_out.append(max(last[1], sid))
             last = (key, sid, mine)
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
 def _region(key: bytes, depth: int) -> bytes:
@@ -172,8 +198,8 @@ def _region(key: bytes, depth: int) -> bytes:
 
 
 def _neighbours(batches: Iterator) -> Iterator:
-    """Candidate pairs (a, b) of an ordered task that are not of one component yet; a null b
-    marks an unfinished region."""
+    """Candidate pairs (a, b) of an ordered task that are not of one component yet, and
+    unfinished regions."""
     import numpy as np
     import pyarrow as pa
 
@@ -182,20 +208,23 @@ def _neighbours(batches: Iterator) -> Iterator:
     base = 1 + 2 * nd.DEPTH
     region, keys, ids, lows, comps = None, [], [], [], []
     leaders: dict[int, tuple] = {}
-    a_out, b_out = [], []
+    a_out, b_out, regions = [], [], []
     first_region, crowded = None, False
 
     def flush():
         batch = pa.RecordBatch.from_arrays(
-            [pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"]
+            [
+                pa.array(a_out + [None] * len(regions), pa.int64()), pa.array(b_out + [None] * len(regions), pa.int64()),
+                pa.array([None] * len(a_out) + regions, pa.binary()),
+            ],
+            names=["a", "b", "region"],
         )
-        a_out.clear(), b_out.clear()
+        a_out.clear(), b_out.clear(), regions.clear()
         return batch
 
     def unfinished(r):
         if r is not None:
-            a_out.append(r)
-            b_out.append(None)
+            regions.append(r)
 
     for batch in batches:
         for key, sid, low, comp in zip(*(c.to_pylist() for c in batch.columns)):
@@ -258,7 +287,7 @@ def _bitmap(ids: DataFrame, column: str, bits: int = 26) -> bytes:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``set_id`` and ``shingles`` of the wanted classes, from one document of each.
+    """``cid`` and ``shingles`` of the wanted classes (``set_id``, ``doc_id``, ``cid``), from one document of each.
 
     A map of fixed size keeps most other texts from being read in Python; the join is exact.
     """
@@ -270,8 +299,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from accordance.llm.near_dup import set_id, shingle_sets
-        from accordance.llm.words import chunks
+        from accordance.llm.near_dup import few, set_id, shingle_sets
 
         known = np.frombuffer(shared.value, np.uint64)
 
@@ -281,7 +309,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 bit = (known[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
                 yield batch.filter(pa.array(bit == 1)).select([1, 2])
 
-        for rows in chunks(chosen(), 2):
+        for rows in few(chosen()):
             sets = shingle_sets([r[1] for r in rows], k)
             some = [(r[0], s) for r, s in zip(rows, sets) if len(s)]
             yield pa.RecordBatch.from_arrays(
@@ -295,7 +323,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
     sets = docs.select(slot.alias("slot"), "doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, shingles binary")
     # by set alone: a class may have no doc_id but null
-    return sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]).select("set_id", "shingles")
+    return sets.join(wanted.select("set_id", "cid"), "set_id").dropDuplicates(["set_id"]).select("cid", "shingles")
 
 
 def _confirm(percent: int):
@@ -313,39 +341,105 @@ def _confirm(percent: int):
                 if 100 * both >= percent * (len(one) + len(two) - both):
                     pairs.append((a, b))
         return pa.table(
-            {"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())}
+            {"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())}
         )
 
     return run
 
 
+def _sets_of(nodes: DataFrame, docs: DataFrame, carriers: DataFrame, k: int) -> DataFrame:
+    wanted = common.written(carriers.join(nodes, "cid", "left_semi").select("set_id", "doc_id", "cid"))
+    return common.written(_full_sets(docs, wanted, k))
+
+
 def _links(candidates: DataFrame, docs: DataFrame, carriers: DataFrame, k: int, percent: int) -> DataFrame:
     """The candidate pairs that are similar enough on their full sets.
 
     A class with many candidates is dealt over groups of 256 partners, each with its set.
     """
-    nodes = candidates.select(F.col("a").alias("set_id")).union(candidates.select("b")).distinct()
-    wanted = common.written(carriers.join(nodes, "set_id", "left_semi").select("set_id", "doc_id"))
-    sets = common.written(_full_sets(docs, wanted, k))
+    nodes = candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = _sets_of(nodes, docs, carriers, k)
     shares = candidates.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("shares"))
     salt = F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")
     right = (
         candidates.join(shares, "a").select("a", "b", salt.alias("salt"))
-        .join(sets.withColumnRenamed("set_id", "b"), "b").select("a", "salt", "b", "shingles")
+        .join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "shingles")
     )
-    left = shares.join(sets.withColumnRenamed("set_id", "a"), "a").select(
+    left = shares.join(sets.withColumnRenamed("cid", "a"), "a").select(
         "a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), "shingles"
     )
     left, right = left.toDF("of", "share", "one"), right.toDF("a", "salt", "b", "two")
     both = left.groupBy("of", "share").cogroup(right.groupBy("a", "salt"))
-    return both.applyInArrow(_confirm(percent), "a binary, b binary")
+    return both.applyInArrow(_confirm(percent), _PAIRS)
+
+
+def _weights(sets: DataFrame) -> bytes:
+    """How often shingles occur in the sets, by the last bits of their hash: `SLOTS` 32-bit counts."""
+    import numpy as np
+
+    slots = SLOTS
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0).slice(at, 256)]
+                slot, n = np.unique(np.concatenate(sets).astype(np.int64) & (slots - 1), return_counts=True)
+                total[slot] += n
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+
+    counts = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32).tobytes()
+
+
+def rarest(values, weights, percent: int):
+    """The rarest shingles of a set, so many that every set similar enough shares one of them.
+
+    Sets that are similar enough share at least ``percent`` of the larger one, so of n shingles in any
+    order all sets agree on, one of the first n - needed + 1 is shared.
+    """
+    import numpy as np
+
+    n = len(values)
+    order = np.lexsort((values, weights[values.astype(np.int64) & (len(weights) - 1)]))
+    return values[order[: n - -(-percent * n // 100) + 1]]
+
+
+def _entries(percent: int, shared):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from accordance.llm.near_dup import rarest
+
+        weights = np.frombuffer(shared.value, np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                found = [rarest(np.frombuffer(x.as_buffer(), np.uint64), weights, percent) for x in some.column(2)]
+                sizes = [len(x) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(some.column(0).to_numpy(), sizes)),
+                        pa.array(np.repeat(some.column(1).to_numpy(), sizes)),
+                    ],
+                    names=["shingle", "cid", "component"],
+                )
+
+    return run
 
 
 def _block_links(percent: int):
-    """Links between two blocks of a region (or within one) that join two components.
+    """Links between two blocks of a shingle (or within one) that join two components.
 
-    A pair is confirmed on its sets if the signatures agree enough and the two are not joined
-    by then; the pairs themselves never leave the task.
+    All pairs that are not joined by then are counted exactly; they never leave the task.
     """
 
     def run(_key, rows):
@@ -354,59 +448,74 @@ def _block_links(percent: int):
 
         from accordance.llm import near_dup as nd
 
-        side = np.asarray(rows.column("side").to_pylist())
-        ids = rows.column("set_id").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-        low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(len(ids), nd.HASHES)
-        _, group = np.unique(np.asarray(rows.column("component").to_pylist(), dtype=object), return_inverse=True)
-        group = group.astype(np.int64)
+        side, ids, group = (np.asarray(rows.column(c).to_pylist(), np.int64) for c in ("side", "cid", "component"))
+        data = rows.column("shingles").combine_chunks()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in data]
+        size = np.asarray([len(x) for x in sets], np.int64)
         one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         a_out, b_out = [], []
         for i in one:
-            agree = (low[two] == low[i]).sum(axis=1) >= nd.AGREE * nd.HASHES
-            for j in two[agree]:
-                if group[i] == group[j] or side[i] == 2 and i >= j:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    a_out.append(min(ids[i], ids[j]))
-                    b_out.append(max(ids[i], ids[j]))
-                    group[group == group[j]] = group[i]
-        return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+            open_ = two[
+                (group[two] != group[i]) & (100 * np.minimum(size[two], size[i]) >= percent * np.maximum(size[two], size[i]))
+                & ((side[i] != 2) | (two > i))
+            ]
+            step = max(1, nd.AT_ONCE // max(1, int(size[open_].max()))) if len(open_) else 1
+            for at in range(0, len(open_), step):
+                part = open_[at : at + step]
+                flat = np.concatenate([sets[j] for j in part])
+                where = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+                both = np.add.reduceat((sets[i][where] == flat).astype(np.int64), np.cumsum(size[part]) - size[part])
+                for j in part[100 * both >= percent * (size[part] + size[i] - both)]:
+                    if group[i] != group[j]:
+                        a_out.append(min(ids[i], ids[j]))
+                        b_out.append(max(ids[i], ids[j]))
+                        group[group == group[j]] = group[i]
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
     return run
 
 
 def _labelled(carriers: DataFrame, labels: DataFrame) -> DataFrame:
-    named = labels.withColumnRenamed("node", "set_id")
-    return carriers.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    named = labels.withColumnRenamed("node", "cid")
+    return carriers.join(named, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
 
-def _rest(
-    trees: DataFrame, regions: DataFrame, labels: DataFrame, docs: DataFrame, carriers: DataFrame, k: int, percent: int
-) -> DataFrame:
+def _rest(trees: DataFrame, regions: DataFrame, docs: DataFrame, carriers: DataFrame, k: int, percent: int) -> DataFrame:
     """Links in the unfinished regions that hold more than one component."""
-    rows = trees.select(F.substring("key", 1, 1 + 2 * DEPTH).alias("region"), "set_id", "low")
-    rows = rows.join(regions, "region", "left_semi")
-    named = labels.select(F.col("node").alias("set_id"), "component")
-    rows = rows.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    spark = docs.sparkSession
+    rows = trees.select(F.substring("key", 1, 1 + 2 * DEPTH).alias("region"), "cid", "component")
+    rows = common.written(rows.join(regions, "region", "left_semi"))
     mixed = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    rows = rows.join(mixed.select("region"), "region", "left_semi")
-    order = Window.partitionBy("region").orderBy("component", "set_id")
-    rows = common.written(rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)))
-    wanted = common.written(carriers.join(rows.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "doc_id"))
-    sets = common.written(_full_sets(docs, wanted, k))
-    blocks = rows.groupBy("region", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    other = blocks.select("region", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = blocks.join(other, "region").where("block <= other and not (lo = hi and lo2 = hi2 and lo = lo2)")
-    # side 2: a block with itself; 0 and 1: the two sides of a pair of blocks
-    ends = pairs.select(
-        "region", F.inline(F.when(
-            F.col("block") == F.col("other"), F.expr("array(named_struct('at', block, 'side', 2, 'i', block, 'j', other))")
-        ).otherwise(F.expr("array(named_struct('at', block, 'side', 0, 'i', block, 'j', other), named_struct('at', other, 'side', 1, 'i', block, 'j', other))"))),
+    nodes = common.written(rows.join(mixed, "region", "left_semi").select("cid", "component").distinct())
+    sets = _sets_of(nodes.select("cid"), docs, carriers, k)
+    shared = spark.sparkContext.broadcast(_weights(sets))
+    named = sets.join(nodes, "cid").select("cid", "component", "shingles")
+    entries = common.written(named.mapInArrow(_entries(percent, shared), "shingle long, cid long, component long"))
+    # a large component of a shingle has blocks of its own, small ones share theirs; nothing is
+    # compared where all are of one component
+    per = entries.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    small = F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0))
+    several = per.groupBy("shingle").agg(F.count(F.lit(1)).alias("components"), small.alias("small")).where("components > 1")
+    large = F.col("n") >= BLOCK
+    lanes = per.join(several, "shingle").select(
+        "shingle", "component", F.when(large, F.col("component")).otherwise(-1).alias("lane"),
+        F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / BLOCK).alias("shares"),
     )
-    dealt = ends.join(rows.withColumnRenamed("block", "at"), ["region", "at"]).join(sets, "set_id")
-    return dealt.groupBy("region", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary").distinct()
+    block = F.pmod(F.xxhash64(F.when(F.col("lane") < 0, F.col("component")).otherwise(F.col("cid"))), F.col("shares"))
+    dealt = common.written(
+        entries.join(lanes, ["shingle", "component"]).select("shingle", "cid", "component", F.struct("lane", block.alias("share")).alias("at"))
+    )
+    blocks = dealt.select("shingle", "at").distinct()
+    pairs = blocks.withColumnRenamed("at", "i").join(blocks.withColumnRenamed("at", "j"), "shingle")
+    pairs = pairs.where("i <= j and not (i.lane = j.lane and i.lane >= 0)")
+    # side 2: a block with itself; 0 and 1: the two sides of a pair of blocks
+    ends = pairs.select("shingle", "i", "j", F.explode(F.when(
+        F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("at"), F.lit(2).alias("side")))
+    ).otherwise(F.array(
+        F.struct(F.col("i").alias("at"), F.lit(0).alias("side")), F.struct(F.col("j").alias("at"), F.lit(1).alias("side"))
+    ))).alias("e")).select("shingle", "i", "j", F.col("e.at").alias("at"), F.col("e.side").alias("side"))
+    met = ends.join(dealt, ["shingle", "at"]).join(sets, "cid")
+    return met.groupBy("shingle", "i", "j").applyInArrow(_block_links(percent), _PAIRS).distinct()
 
 
 COLUMNS = ("doc_id", "n_shingles", "component_id", "kept")
@@ -422,33 +531,31 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     carriers = (
         sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     )
-    carriers = common.written(carriers)
+    carriers = common.written(carriers.withColumn("cid", F.monotonically_increasing_id()))
+
     def forest(classes: DataFrame, trees: int) -> DataFrame:
-        return classes.select("set_id", "signature", "component").mapInArrow(_tree_rows(trees), _TREES)
+        return classes.select("cid", "signature", "component").mapInArrow(_tree_rows(trees), _TREES)
 
     def ordered(rows: DataFrame) -> DataFrame:
         return rows.repartitionByRange(common.width(spark), "key").sortWithinPartitions("key")
 
     # the nearest neighbours of a few orders join most of a crowd before anything else is compared
-    alone = carriers.withColumn("component", F.col("set_id"))
-    near = common.written(ordered(forest(alone, FIRST)).mapInArrow(_nearest, "a binary, b binary").distinct())
-    links = common.written(_links(near, source, carriers, k, percent))
-    labels = components(links)
+    alone = carriers.withColumn("component", F.col("cid"))
+    near = common.written(ordered(forest(alone, FIRST)).mapInArrow(_nearest, _PAIRS).distinct())
+    labels = components(_links(near, source, carriers, k, percent))
     trees = forest(_labelled(carriers, labels), TREES)
-    found = common.written(ordered(trees).mapInArrow(_neighbours, "a binary, b binary"))
-    candidates = common.written(found.where("b is not null").distinct().join(near, ["a", "b"], "left_anti"))
+    found = common.written(ordered(trees).mapInArrow(_neighbours, f"{_PAIRS}, region binary"))
+    candidates = common.written(found.where("a is not null").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"))
     if not candidates.isEmpty():
-        links = common.written(links.union(_links(candidates, source, carriers, k, percent)))
-        labels = components(links)
-    regions = found.where("b is null").select(F.col("a").alias("region")).distinct()
-    more = common.written(_rest(trees, regions, labels, source, carriers, k, percent))
+        labels = components(labels.toDF("a", "b").union(_links(candidates, source, carriers, k, percent)))
+    regions = found.where("region is not null").select("region").distinct()
+    joined = forest(_labelled(carriers, labels), TREES)
+    more = common.written(_rest(joined, regions, source, carriers, k, percent))
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(labels.toDF("a", "b").union(more))
     # the class of each component, then its smallest document
-    named = carriers.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "set_id", "doc_id", F.coalesce("component", "set_id").alias("component")
-    )
-    return sets, named
+    return sets, _labelled(carriers, labels).select("set_id", "doc_id", "component")
+
 
 def find_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``.
