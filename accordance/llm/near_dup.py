@@ -429,8 +429,9 @@ def _entries(percent: int, shared):
                     [
                         pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(some.column(0).to_numpy(), sizes)),
                         pa.array(np.repeat(some.column(1).to_numpy(), sizes)),
+                        pa.array(np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])),
                     ],
-                    names=["shingle", "cid", "component"],
+                    names=["shingle", "cid", "component", "place"],
                 )
 
     return run
@@ -439,7 +440,9 @@ def _entries(percent: int, shared):
 def _block_links(percent: int):
     """Links between two blocks of a shingle (or within one) that join two components.
 
-    All pairs that are not joined by then are counted exactly; they never leave the task.
+    A pair is counted exactly unless it is joined by then or too little of its sets is left from
+    this shingle on (then it is no link, or shares a rarer shingle and is counted there).
+    Pairs never leave the task.
     """
 
     def run(_key, rows):
@@ -448,15 +451,17 @@ def _block_links(percent: int):
 
         from accordance.llm import near_dup as nd
 
-        side, ids, group = (np.asarray(rows.column(c).to_pylist(), np.int64) for c in ("side", "cid", "component"))
+        side, ids, group, place = (rows.column(c).to_numpy().astype(np.int64) for c in ("side", "cid", "component", "place"))
         data = rows.column("shingles").combine_chunks()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in data]
         size = np.asarray([len(x) for x in sets], np.int64)
+        left = size - place
         one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         a_out, b_out = [], []
         for i in one:
             open_ = two[
-                (group[two] != group[i]) & (100 * np.minimum(size[two], size[i]) >= percent * np.maximum(size[two], size[i]))
+                (group[two] != group[i])
+                & ((100 + percent) * np.minimum(left[two], left[i]) >= percent * (size[two] + size[i]))
                 & ((side[i] != 2) | (two > i))
             ]
             step = max(1, nd.AT_ONCE // max(1, int(size[open_].max()))) if len(open_) else 1
@@ -490,7 +495,7 @@ def _rest(trees: DataFrame, regions: DataFrame, docs: DataFrame, carriers: DataF
     sets = _sets_of(nodes.select("cid"), docs, carriers, k)
     shared = spark.sparkContext.broadcast(_weights(sets))
     named = sets.join(nodes, "cid").select("cid", "component", "shingles")
-    entries = common.written(named.mapInArrow(_entries(percent, shared), "shingle long, cid long, component long"))
+    entries = common.written(named.mapInArrow(_entries(percent, shared), "shingle long, cid long, component long, place long"))
     # a large component of a shingle has blocks of its own, small ones share theirs; nothing is
     # compared where all are of one component
     per = entries.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -503,7 +508,7 @@ def _rest(trees: DataFrame, regions: DataFrame, docs: DataFrame, carriers: DataF
     )
     block = F.pmod(F.xxhash64(F.when(F.col("lane") < 0, F.col("component")).otherwise(F.col("cid"))), F.col("shares"))
     dealt = common.written(
-        entries.join(lanes, ["shingle", "component"]).select("shingle", "cid", "component", F.struct("lane", block.alias("share")).alias("at"))
+        entries.join(lanes, ["shingle", "component"]).select("shingle", "cid", "component", "place", F.struct("lane", block.alias("share")).alias("at"))
     )
     blocks = dealt.select("shingle", "at").distinct()
     pairs = blocks.withColumnRenamed("at", "i").join(blocks.withColumnRenamed("at", "j"), "shingle")
