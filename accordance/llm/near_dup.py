@@ -547,12 +547,13 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     # the nearest neighbours of a few orders join most of a crowd before anything else is compared
     alone = carriers.withColumn("component", F.col("cid"))
     near = common.written(ordered(forest(alone, FIRST)).mapInArrow(_nearest, _PAIRS).distinct())
-    labels = components(_links(near, source, carriers, k, percent))
+    # written first: a task never holds two Python workers, one for the links and one for their components
+    labels = components(common.written(_links(near, source, carriers, k, percent)))
     trees = forest(_labelled(carriers, labels), TREES)
     found = common.written(ordered(trees).mapInArrow(_neighbours, f"{_PAIRS}, region binary"))
     candidates = common.written(found.where("a is not null").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"))
     if not candidates.isEmpty():
-        labels = components(labels.toDF("a", "b").union(_links(candidates, source, carriers, k, percent)))
+        labels = components(labels.toDF("a", "b").union(common.written(_links(candidates, source, carriers, k, percent))))
     regions = found.where("region is not null").select("region").distinct()
     joined = forest(_labelled(carriers, labels), TREES)
     more = common.written(_rest(joined, regions, source, carriers, k, percent))
