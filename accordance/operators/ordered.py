@@ -97,17 +97,19 @@ def within_groups(
     seq: str = "seq",
     prev: str | Sequence[str] = "prev_value",
     size: str | None = None,
+    cut: Sequence | None = None,
 ) -> DataFrame:
     """Row number inside each group and the values of earlier rows, hot groups included.
 
     ``prev`` names the value of the row before, or those of several rows before, nearest first. ``size`` names
     the number of rows of the group. All come from one pass over one shuffle: a group that lies in one slice is settled
-    there, and of one that crosses borders each slice gets what the others hold.
+    there, and of one that crosses borders each slice gets what the others hold. ``cut`` is a coarser form of ``order``
+    for the slices alone, for instance the beginnings of long texts: it must never descend where ``order`` ascends.
     """
     names = [] if value is None else [prev] if isinstance(prev, str) else list(prev)
     reach = max(1, len(names))
     held = df.withColumn("_value", F.lit(None).cast("int") if value is None else F.col(value))
-    rows = sliced(held, [group, *order]).repartition(shuffle_width(df.sparkSession), "_slice")
+    rows = sliced(held, [group, *(order if cut is None else cut)]).repartition(shuffle_width(df.sparkSession), "_slice")
     inside = Window.partitionBy("_slice").orderBy(col(group), *[col(c) for c in order])
     rows = rows.withColumns({
         "_place": F.row_number().over(inside),
