@@ -6,9 +6,11 @@ turns that fit a budget. Every window after the first repeats the system turn an
 turns before it, as far as they fit a limited history. The loss mask covers the text of
 assistant turns in the window that owns them, never a repeated one.
 
-A conversation is laid out in groups of at most `GROUP` turns, and only a group is ever an
-array, so a conversation that holds a third of all rows spreads over many tasks; groups
-learn about the one before them from a row per group. A window also ends where its group
+Turns are numbered over slices of their full order, so neither a conversation that holds a
+third of all rows nor one turn number that many rows share meets in one task, and what numbers the turns carry
+does not matter. A conversation is laid out in blocks of `GROUP` turns by position, and only a
+block is ever an array; a block learns about the one before it from a row per block, and only
+conversations of several blocks take part in that. A window also ends where its block
 ends. A turn that alone passes the budget is a window of its own and is flagged.
 """
 
@@ -16,11 +18,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from accordance.llm import common
+from accordance.operators.ordered import within_groups
 
 BUDGET, HISTORY, GROUP = 2048, 256, 256
+#: Characters of a text by which slices are cut; the order itself is that of whole texts.
+_BEGINNING = 64
 #: Control strings and what stands for them inside texts. The escape sign comes first.
 ESCAPES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"))
 OPEN, CLOSE = "### ", "</turn>\n"
@@ -115,10 +119,31 @@ def _spans(context: Column, turns: Column) -> Column:
     return F.aggregate(turns, state, step)["spans"]
 
 
+def slice_order() -> list:
+    """The order of turns by beginnings of texts, so that the cuts stay small however long texts are."""
+    # a role that is cut off says nothing about the texts behind it
+    text = F.when(F.length("role") < _BEGINNING, F.left("text", F.lit(_BEGINNING))).otherwise("")
+    return ["turn", F.left("role", F.lit(_BEGINNING)), text]
+
+
+def _blocks(conversations: DataFrame, tokens) -> DataFrame:
+    """``conv_id``, ``block`` and ``turns``: `GROUP` turns each, by their position, as a written table."""
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    placed = within_groups(rows, "conv_id", ["turn", "role", "text"], seq="rn", cut=slice_order())
+    turn = F.struct(
+        "rn", "piece", tokens(F.col("piece")).alias("tokens"), (F.col("role") == "system").alias("is_system"),
+        (F.col("role") == "assistant").alias("is_target"),
+    )
+    block = F.floor((F.col("rn") - 1) / GROUP).cast("long").alias("block")
+    shown = placed.select("conv_id", block, "rn", "role", _piece(F.col("role"), F.col("text")).alias("piece"))
+    return common.written(shown.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(turn)).alias("turns")))
+
+
 def format_windows(
     conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=byte_tokens
 ) -> DataFrame:
-    """Windows: ``conv_id``, ``block``, ``part``, ``window`` (their order), ``n_turns``, ``n_repeated``
+    """Windows: ``conv_id``, ``block``, ``window`` (their order), ``n_turns``, ``n_repeated``
     (turns at the head that are only context), ``text``, ``loss_spans``, ``n_tokens``, ``over_budget``.
 
     Turns are ordered by turn (null first), then role, then text; repeated rows are repeated
@@ -126,58 +151,46 @@ def format_windows(
     the first turn if its role is ``system``; where it leaves no room, every window holds
     one turn. Other columns are not read. An empty table gives no windows.
     """
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    heads = (
-        rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("h"))
-        .select(
-            F.col("conv_id").alias("_conv"),
-            F.when(F.col("h.role") == "system", _piece(F.col("h.role"), F.col("h.text"))).alias("system"),
-        )
-    )
-    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    placed = rows.withColumn("block", F.floor(F.col("turn") / GROUP)).withColumn("rn", F.row_number().over(order))
-    piece = _piece(F.col("role"), F.col("text"))
-    groups = (
-        placed.select("conv_id", "block", F.floor((F.col("rn") - 1) / GROUP).alias("part"), "rn", "role", piece.alias("piece"))
-        .groupBy("conv_id", "block", "part")
-        .agg(F.sort_array(F.collect_list(F.struct(
-            "rn", "piece", tokens(F.col("piece")).alias("tokens"), (F.col("role") == "system").alias("is_system"),
-            (F.col("role") == "assistant").alias("is_target"),
-        ))).alias("turns"))
-    )
+    blocks = _blocks(conversations, tokens)
     # only the first turn is the system turn; the same role further on is an ordinary turn
-    by_group = Window.partitionBy("conv_id").orderBy("block", "part")
-    sized = groups.join(heads, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
-    capacity = F.lit(budget - history) - F.coalesce(tokens(F.col("system")), F.lit(0))
-    sized = sized.withColumn("starts", _starts(F.col("turns"), capacity))
+    first = F.get("turns", F.lit(0))
+    head = F.when((F.col("block") == 0) & first["is_system"], first["piece"])
+    lone = (F.col("block") == 0) & (F.size("turns") < GROUP)
+    several = blocks.where(~lone)
+
+    def same(right: DataFrame) -> Column:
+        return F.col("conv_id").eqNullSafe(right["_conv"]) & (F.col("block") == right["_block"])
+
+    def with_starts(rows: DataFrame) -> DataFrame:
+        capacity = F.lit(budget - history) - F.coalesce(tokens(F.col("system")), F.lit(0))
+        return rows.withColumn("starts", _starts(F.col("turns"), capacity))
+
+    heads = several.select(F.col("conv_id").alias("_of"), head.alias("system")).where("system is not null")
+    told = several.select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"))
+    told = told.join(heads, F.col("_conv").eqNullSafe(F.col("_of"))).drop("_of")
+    sized = with_starts(several.join(told, same(told), "left").drop("_conv", "_block"))
     last = F.slice("turns", F.element_at("starts", -1), F.size("turns"))
     before = sized.select(
-        F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), F.col("part").alias("_part"),
-        F.lag(_tail(last, history)).over(by_group).alias("before"),
-        (F.row_number().over(by_group) == 1).alias("opening"),
+        F.col("conv_id").alias("_conv"), (F.col("block") + 1).alias("_block"), _tail(last, history).alias("before")
     )
-    same = (
-        F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("block").eqNullSafe(F.col("_block"))
-        & (F.col("part") == F.col("_part"))
-    )
-    joined = sized.join(before, same).drop("_conv", "_block", "_part")
+    joined = sized.join(before, same(before), "left").drop("_conv", "_block")
+    alone = with_starts(blocks.where(lone).withColumn("system", head)).withColumn("before", F.lit(None).cast("array<string>"))
     ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("turns") + 1))
     spans = F.transform(F.arrays_zip(F.col("starts").alias("i"), ends.alias("j")), lambda s: F.slice("turns", s["i"], s["j"] - s["i"]))
-    windows = joined.withColumn("spans", spans).select(
-        "conv_id", "block", "part", "system", "opening", "before", "spans", F.posexplode("spans").alias("window", "own"),
+    windows = joined.unionByName(alone).withColumn("spans", spans).select(
+        "conv_id", "block", "system", "before", "spans", F.posexplode("spans").alias("window", "own"),
     )
     past = F.when(F.col("window") == 0, F.coalesce("before", F.array().cast("array<string>"))).otherwise(
         _tail(F.element_at("spans", F.greatest("window", F.lit(1))), history)
     )
-    whole = F.col("opening") & (F.col("window") == 0)
+    whole = (F.col("block") == 0) & (F.col("window") == 0)
     context = F.when(whole, F.array().cast("array<string>")).otherwise(
         F.concat(F.when(F.col("system").isNull(), F.array().cast("array<string>")).otherwise(F.array("system")), past)
     )
     shaped = windows.withColumn("context", context)
     text = F.concat(F.array_join("context", ""), F.array_join(F.transform("own", lambda x: x["piece"]), ""))
     out = shaped.select(
-        "conv_id", "block", "part", "window", F.size("own").alias("n_turns"), F.size("context").alias("n_repeated"),
+        "conv_id", "block", "window", F.size("own").alias("n_turns"), F.size("context").alias("n_repeated"),
         text.alias("text"), _spans(F.col("context"), F.col("own")).alias("loss_spans"),
     )
     return out.withColumn("n_tokens", tokens(F.col("text"))).withColumn("over_budget", F.col("n_tokens") > budget)
@@ -206,26 +219,20 @@ def read_targets(text: Column, spans: Column) -> Column:
 def digests(conversations: DataFrame) -> DataFrame:
     """Per conversation what its windows hold, read back from them.
 
-    A digest of a whole conversation needs its texts in one place; nothing else does.
+    A digest of a whole conversation needs its texts in one place; nothing else does. They travel
+    as windows and are read where they meet. Nulls, repeats and empty tables are as in `format_windows`.
     """
-    lines = F.transform(
-        read_turns(F.col("text"), F.col("n_repeated")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
-    )
-    rows = format_windows(conversations).select(
-        "conv_id",
-        F.struct(
-            "block", "part", "window", F.array_join(lines, "").alias("turns"),
-            F.array_join(read_targets(F.col("text"), F.col("loss_spans")), "").alias("loss"),
-        ).alias("w"),
-        F.size(lines).alias("n"), F.length("text").alias("chars"),
-    )
-    gathered = rows.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list("w")).alias("w"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars")
+    rows = format_windows(conversations).select("conv_id", F.struct("block", "window", "n_repeated", "text", "loss_spans").alias("w"))
+    gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"))
+    lines = F.flatten(F.transform("w", lambda x: read_turns(x["text"], x["n_repeated"])))
+    loss = F.array_join(F.flatten(F.transform("w", lambda x: read_targets(x["text"], x["loss_spans"]))), "")
+    read = gathered.select(
+        "conv_id", F.transform(lines, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))).alias("lines"),
+        loss.alias("loss"), F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"])).alias("formatted_chars"),
     )
-    loss = F.array_join(F.col("w.loss"), "")
-    return gathered.select(
-        "conv_id", "n_turns", F.sha2(F.array_join(F.col("w.turns"), ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    return read.select(
+        "conv_id", F.size("lines").cast("long").alias("n_turns"), F.sha2(F.array_join("lines", ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
     )
 
 
@@ -250,40 +257,38 @@ shaped AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
          '### ' || CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
            ELSE '\=' || replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c') END
-         || ': ' || replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') || '</turn>' || chr(10) AS piece,
-         turn // {GROUP} AS block,
-         row_number() OVER (PARTITION BY conv_id, turn // {GROUP} ORDER BY turn, role, text) AS rn
+         || ': ' || replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') || '</turn>' || chr(10) AS piece
   FROM given),
 head AS (
   SELECT conv_id, piece AS system FROM shaped WHERE place = 1 AND role = 'system'),
 sized AS (
-  SELECT s.conv_id, s.block, (rn - 1) // {GROUP} AS part, place, (rn - 1) % {GROUP} + 1 AS i, s.role, s.piece,
+  SELECT s.conv_id, (place - 1) // {GROUP} AS block, place, (place - 1) % {GROUP} + 1 AS i, s.role, s.piece,
          length(s.piece) AS chars, (strlen(s.piece) + 3) // 4 AS tokens,
          {BUDGET - HISTORY} - coalesce((strlen(h.system) + 3) // 4, 0) AS capacity, coalesce(length(h.system), 0) AS system_chars
   FROM shaped s LEFT JOIN head h USING (conv_id)),
 summed AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY conv_id, block, part ORDER BY i) AS after FROM sized),
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id, block ORDER BY i) AS after FROM sized),
 starts AS (
-  SELECT conv_id, block, part, 1::BIGINT AS i, 0::HUGEINT AS base, capacity FROM summed WHERE i = 1
+  SELECT conv_id, block, 1::BIGINT AS i, 0::HUGEINT AS base, capacity FROM summed WHERE i = 1
   UNION ALL
-  SELECT n.conv_id, n.block, n.part, n.i, s.after - s.tokens, n.capacity FROM (
-    SELECT t.conv_id, t.block, t.part, min(s.i) AS i, any_value(t.capacity) AS capacity
-    FROM starts t JOIN summed s ON s.conv_id = t.conv_id AND s.block = t.block AND s.part = t.part
+  SELECT n.conv_id, n.block, n.i, s.after - s.tokens, n.capacity FROM (
+    SELECT t.conv_id, t.block, min(s.i) AS i, any_value(t.capacity) AS capacity
+    FROM starts t JOIN summed s ON s.conv_id = t.conv_id AND s.block = t.block
      AND s.i > t.i AND s.after - t.base > t.capacity
-    GROUP BY t.conv_id, t.block, t.part, t.i) n
-  JOIN summed s ON s.conv_id = n.conv_id AND s.block = n.block AND s.part = n.part AND s.i = n.i),
+    GROUP BY t.conv_id, t.block, t.i) n
+  JOIN summed s ON s.conv_id = n.conv_id AND s.block = n.block AND s.i = n.i),
 windows AS (
   SELECT s.*, max(t.i) AS w FROM summed s JOIN starts t
-    ON s.conv_id = t.conv_id AND s.block = t.block AND s.part = t.part AND t.i <= s.i
+    ON s.conv_id = t.conv_id AND s.block = t.block AND t.i <= s.i
   GROUP BY ALL),
 tails AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY conv_id, block, part, w ORDER BY i DESC) AS behind FROM windows),
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id, block, w ORDER BY i DESC) AS behind FROM windows),
 sums AS (
-  SELECT conv_id, block, part, w, sum(chars) AS own, any_value(system_chars) AS system_chars,
+  SELECT conv_id, block, w, sum(chars) AS own, any_value(system_chars) AS system_chars,
          coalesce(sum(chars) FILTER (WHERE behind <= {HISTORY} AND role <> 'system'), 0) AS tail
-  FROM tails GROUP BY conv_id, block, part, w),
+  FROM tails GROUP BY conv_id, block, w),
 seen AS (
-  SELECT conv_id, own + coalesce(lag(tail + system_chars) OVER (PARTITION BY conv_id ORDER BY block, part, w), 0) AS chars FROM sums),
+  SELECT conv_id, own + coalesce(lag(tail + system_chars) OVER (PARTITION BY conv_id ORDER BY block, w), 0) AS chars FROM sums),
 formatted AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM seen GROUP BY conv_id),
 plain AS (
   SELECT conv_id, count(*) AS n_turns,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from accordance.llm import chat, common, vectors
 from accordance.llm.registry import all_queries
+from accordance.operators.ordered import sliced
 from tests.llm import brute
 from tests.oracle import compare, connect
 
@@ -45,7 +46,7 @@ def test_conversations_read_back(spark):
 
 def test_windows_keep_to_the_budget(spark):
     rows = [r for r in odd_turns() if r[0] == 1]
-    windows = chat.format_windows(turns(spark, rows)).orderBy("block", "part", "window").collect()
+    windows = chat.format_windows(turns(spark, rows)).orderBy("block", "window").collect()
     assert len(windows) > 3 and sum(w["n_turns"] for w in windows) == len(rows)
     for k, w in enumerate(windows):
         assert w["n_tokens"] <= chat.BUDGET + w["n_turns"] and not (w["over_budget"] and w["n_turns"] > 1)
@@ -59,6 +60,32 @@ def test_windows_keep_to_the_budget(spark):
     assert chat.digests(turns(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("step", [0, 1, 1000])
+def test_windows_do_not_depend_on_the_numbers_of_turns(spark, step):
+    """Turns numbered alike, in steps of one and in steps of a thousand; a conversation of three blocks beside short ones."""
+    rows = [(None if c == 2 else c, step * k, "user", f"{k:04d} some words") for c, n in ((1, 20), (2, 600), (3, 1)) for k in range(n)]
+    windows = chat.format_windows(turns(spark, rows)).orderBy("conv_id", "block", "window").collect()
+    shape = {c: [(w["block"], w["n_turns"]) for w in windows if w["conv_id"] == c] for c in (1, None, 3)}
+    assert shape[1] == [(0, 20)] and shape[3] == [(0, 1)]
+    assert sum(n for _, n in shape[None]) == 600 and {b for b, _ in shape[None]} == {0, 1, 2}
+    # a turn has 33 bytes, so 9 tokens: 199 fit 2048 - 256 and 28 the history; a window ends with its block
+    assert shape[None] == [(0, 199), (0, 57), (1, 199), (1, 57), (2, 88)]
+    long = [w for w in windows if w["conv_id"] is None]
+    assert [w["n_repeated"] for w in long] == [0, 28, 28, 28, 28]
+    own = "".join("".join(x + "</turn>\n" for x in w["text"].split("</turn>\n")[w["n_repeated"] : -1]) for w in long)
+    assert own == "".join(f"### User: {k:04d} some words</turn>\n" for k in range(600))
+
+
+def test_a_hot_conversation_spreads(spark):
+    """One conversation, one turn number: its turns are numbered in many tasks."""
+    rows = [(1, 7, "user", f"text {k}") for k in range(4000)]
+    by = ["conv_id", *chat.slice_order()]
+    sizes = [r["count"] for r in sliced(turns(spark, rows), by).groupBy("_slice").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < len(rows) / 2
+    windows = chat.format_windows(turns(spark, rows)).collect()
+    assert sum(w["n_turns"] for w in windows) == 4000 and max(w["block"] for w in windows) == 15
+
+
 def links(x, labels, least):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (unit @ unit.T >= least) & (labels[:, None] == labels[None, :])
