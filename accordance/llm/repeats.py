@@ -36,11 +36,19 @@ _AT_ONCE = 2048
 _POSITION = 31
 
 
-def text_key(doc_id, raw: bytes) -> int:
-    """Tells apart rows that share a doc_id."""
-    import zlib
+def text_keys(ids: list, raw: list[bytes]):
+    """128 bits of each row's id and text, as two columns: what tells rows apart, with an id or without.
 
-    return zlib.crc32(raw, 0 if doc_id is not None else 1) - (1 << 31)
+    Rows equal in both share their key, and their spans."""
+    import hashlib
+
+    import numpy as np
+
+    digest = hashlib.blake2b
+    # the id in front of the text, with a mark that no number has where there is none
+    keys = [digest(b"-" + r if i is None else b"%d:" % i + r, digest_size=16).digest() for i, r in zip(ids, raw)]
+    both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 class Anchors:
@@ -107,19 +115,18 @@ def _raw_chunks(batches, chunk: int = 1 << 19):
         yield ids, raw
 
 
-_ANCHORS = "doc long, variant int, s int, e int, gram long, reach long"
+_ANCHORS = "doc long, variant long, s int, e int, gram long, reach long"
 
 
 def _anchor_rows(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    from accordance.llm.repeats import Anchors, _raw_chunks, text_key
+    from accordance.llm.repeats import Anchors, _raw_chunks, text_keys
 
     for ids, raw in _raw_chunks(batches):
         x = Anchors(raw)
-        doc = np.asarray([i or 0 for i in ids], np.int64)
-        variant = np.asarray([text_key(i, r) for i, r in zip(ids, raw)], np.int32)
+        doc, variant = text_keys(ids, raw)
         base = x.first[x.text]
         yield pa.RecordBatch.from_arrays(
             [
@@ -152,7 +159,7 @@ def in_map(data: bytes, values):
     return ((table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-_REACH = "gram long, crowded boolean, doc long, variant int, s int, bytes binary"
+_REACH = "gram long, crowded boolean, doc long, variant long, s int, bytes binary"
 
 
 def _reach_rows(shared):
@@ -162,7 +169,7 @@ def _reach_rows(shared):
         import numpy as np
         import pyarrow as pa
 
-        from accordance.llm.repeats import Anchors, _raw_chunks, in_map, text_key
+        from accordance.llm.repeats import Anchors, _raw_chunks, in_map, text_keys
 
         mixed, full, crowd = shared.value
         for ids, raw in _raw_chunks(batches):
@@ -176,11 +183,11 @@ def _reach_rows(shared):
             k = k[keep]
             base = x.first[x.text[k]]
             data = x.data.tobytes()
+            doc, variant = text_keys(ids, raw)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(x.gram[k].view(np.int64)), pa.array(in_map(crowd, x.gram[k])),
-                    pa.array([ids[t] or 0 for t in x.text[k].tolist()], pa.int64()),
-                    pa.array([text_key(ids[t], raw[t]) for t in x.text[k].tolist()], pa.int32()),
+                    pa.array(doc[x.text[k]]), pa.array(variant[x.text[k]]),
                     pa.array((x.s[k] - base).astype(np.int32)),
                     pa.array([data[i : j + LENGTH] for i, j in zip(x.s[k].tolist(), x.e[k].tolist())], pa.binary()),
                 ],
@@ -205,7 +212,7 @@ def _strings(blobs: list[bytes]):
     return span_hashes(sums, start, start + LENGTH), blob, start - first[blob]
 
 
-_SPANS = "doc long, variant int, s int, e int"
+_SPANS = "doc long, variant long, s int, e int"
 
 
 def _spans(doc, variant, s, blob, offset):
@@ -237,7 +244,7 @@ def _refine(batches: Iterator) -> Iterator:
     held: list[tuple] = []
 
     def part(rows, h, blob, offset, repeated):
-        doc, variant, s = (np.asarray([r[k] for r in rows], t) for k, t in ((1, np.int64), (2, np.int32), (3, np.int64)))
+        doc, variant, s = (np.asarray([r[k] for r in rows], t) for k, t in ((1, np.int64), (2, np.int64), (3, np.int64)))
         return _spans(doc, variant, s, blob[repeated], offset[repeated])
 
     def settle(rows):
@@ -267,7 +274,7 @@ def _refine(batches: Iterator) -> Iterator:
 
 
 def _string_rows(batches: Iterator) -> Iterator:
-    """Every string of crowded buckets by its hash."""
+    """Every string of crowded buckets by its bucket and hash."""
     import numpy as np
     import pyarrow as pa
 
@@ -277,16 +284,19 @@ def _string_rows(batches: Iterator) -> Iterator:
         for row in range(0, batch.num_rows, 2048):
             part = batch.slice(row, 2048)
             h, blob, offset = _strings(part.column("bytes").to_pylist())
-            doc, variant, s = (part.column(k).to_numpy() for k in ("doc", "variant", "s"))
+            gram, doc, variant, s = (part.column(k).to_numpy() for k in ("gram", "doc", "variant", "s"))
             at = (s[blob] + offset).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(doc[blob]), pa.array(variant[blob]), pa.array(at), pa.array(at + np.int32(LENGTH))],
-                names=["h", "doc", "variant", "s", "e"],
+                [
+                    pa.array(gram[blob]), pa.array(h.view(np.int64)), pa.array(doc[blob]), pa.array(variant[blob]), pa.array(at),
+                    pa.array(at + np.int32(LENGTH)),
+                ],
+                names=["gram", "h", "doc", "variant", "s", "e"],
             )
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``doc``, ``variant``, ``s``, ``e``: byte spans, not merged, that consist of repeated strings.
+    """``doc``, ``variant`` (see `text_keys`), ``s``, ``e``: byte spans, not merged, that consist of repeated strings.
 
     ``docs`` has doc_id and text.
     """
@@ -303,9 +313,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     reach = common.written(docs.mapInArrow(_reach_rows(shared), _REACH))
     calm = reach.where("not crowded").drop("crowded")
     calm = calm.repartition(common.width(spark), "gram").sortWithinPartitions("gram").mapInArrow(_refine, _SPANS)
-    strings = reach.where("crowded").mapInArrow(_string_rows, f"h long, {_SPANS}")
-    twice = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    crowded = strings.join(twice, "h", "left_semi").select("doc", "variant", "s", "e")
+    strings = reach.where("crowded").mapInArrow(_string_rows, f"gram long, h long, {_SPANS}")
+    twice = strings.groupBy("gram", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "h")
+    crowded = strings.join(twice, ["gram", "h"], "left_semi").select("doc", "variant", "s", "e")
     return whole.union(calm).union(crowded)
 
 
@@ -324,23 +334,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     common.ship(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of("text").alias("text"))
     spans = common.written(repeated_spans(source))
-    some = spark.sparkContext.broadcast(fixed_map(spans.select(F.xxhash64("doc").alias("k")), "k"))
+    some = spark.sparkContext.broadcast(fixed_map(spans, "doc"))
 
     def keyed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from accordance.llm.repeats import in_map, text_key
+        from accordance.llm.repeats import in_map, text_keys
 
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 part = batch.slice(row, 512)
-                ids, texts = part.column(1).to_pylist(), [t.encode() for t in part.column(2).to_pylist()]
+                texts = [t.encode() for t in part.column(1).to_pylist()]
+                doc, variant = text_keys(part.column(0).to_pylist(), texts)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(1), pa.array([i or 0 for i in ids], pa.int64()),
-                        pa.array([text_key(i, t) for i, t in zip(ids, texts)], pa.int32()),
-                        pa.array(in_map(some.value, part.column(0).to_numpy())), pa.array(texts, pa.binary()),
-                    ],
+                    [part.column(0), pa.array(doc), pa.array(variant), pa.array(in_map(some.value, doc)), pa.array(texts, pa.binary())],
                     names=["doc_id", "doc", "variant", "may", "raw"],
                 )
 
@@ -366,9 +373,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    keyed_rows = source.select(F.xxhash64(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("k"), "doc_id", "text").mapInArrow(
-        keyed, "doc_id long, doc long, variant int, may boolean, raw binary"
-    )
+    keyed_rows = source.mapInArrow(keyed, "doc_id long, doc long, variant long, may boolean, raw binary")
     by_doc = spans.groupBy("doc", "variant").agg(F.collect_set(F.struct("s", "e")).alias("found"))
     untouched = keyed_rows.where("not may").select("doc_id", "raw", F.lit(None).cast("array<struct<s:int,e:int>>").alias("found"))
     touched = keyed_rows.where("may").join(by_doc, ["doc", "variant"], "left").select("doc_id", "raw", "found")

@@ -232,5 +232,29 @@ def test_repeats_equal_brute_force(spark, rows, documents, monkeypatch, crowded)
     assert rows(repeats.digests(frame(spark, data))) == sorted(brute.repeats(data), key=repr)
 
 
+def test_repeats_of_rows_whose_checksums_clash(spark, rows):
+    """Texts without an id, or with one id, that a 32-bit checksum takes for one."""
+    import random
+    import zlib
+
+    pick, seen, pairs = random.Random(5), {}, []
+    while len(pairs) < 2:
+        text = "".join(pick.choices("abcdefgh ", k=12))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            pairs.append((other, text))
+    shared = "".join(pick.choices("klmnop ", k=260))
+    # behind equal checksums the same text keeps them equal, so one row of a pair holds what a third repeats
+    data = [(i, t, "clash", "xx", 1) for i, pair in zip((None, 4), pairs) for t in pair]
+    data += [(None, pairs[0][0] + shared, "clash", "xx", 1), (None, pairs[0][1] + shared[:230], "clash", "xx", 1), (4, shared, "clash", "xx", 1), (4, pairs[1][0], "clash", "xx", 1)]
+    assert rows(repeats.digests(frame(spark, data))) == sorted(brute.repeats(data), key=repr)
+
+
+def test_text_keys_tell_ids_and_texts_apart():
+    given = [(None, b"1"), (1, b""), (1, b"1"), (11, b""), (None, b""), (None, b"-"), (-1, b""), (0, b""), (1, b"1")]
+    keys = list(zip(*(x.tolist() for x in repeats.text_keys([i for i, _ in given], [r for _, r in given]))))
+    assert len(set(keys)) == len(given) - 1 and keys[2] == keys[-1]
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.digests(frame(spark, [])).count() == 0
