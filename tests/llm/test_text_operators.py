@@ -244,10 +244,14 @@ def test_repeats_of_rows_whose_checksums_clash(spark, rows):
         if other != text:
             pairs.append((other, text))
     shared = "".join(pick.choices("klmnop ", k=260))
-    # behind equal checksums the same text keeps them equal, so one row of a pair holds what a third repeats
-    data = [(i, t, "clash", "xx", 1) for i, pair in zip((None, 4), pairs) for t in pair]
-    data += [(None, pairs[0][0] + shared, "clash", "xx", 1), (None, pairs[0][1] + shared[:230], "clash", "xx", 1), (4, shared, "clash", "xx", 1), (4, pairs[1][0], "clash", "xx", 1)]
-    assert rows(repeats.digests(frame(spark, data))) == sorted(brute.repeats(data), key=repr)
+    # equal checksums stay equal in front of one text; only the first of a pair begins with what another row repeats
+    data = []
+    for i, (one, two) in zip((None, 4), pairs):
+        assert zlib.crc32((one + shared).encode()) == zlib.crc32((two + shared).encode())
+        data += [(i, one + shared), (i, two + shared), (9, one + shared[:190])]
+    expected = brute.repeats(data)
+    assert expected[0][2] == 272 > expected[1][2]
+    assert rows(repeats.digests(frame(spark, data))) == sorted(expected, key=repr)
 
 
 def test_text_keys_tell_ids_and_texts_apart():
