@@ -375,9 +375,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     keyed_rows = source.mapInArrow(keyed, "doc_id long, doc long, variant long, may boolean, raw binary")
     by_doc = spans.groupBy("doc", "variant").agg(F.collect_set(F.struct("s", "e")).alias("found"))
-    untouched = keyed_rows.where("not may").select("doc_id", "raw", F.lit(None).cast("array<struct<s:int,e:int>>").alias("found"))
+    # no second worker for rows that stay whole
+    none = F.lit(0).cast("long")
+    untouched = keyed_rows.where("not may").select(
+        "doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("raw").alias("kept")
+    )
     touched = keyed_rows.where("may").join(by_doc, ["doc", "variant"], "left").select("doc_id", "raw", "found")
-    return untouched.mapInArrow(cut, _CUT).union(touched.mapInArrow(cut, _CUT))
+    return untouched.union(touched.mapInArrow(cut, _CUT))
 
 
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
