@@ -1,4 +1,8 @@
-"""Connected components of a graph of links, by alternating stars."""
+"""Connected components of a graph of links, by alternating stars.
+
+A task takes in about `AT_ONCE` links and reduces them to stars, so few links need one round in
+few tasks, whatever the number of shuffle partitions; more links need more tasks and further rounds.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,9 @@ from pyspark.sql import functions as F
 
 from accordance.llm import common
 
+#: Links of a task; their nodes fit the memory of `_forest` together.
+AT_ONCE = 1 << 18
+
 
 def _forest(batches: Iterator) -> Iterator:
     """Links of one task reduced to stars; a link that adds nothing is left out."""
@@ -56,13 +63,21 @@ def components(links: DataFrame) -> DataFrame:
     common.ship(links.sparkSession)
     a, b = links.columns
     pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    kind = pairs.schema["u"].dataType.simpleString()
-    edges = common.written(pairs.mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
-    while not _are_stars(edges):
-        edges = common.written(_small(_large(edges)).mapInArrow(_forest, f"u {kind}, v {kind}").distinct())
+    edges, tasks = _reduced(pairs)
+    # the links of one task are stars
+    while tasks > 1 and not _are_stars(edges):
+        edges, tasks = _reduced(common.written(_small(_large(edges))))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def _reduced(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """Stars of the links of each task, written, and how many tasks that were; ``pairs`` is read twice."""
+    kind = pairs.schema["u"].dataType.simpleString()
+    tasks = max(1, -(-pairs.count() // AT_ONCE))
+    stars = pairs.coalesce(tasks).mapInArrow(_forest, f"u {kind}, v {kind}")
+    return common.written(stars.distinct() if tasks > 1 else stars), tasks
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Does every node stand on one side only, and on the left of one link only?"""
     left, right = F.lit(1).alias("left"), F.lit(0).alias("right")
