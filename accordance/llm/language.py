@@ -35,6 +35,8 @@ MARGIN, Z = 1.0, 4.0
 EVIDENCE = 40
 UNKNOWN = "und"
 _CHUNK = 1 << 20
+#: Characters whose grams are made or scored at once.
+_AT_ONCE = 1 << 18
 #: Characters of a block, which asks for each distinct gram once.
 BLOCK_CHARS = 1 << 22
 _PAD = 1
@@ -163,18 +165,27 @@ class Entries:
 
     def __init__(self, four, ids, langs, values):
         """Parallel arrays of single entries; the same entry may come repeatedly."""
+        self.tables = [self._table(ids[own], langs[own], values[own]) for own in (~four, four)]
+
+    @classmethod
+    def of_sides(cls, sides: Iterator) -> Entries:
+        """From (ids, langs, values) of the other entries and then of the 4-grams; one side is held at a time."""
+        out = cls.__new__(cls)
+        out.tables = [cls._table(*side) for side in sides]
+        return out
+
+    @staticmethod
+    def _table(i, k, v):
         import numpy as np
 
-        self.tables = []
-        for own in (~four, four):
-            i, k, v = ids[own], langs[own], values[own]
-            by = np.lexsort((k, i))
-            i, k, v = i[by], k[by], v[by]
-            new = np.ones(len(i), bool)
-            new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1])
+        by = np.lexsort((k, i))
+        i, k, v = i[by], k[by], v[by]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (k[1:] != k[:-1])
+        if not new.all():
             i, k, v = i[new], k[new], v[new]
-            keys, first = np.unique(i, return_index=True)
-            self.tables.append((keys, np.append(first, len(i)), k, v))
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])[: len(i)])
+        return i[first], np.append(first, len(i)), k, v
 
     def find(self, four: bool, ids):
         """Of the entries of ``ids``: at which of ``ids`` each stands, its language, its value."""
@@ -449,11 +460,11 @@ def _answer(batches: Iterator) -> Iterator:
 
 
 def _text_chunks(texts: list[str]):
-    """Lists of texts of about `_CHUNK` characters."""
+    """Lists of texts of about `_AT_ONCE` characters."""
     start = 0
     while start < len(texts):
         stop, held = start, 0
-        while stop < len(texts) and held < _CHUNK:
+        while stop < len(texts) and held < _AT_ONCE:
             held += len(texts[stop])
             stop += 1
         yield texts[start:stop]
@@ -543,14 +554,15 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
         if has_model:
             reads = (("at", lm.unpack_ids, np.uint64), ("lang", unsqueeze_values, np.uint32), ("value", unsqueeze_values, np.uint32))
             side = answers.column("four").to_pylist()
-            data = [
-                [np.concatenate([np.zeros(0, kind), *(read(x) for x, own in zip(answers.column(c).to_pylist(), side) if own == four)])
-                 for c, read, kind in reads]
-                for four in (True, False)
-            ]
-            four = np.repeat([True, False], [len(x[0]) for x in data])
-            ids, lang, value = (np.concatenate([x[c] for x in data]) for c in range(3))
-            known = lm.Entries(four, ids, lang.astype(np.int64), value.view(np.float32))
+
+            def entries(four):
+                ids, lang, value = (
+                    np.concatenate([np.zeros(0, kind), *(read(x) for x, own in zip(answers.column(c).to_pylist(), side) if own == four)])
+                    for c, read, kind in reads
+                )
+                return ids, lang, value.view(np.float32)
+
+            known = lm.Entries.of_sides(entries(four) for four in (False, True))
         out = []
         for blob in blocks.column("packed").to_pylist():
             rows = pa.ipc.open_stream(blob).read_all()

@@ -31,11 +31,12 @@ def _classes() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, OTHER, np.uint8)
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    whole = "".join(map(chr, points))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+")):
-        for m in regex.finditer(pattern, whole):
-            table[points[m.start()] : points[m.end() - 1] + 1] = kind
+    # in pieces, one of which is all surrogates: a worker never holds all characters as objects
+    for first in (*range(0, 0xD800, 0x800), *range(0xE000, 0x110000, 0x800)):
+        piece = "".join(map(chr, range(first, first + 0x800)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+")):
+            for m in regex.finditer(pattern, piece):
+                table[first + m.start() : first + m.end()] = kind
     table[list(WHITE_SPACE)] = SPACE
     return table
 

@@ -123,3 +123,24 @@ def test_empty_tables(spark):
     assert bpe.digests(empty).count() == 0
     assert token_counts.budgeted(empty).count() == 0
     assert packed.written_and_read(empty).count() == 0
+
+
+def test_classes_of_characters_take_little_memory():
+    """Every worker makes this table, so making it must not hold all characters as objects."""
+    import tracemalloc
+    import unicodedata
+
+    import regex
+
+    from accordance.llm import pretokens
+
+    pretokens._classes.cache_clear()
+    tracemalloc.start()
+    table = pretokens._classes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    for c in (*range(0x20, 0x3000), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0x1D7CE, 0x20000, 0x10FFFF):
+        known = not 0xD800 <= c < 0xE000
+        assert (table[c] == pretokens.LETTER) == (known and bool(regex.match(r"\p{L}", chr(c)))), unicodedata.name(chr(c), c)
+        assert (table[c] == pretokens.DIGIT) == (known and bool(regex.match(r"\p{N}", chr(c))))
