@@ -204,3 +204,19 @@ def test_object_inside_a_think_block(spark):
     got = {r["item_key"]: r for r in E.cascade(df, E.STRUCTURE_FIRST).collect()}
     assert [got["a"][c] for c in ("label", "justification", "confidence", "extraction_method")] == ["pure", "only names", "high", "structured"]
     assert got["b"]["label"] == "floss"
+
+
+def test_a_text_is_scanned_once_for_each_reading(monkeypatch):
+    """Pieces of a text without commas and comments to drop are found once, and used by every attempt."""
+    seen = []
+    spans = B._spans
+    monkeypatch.setattr(B, "_spans", lambda text, opener, quoted: seen.append(text) or spans(text, opener, quoted))
+    text = 'so {"a": "the "x" of "y", seen", "b": "low"} then'
+    assert json.loads(B.find_value(text)) == {"a": 'the "x" of "y", seen', "b": "low"}
+    assert seen.count(text) == 2
+
+
+def test_quotes_and_backslashes_of_spans():
+    assert B.spans(r'{"a": "q\" }", "b": 2} \"{', "{") == [(0, 22)]
+    assert B.spans('\\{"}" \\', "{") == [] and B.spans('\\{"}"}', "{") == [(1, 6)]
+    assert B.escape_inner_quotes('{"a": "x "y" z"}') == r'{"a": "x \"y\" z"}'
