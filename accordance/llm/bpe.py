@@ -161,8 +161,8 @@ def rank_encoder(path: str, pattern: str) -> Callable:
 def replies(docs: DataFrame, encoder: Callable, special: str | None = None) -> DataFrame:
     """Ids of the distinct words of each block, one row per block and bucket."""
     n = common.width(docs.sparkSession)
-    words = docs.mapInArrow(word_rows(n, special), _WORDS).repartitionById(n, "bucket")
-    return words.mapInArrow(encode_words(encoder), _REPLY)
+    words = docs.mapInArrow(common.thrifty(word_rows(n, special)), _WORDS).repartitionById(n, "bucket")
+    return words.mapInArrow(common.thrifty(encode_words(encoder)), _REPLY)
 
 
 _POSITIONS = "block string, docs array<bigint>, counts binary, codes binary, buckets binary"
@@ -263,10 +263,10 @@ def encode(
 
 def _encoded(source: DataFrame, encoder: Callable, special: str | None, emit: Callable, schema: str) -> DataFrame:
     n = common.width(source.sparkSession)
-    positions = source.mapInArrow(position_rows(n, special), _POSITIONS)
+    positions = source.mapInArrow(common.thrifty(position_rows(n, special)), _POSITIONS)
     answers = replies(source, encoder, special)
     both = positions.groupBy("block").cogroup(answers.groupBy("block"))
-    return both.applyInArrow(place(emit), schema)
+    return both.applyInArrow(common.thrifty_groups(place(emit)), schema)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:

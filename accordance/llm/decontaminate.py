@@ -23,6 +23,8 @@ from accordance.llm import common
 
 WINDOW, K = 13, 5
 PART_BYTES = 1 << 24
+#: Bytes of text that are looked at together.
+CHARS = 1 << 18
 _FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
 
@@ -130,6 +132,24 @@ class Items:
         return n
 
 
+def pieces(batches: Iterator, at: int) -> Iterator:
+    """The batches in slices of about `CHARS` bytes of text (column ``at``); a longer text is a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    from accordance.llm.decontaminate import CHARS
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        i = 0
+        while i < batch.num_rows:
+            before = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + CHARS, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _joined(hashes, places, keys, targets):
     """All (place, target) whose hashes are equal; ``keys`` is sorted."""
     import numpy as np
@@ -145,51 +165,47 @@ def _joined(hashes, places, keys, targets):
     return np.repeat(places[some], n), ragged(targets, first, n)
 
 
-def _pass(shared, at: int, names: list[str], fresh: bool):
-    """One part of the benchmark; ``at`` is the place of the text among the columns."""
+def _pass(shared, at: int, width: int, names: list[str], fresh: bool):
+    """One part of the benchmark; ``at`` is the place of the text among the first ``width`` columns.
+
+    The results of the passes before follow these; columns that are not among ``names`` are not given back.
+    A batch is taken in pieces of about `CHARS` characters, so its texts never stand beside it as a whole.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        from accordance.llm.words import CHUNK, LETTERS, words_of
+        from accordance.llm.decontaminate import pieces
+        from accordance.llm.words import LETTERS, words_of
 
         items = shared.value
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = batch.column(at).to_pylist()
-            n_words, n_hit = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            named = [[]] * len(texts) if fresh else batch.column(at + 3).to_pylist()
-            spans = [[]] * len(texts) if fresh else batch.column(at + 4).to_pylist()
+            words, n_words = words_of(texts, LETTERS)
+            named, spans = [[]] * len(texts), [[]] * len(texts)
+            n_hit = np.zeros(len(texts), np.int64)
             if not fresh:
-                n_words = batch.column(at + 1).to_numpy().copy()
-                n_hit = batch.column(at + 2).to_numpy().copy()
-            i = 0
-            while i < len(texts):
-                j, held = i, 0
-                while j < len(texts) and (held < CHUNK or j == i):
-                    held += len(texts[j] or "")
-                    j += 1
-                words, counts = words_of(texts[i:j], LETTERS)
-                n_words[i:j] = counts
-                start, end, item = items.hits(words, counts)
-                ends = np.cumsum(counts)
-                doc = np.searchsorted(ends, start, "right")
-                by = np.argsort(doc, kind="stable")
-                for part in np.split(by, np.flatnonzero(np.diff(doc[by])) + 1):
-                    if not len(part):
-                        continue
-                    d = int(doc[part[0]])
-                    base = int(ends[d] - counts[d])
-                    own = [(int(start[x]) - base, int(end[x]) - base) for x in part]
-                    merged = _merged(own + [(s["start"], s["end"]) for s in spans[i + d]])
-                    spans[i + d] = [{"start": a, "end": b} for a, b in merged]
-                    named[i + d] = sorted({*named[i + d], *(items.ids[int(k)] for k in np.unique(item[part]))})
-                    n_hit[i + d] = sum(b - a for a, b in merged)
-                i = j
+                n_hit = batch.column(width + 1).to_numpy().copy()
+                named, spans = batch.column(width + 2).to_pylist(), batch.column(width + 3).to_pylist()
+            start, end, item = items.hits(words, n_words)
+            ends = np.cumsum(n_words)
+            doc = np.searchsorted(ends, start, "right")
+            by = np.argsort(doc, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(doc[by])) + 1):
+                if not len(part):
+                    continue
+                d = int(doc[part[0]])
+                base = int(ends[d] - n_words[d])
+                own = [(int(start[x]) - base, int(end[x]) - base) for x in part]
+                merged = _merged(own + [(s["start"], s["end"]) for s in spans[d]])
+                spans[d] = [{"start": a, "end": b} for a, b in merged]
+                named[d] = sorted({*named[d], *(items.ids[int(k)] for k in np.unique(item[part]))})
+                n_hit[d] = sum(b - a for a, b in merged)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[: at + 1], pa.array(n_words), pa.array(n_hit),
+                    *batch.columns[: len(names)], pa.array(n_words), pa.array(n_hit),
                     pa.array(named, pa.list_(pa.string())), pa.array(spans, pa.list_(span)),
                 ],
                 names=[*names, "n_words", "n_hit", "items", "spans"],
@@ -223,16 +239,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    out = docs.select(*keep, F.col("text").alias("_read"))
+    # a text that is kept is not sent a second time, and one that is not stays behind in the last pass
+    out = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("_read"))
+    at = keep.index("text") if "text" in keep else len(keep)
+    names = out.columns
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields]
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toArrow()
         own = Items(part.column("item_id").to_pylist(), part.column("text").to_pylist())
         shared = spark.sparkContext.broadcast(own)
-        names = [*keep, "_read"]
-        out = out.mapInArrow(_pass(shared, len(keep), names, k == 0), ", ".join([*kept, _FOUND]))
+        n = len(keep) if k == parts - 1 else len(names)
+        task = common.thrifty(_pass(shared, at, len(names), names[:n], k == 0))
+        out = out.mapInArrow(task, ", ".join([*kept[:n], _FOUND]))
     rule = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return out.drop("_read").withColumn("contaminated", rule)
+    return out.withColumn("contaminated", rule)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

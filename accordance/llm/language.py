@@ -34,7 +34,6 @@ MARGIN, Z = 1.0, 4.0
 #: Characters whose evidence the score trusts at most.
 EVIDENCE = 40
 UNKNOWN = "und"
-_CHUNK = 1 << 20
 #: Characters whose grams are made or scored at once.
 _AT_ONCE = 1 << 18
 #: Characters of a block, which asks for each distinct gram once.
@@ -77,15 +76,17 @@ def keys_of(texts: list[str]):
 
 
 def _chunks(batches, n_columns: int):
-    """Lists of rows with text in the last column, about `_CHUNK` characters each."""
+    """Lists of rows with text in the last column, about `_AT_ONCE` characters each."""
     rows, held = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(n_columns))):
-            rows.append(row)
-            held += len(row[-1])
-            if held >= _CHUNK:
-                yield rows
-                rows, held = [], 0
+        for at in range(0, batch.num_rows, 64):  # few strings beside the batch at a time
+            part = batch.slice(at, 64)
+            for row in zip(*(part.column(k).to_pylist() for k in range(n_columns))):
+                rows.append(row)
+                held += len(row[-1])
+                if held >= _AT_ONCE:
+                    yield rows
+                    rows, held = [], 0
     if rows:
         yield rows
 
@@ -255,7 +256,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     )
     counts = common.written(
-        rows.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        rows.mapInArrow(common.thrifty(_count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     )
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     if not langs:
@@ -528,16 +529,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
     n = common.width(spark)
     has_model = model is not None
     langs, floor, mean, variance = (model.langs, model.floor, model.mean, model.variance) if model else ([], 0.0, [], [])
-    packed = source.mapInArrow(_packed_rows(at), "block string, packed binary")
+    packed = source.mapInArrow(common.thrifty(_packed_rows(at)), "block string, packed binary")
     if has_model:
         entries = model.table.select(
             _bucket(F.col("id"), n).alias("bucket"), "four", "id", "lang", "value",
             F.lit(None).cast("string").alias("block"), F.lit(None).cast("binary").alias("whole"), F.lit(None).cast("binary").alias("other"),
         )
-        both = entries.union(source.select(*read).mapInArrow(_ask_rows(at, n), _ASKS))
+        both = entries.union(source.select(*read).mapInArrow(common.thrifty(_ask_rows(at, n)), _ASKS))
         # an id's bucket is one task: the entries of the model come before the questions
         dealt = both.repartitionById(n, "bucket").sortWithinPartitions(F.col("block").asc_nulls_first())
-        answers = dealt.mapInArrow(_answer, _ANSWERS)
+        answers = dealt.mapInArrow(common.thrifty(_answer), _ANSWERS)
     else:
         answers = spark.createDataFrame([], _ANSWERS)
 
@@ -574,7 +575,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: tupl
         return pa.concat_tables(out)
 
     kept = T.StructType([source.schema[c] for c in keep] + T.StructType.fromDDL(SCORES).fields)
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, kept)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(common.thrifty_groups(run), kept)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

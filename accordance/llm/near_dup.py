@@ -321,7 +321,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             )
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26))
-    sets = docs.select(slot.alias("slot"), "doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, shingles binary")
+    sets = docs.select(slot.alias("slot"), "doc_id", "text").mapInArrow(common.thrifty(run), "doc_id long, set_id binary, shingles binary")
     # by set alone: a class may have no doc_id but null
     return sets.join(wanted.select("set_id", "cid"), "set_id").dropDuplicates(["set_id"]).select("cid", "shingles")
 
@@ -393,7 +393,7 @@ def _weights(sets: DataFrame) -> bytes:
             part = some[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
 
-    counts = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = sets.select("shingles").mapInArrow(common.thrifty(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32).tobytes()
@@ -495,7 +495,7 @@ def _rest(trees: DataFrame, regions: DataFrame, docs: DataFrame, carriers: DataF
     sets = _sets_of(nodes.select("cid"), docs, carriers, k)
     shared = spark.sparkContext.broadcast(_weights(sets))
     named = sets.join(nodes, "cid").select("cid", "component", "shingles")
-    entries = common.written(named.mapInArrow(_entries(percent, shared), "shingle long, cid long, component long, place long"))
+    entries = common.written(named.mapInArrow(common.thrifty(_entries(percent, shared)), "shingle long, cid long, component long, place long"))
     # a large component of a shingle has blocks of its own, small ones share theirs; nothing is
     # compared where all are of one component
     per = entries.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -532,25 +532,25 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     common.ship(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = common.written(source.mapInArrow(_set_rows(k), _SETS))
+    sets = common.written(source.mapInArrow(common.thrifty(_set_rows(k)), _SETS))
     carriers = (
         sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     )
     carriers = common.written(carriers.withColumn("cid", F.monotonically_increasing_id()))
 
     def forest(classes: DataFrame, trees: int) -> DataFrame:
-        return classes.select("cid", "signature", "component").mapInArrow(_tree_rows(trees), _TREES)
+        return classes.select("cid", "signature", "component").mapInArrow(common.thrifty(_tree_rows(trees)), _TREES)
 
     def ordered(rows: DataFrame) -> DataFrame:
         return rows.repartitionByRange(common.width(spark), "key").sortWithinPartitions("key")
 
     # the nearest neighbours of a few orders join most of a crowd before anything else is compared
     alone = carriers.withColumn("component", F.col("cid"))
-    near = common.written(ordered(forest(alone, FIRST)).mapInArrow(_nearest, _PAIRS).distinct())
+    near = common.written(ordered(forest(alone, FIRST)).mapInArrow(common.thrifty(_nearest), _PAIRS).distinct())
     # written first: a task never holds two Python workers, one for the links and one for their components
     labels = components(common.written(_links(near, source, carriers, k, percent)))
     trees = forest(_labelled(carriers, labels), TREES)
-    found = common.written(ordered(trees).mapInArrow(_neighbours, f"{_PAIRS}, region binary"))
+    found = common.written(ordered(trees).mapInArrow(common.thrifty(_neighbours), f"{_PAIRS}, region binary"))
     candidates = common.written(found.where("a is not null").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"))
     if not candidates.isEmpty():
         labels = components(labels.toDF("a", "b").union(common.written(_links(candidates, source, carriers, k, percent))))

@@ -42,25 +42,52 @@ def _classes() -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, longer when needed."""
+    """Powers of the base and of its inverse modulo 2**64: of 0 to `STEP` - 1, and of multiples of `STEP`, more when needed."""
 
-    up = down = np.ones(1, np.uint64)
+    STEP = 1 << 12
+    inverse = pow(int(_BASE), -1, 1 << 64)
+    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(STEP - 1, _BASE)]), dtype=np.uint64)
+    down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(STEP - 1, np.uint64(inverse))]), dtype=np.uint64)
+    far_up = far_down = np.ones(1, np.uint64)
 
     @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, BLOCK_CHARS + 1)
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            cls.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, inverse)]), dtype=np.uint64)
-        return cls.up[:n], cls.down[:n]
+    def reach(cls, n: int) -> None:
+        """Makes the powers of 0 to ``n``."""
+        rows = n // cls.STEP + 1
+        if len(cls.far_up) < rows:
+            for name, b in (("far_up", int(_BASE)), ("far_down", cls.inverse)):
+                step = np.uint64(pow(b, cls.STEP, 1 << 64))
+                setattr(cls, name, np.cumprod(np.concatenate([[np.uint64(1)], np.full(rows - 1, step)]), dtype=np.uint64))
+
+    @classmethod
+    def raise_all(cls, values: np.ndarray) -> None:
+        """Each value times the power of its position, in place."""
+        n = len(values)
+        cls.reach(n)
+        whole = n // cls.STEP
+        rows = values[: whole * cls.STEP].reshape(whole, cls.STEP)
+        rows *= cls.up
+        rows *= cls.far_up[:whole, None]
+        rest = values[whole * cls.STEP :]
+        rest *= cls.up[: len(rest)]
+        rest *= cls.far_up[whole]
+
+    @classmethod
+    def lowered(cls, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Each value times the inverse of the power of its position ``at``."""
+        if len(at):
+            cls.reach(int(at.max()))
+        return values * cls.down[at % cls.STEP] * cls.far_down[at // cls.STEP]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """``n + 1`` running sums of values times powers, modulo 2**64."""
-    up, _ = _Powers.of(len(values) + 1)
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _KEY * up[:-1], out=out[1:])
+    own = out[1:]
+    np.add(values, np.uint64(1), out=own)
+    own *= _KEY
+    _Powers.raise_all(own)
+    np.cumsum(own, out=own)
     return out
 
 
@@ -73,8 +100,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, the same wherever the span stands."""
-    _, down = _Powers.of(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
+    return mix(_Powers.lowered(sums[ends] - sums[starts], starts) + (ends - starts).astype(np.uint64) * _BASE)
 
 
 def code_points(text: str) -> np.ndarray:
